@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .exact_dedup import content_sort
+from .packing import pack_documents
 from .pii import find_pii
+from .simhash import near_duplicates
+from .topk import top_inner_products
+from .urls import judge_urls
+from .warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +31,35 @@ def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_pii_anchors": op2_pii_anchors,
     "op3_content_sort": op3_content_sort,
+    "op5_vector_best_fit": op5_vector_best_fit,
+    "op6_ball_hashing": op6_ball_hashing,
+    "op7_host_words": op7_host_words,
+    "op8_warc_round_trip": op8_warc_round_trip,
+    "op10_branch_and_bound": op10_branch_and_bound,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,4 +69,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, norm, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size
               FROM (SELECT doc_id, {_LOWER} AS norm FROM documents) WINDOW w AS (PARTITION BY norm))""",
+    "op8_warc_round_trip": """
+        SELECT page_id, octet_length(encode(html)) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to
+        FROM (SELECT *, octet_length(encode(html)) >= 100 AND page_id <> first_id AS again
+              FROM (SELECT page_id, html, sha256(html) AS digest, min(page_id) OVER (PARTITION BY sha256(html)) AS first_id
+                    FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)))""",
+    "op10_branch_and_bound": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score,
+                   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS rank
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
 }
