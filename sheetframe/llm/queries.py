@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import content_sort
+from .mixing import soft_mix
 from .packing import pack_documents
+from .passages import remove_repeats
 from .pii import find_pii
+from .quality import importance_resample
 from .simhash import near_duplicates
 from .topk import top_inner_products
 from .urls import judge_urls
@@ -23,6 +26,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target shares of the mixture's tokens: languages of good rows, then what is wanted little or not at all.
+SHARES = {"en": 0.52, "fr": 0.16, "de": 0.16, "es": 0.14, "junk": 0.02, "toxic": 0.0}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, domain of labelled rows: toxic, else junk, else the language."""
+    marks = labels.select(F.col("doc_id").alias("marked"), "quality", "toxic")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, F.col("lang"))
+    return docs.select("doc_id", "lang").join(marks, F.col("doc_id") == F.col("marked")).select("doc_id", domain.alias("domain")).where("domain is not null")
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +49,11 @@ def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return soft_mix(docs, labelled_domains(docs, _table(spark, sf_dir, "labels")), SHARES)
+
+
 def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,17 +71,24 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_pii_anchors": op2_pii_anchors,
     "op3_content_sort": op3_content_sort,
+    "op4_soft_membership": op4_soft_membership,
     "op5_vector_best_fit": op5_vector_best_fit,
     "op6_ball_hashing": op6_ball_hashing,
     "op7_host_words": op7_host_words,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op9_phrase_automata": op9_phrase_automata,
     "op10_branch_and_bound": op10_branch_and_bound,
 }
 
@@ -82,4 +112,12 @@ ORACLE_SQL: dict[str, str] = {
             SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score,
                    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS rank
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
+    "op9_phrase_automata": r"""
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+             win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+             late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM late),
+             words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t),
+             kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)""",
 }
