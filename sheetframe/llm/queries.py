@@ -29,6 +29,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Target shares of the mixture's tokens: languages of good rows, then what is wanted little or not at all.
 SHARES = {"en": 0.52, "fr": 0.16, "de": 0.16, "es": 0.14, "junk": 0.02, "toxic": 0.0}
 
+#: The same for documents that the quality stage has kept: languages only.
+LANGUAGE_SHARES = {"en": 0.58, "fr": 0.16, "de": 0.16, "es": 0.10}
+
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, domain of labelled rows: toxic, else junk, else the language."""

@@ -24,11 +24,12 @@ from .common import map_arrow, release, saved, text_of
 from .components import connected_components
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 if it has no word."""
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, tables: int = 1) -> list[int]:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 if it has no word. Further tables hash the shingles'
+    hashes once more, each its own way."""
     tokens = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
     if not tokens:
-        return 0
+        return [0] * tables
     line = b" ".join(tokens)
     if len(tokens) <= words:
         hashes = np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
@@ -37,6 +38,17 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
         starts = np.concatenate([[0], ends[:-words] + 1])
         of = xxhash.xxh64_intdigest
         hashes = np.array([of(line[i:j], seed) for i, j in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+    return [_majority(hashes if not t else _mixed(hashes, t)) for t in range(tables)]
+
+
+def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    x = hashes + np.uint64((table * 0x9E3779B97F4A7C15) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
     # A byte per bit; rows are summed eight bits to a word, 255 at a time so that no byte overflows.
     lanes = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
     sums = np.zeros(64, np.int64)
@@ -45,14 +57,14 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(sums * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), one row per row of docs."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long), more array<long> (those of further tables), one row per row."""
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = np.array([fingerprint(t, words, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        prints = np.array([fingerprint(t, words, seed, tables) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1:].tolist(), pa.list_(pa.int64()))], names=["doc_id", "fp", "more"])
 
-    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")), scan, "doc_id long, fp long")
+    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")), scan, "doc_id long, fp long, more array<long>")
 
 
 @lru_cache(256)
@@ -123,39 +135,48 @@ def leading_bits(n: int) -> int:
 
 
 def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of prints (fp long, a written table) that join all within radius, an
-    even number, of each other into one component."""
+    """Links (a, b) that join all fingerprints of one table within radius, an even number, of each other into one component.
+    prints: table int, fp long, distinct, a written table."""
     if radius % 2:
         raise ValueError("an even radius is asked for")
-    bits = leading_bits(prints.count())
+    bits = leading_bits(prints.where("table = 0").count())
     masks = F.array(*(F.lit(int(m)) for m in _masks(0, bits, radius // 2)))
     key = F.shiftrightunsigned("fp", 64 - bits)
-    sent = prints.select("fp", F.explode(masks).alias("mask")).select("fp", key.bitwiseXOR(F.col("mask")).alias("key"))
+    sent = prints.select("table", "fp", F.explode(masks).alias("mask")).select("table", "fp", key.bitwiseXOR(F.col("mask")).alias("key"))
 
-    def meet(table: pa.Table) -> pa.Table:
-        links = bucket_links(table.column("fp").to_numpy().view(np.uint64), table.column("key")[0].as_py(), bits, radius)
+    def meet(group: pa.Table) -> pa.Table:
+        links = bucket_links(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), bits, radius)
         return pa.table({"a": links[0].view(np.int64), "b": links[1].view(np.int64)})
 
-    return sent.groupBy("key").applyInArrow(meet, "a long, b long").distinct()
+    return sent.groupBy("table", "key").applyInArrow(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id (the least doc_id of all documents reachable by links of at most
-    radius differing bits). Texts without words have fingerprint 0 and are linked like any other. A null text is empty; a
-    null id takes its component's least id, null if no row there has one."""
-    each = saved(fingerprints(docs, words, seed, id_col, text_col))
+    radius differing bits, in any table). Texts without words have fingerprint 0 and are linked like any other. A null text
+    is empty; a null id takes its component's least id, null if no row there has one."""
+    each = saved(fingerprints(docs, words, seed, tables, id_col, text_col))
     nodes = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = saved(ball_links(nodes.select("fp"), radius))
-    labels = connected_components(links)
+    prints = saved(each.select(F.posexplode(F.concat(F.array("fp"), "more")).alias("table", "fp")).distinct()) if tables > 1 else nodes.select(F.lit(0).alias("table"), "fp")
+    links = saved(ball_links(prints, radius))
+    edges = links
+    if tables > 1:  # a linked fingerprint of a further table stands for the documents that have it
+        ends = saved(links.select(F.explode(F.array("a", "b")).alias("end")).distinct())
+        own = each.select("fp", F.explode("more").alias("other"))
+        edges = saved(links.union(own.join(ends, own["other"] == ends["end"]).select("fp", "other").distinct()))
+        release(prints, ends)
+    labels = connected_components(edges)
     rooted = saved(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root")))
     roots = saved(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id")))
     named = saved(rooted.join(roots, rooted["root"] == roots["of"]).select(F.col("fp").alias("print"), "component_id"))
-    release(nodes, links, labels, rooted, roots)
+    release(nodes, links, edges, labels, rooted, roots)
     return each.join(named, each["fp"] == named["print"]).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the one document of each component that has its least id (of rows with that id, all), columns as they are."""
-    found = near_duplicates(docs, words, radius, id_col=id_col, text_col=text_col)
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 4, tables: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the one document of each component that has its least id (of rows with that id, all), columns as they are.
+    Three-word shingles in four tables: of pairs that are alike by 0.8 or more in five-word shingles they link far more than
+    five-word fingerprints within the same radius would, and next to none under 0.7."""
+    found = near_duplicates(docs, words, radius, tables=tables, id_col=id_col, text_col=text_col)
     stay = saved(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct())
     return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("_stays")), "left_semi")
