@@ -20,7 +20,7 @@ TYPED_CELL = "struct<col:int,t:string,i:bigint,d:double,b:boolean,x:string,o:str
 _NUMERIC = r"^[ \t\n\r\x0B\f]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\x0B\f]*$"
 _INTEGER = r"^[+-]?(0|[1-9][0-9]*)$"
 _SPACES = " \t\n\r\x00\x0b"
-_ESCAPE = re.compile(r"_x([0-9A-Fa-f]{4})_")
+_ESCAPE = re.compile(r"_x005[Ff]_(x[0-9A-Fa-f]{4}_)|_x([0-9A-Fa-f]{4})_")
 
 
 def trim_expr(value: Column) -> Column:
@@ -29,8 +29,8 @@ def trim_expr(value: Column) -> Column:
 
 
 def unescape(text: str) -> str:
-    """_xHHHH_ sequences as their characters, in a single pass, so that _x005F_ protects what follows."""
-    return _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
+    """_xHHHH_ sequences as their characters, in a single pass; _x005F_ before a sequence protects it."""
+    return _ESCAPE.sub(lambda m: "_" + m[1] if m[1] else chr(int(m[2], 16)), text)
 
 
 def unescape_expr(value: Column) -> Column:

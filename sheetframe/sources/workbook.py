@@ -290,7 +290,8 @@ def _read_file(path: str) -> bytes:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, given: dict[str, str]):
+    def __init__(self, given: dict[str, str], schema: StructType):
+        self.schema = schema
         self.paths = [p for given_path in json.loads(given["path"]) for p in _expand(given_path)] if given.get("path", "").startswith("[") else _expand(given.get("path", ""))
         sheet: str | int | None = given.get("sheet")
         self.part = given.get("part", "cells")
@@ -316,9 +317,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
         book = open_content(_read_file(partition.path), self.options)
         if self.part != "cells":
-            schema, fn = PARTS[self.part]
-            rows = ({"book": partition.path, **r} for r in fn(book))
-            schema = "book string, " + schema
+            rows = ({"book": partition.path, **r} for r in PARTS[self.part][1](book))
         else:
             sheet = next(s for s in book.sheets if s.id == partition.sheet_id)
             rows = (
@@ -326,8 +325,7 @@ class _Reader(DataSourceReader):
                 for row, _, cells in sheet.rows(self.options.area, self.options.row_limit)
                 for c in cells
             )
-            schema = CELLS
-        yield from _batches(rows, to_arrow_schema(_parse_datatype_string(schema)))
+        yield from _batches(rows, to_arrow_schema(self.schema))
 
 
 class WorkbookSource(DataSource):
@@ -343,7 +341,7 @@ class WorkbookSource(DataSource):
         return CELLS if part == "cells" else "book string, " + PARTS[part][0]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader({k.lower(): v for k, v in dict(self.options).items()})
+        return _Reader({k.lower(): v for k, v in dict(self.options).items()}, schema)
 
 
 def register(spark: SparkSession) -> None:
