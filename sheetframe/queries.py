@@ -23,7 +23,7 @@ from .operators.merged import merged_lookup
 from .plans.book import Book, file_kinds
 from .sources.formula import decompile
 from .sources.ooxml import shift_formula
-from .sources.workbook import ScanOptions
+from .sources.workbook import ScanOptions, engine_rows
 from .testing.xls_writer import XlsCell, XlsSheetSpec, write_xls
 from .testing.xlsx_writer import BookSpec, Cell, SheetSpec, style_sheet, write_xlsx
 
@@ -294,6 +294,57 @@ def file_signatures(spark, sf_dir):
     return file_kinds(files).select("doc_id", "is_xls", "is_xlsx")
 
 
+@query("SELECT row_number() OVER (ORDER BY n_nationkey)::BIGINT + 1 AS r, n_nationkey::VARCHAR AS a, n_name AS b FROM nation")
+def csv_keys_excel(spark, sf_dir):
+    """The engine's own keys: letters for columns."""
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = engine_rows(as_files(df, "n_nationkey", _csv(df.columns), 1_000_000), {"delimiter": ","}, None, 128, from_row=2)
+    return rows.select(F.col("row").cast("bigint").alias("r"), F.element_at("cells", "A").alias("a"), F.element_at("cells", "B").alias("b"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey)::BIGINT + 2 AS r, n_nationkey::VARCHAR AS a, n_name AS b FROM nation")
+def csv_keys_one_based(spark, sf_dir):
+    """The engine's one-based row key is the record number plus one."""
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = engine_rows(as_files(df, "n_nationkey", _csv(df.columns), 1_000_000), {"delimiter": ","}, None, 8 | 16, from_row=2)
+    return rows.select(F.col("row").cast("bigint").alias("r"), F.element_at("cells", "1").alias("a"), F.element_at("cells", "2").alias("b"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 1001 END AS code, CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE c_name END AS name FROM customer")
+def csv_errors(spark, sf_dir):
+    """Broken records come with their errors."""
+    name = F.when(F.col("c_custkey") % 7 == 0, F.lit('x"y')).otherwise(F.col("c_name"))
+    df = _table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"))
+    build = lambda rows: "".join(f"{key},{name}\n" for key, name in rows).encode()
+    found = _book(as_files(df, "c_custkey", build), csv={"delimiter": ","}).part("records")
+    return found.select(F.col("fields")[0].cast("bigint").alias("c_custkey"), F.get("errors", 0)["code"].alias("code"), F.col("fields")[1].alias("name"))
+
+
+@query("SELECT r_regionkey::BIGINT AS key, 'image' || r_regionkey || '.png' AS file_name, 'image/png' AS mime, (r_regionkey + 2)::BIGINT AS r FROM region")
+def images_by_cell(spark, sf_dir):
+    df = _table(spark, sf_dir, "region").select("r_regionkey")
+
+    def build(rows: list[tuple]) -> bytes:
+        return write_xlsx([SheetSpec("Data", {key + 2: [key] for (key,) in rows}, images=[(key + 2, 1, f"image{key}.png", b"\x89PNG" + bytes([key])) for (key,) in rows])])
+
+    book = _book(as_files(df, "r_regionkey", build, 1_000_000))
+    cells = book.first_sheet().grid().cells().select(F.col("row").alias("at"), F.col("i").alias("key"))
+    return book.images().join(cells, F.col("row") == F.col("at")).select("key", "file_name", "mime", F.col("row").cast("bigint").alias("r"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%m-%d-%y') AS shown, (epoch(o_orderdate)::BIGINT // 86400 + 25569)::VARCHAR AS original FROM orders")
+def builtin_date_pattern(spark, sf_dir):
+    """Builtin format 14 by the cell's own code, and the serial text."""
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", F.floor(_serial(F.col("o_orderdate"))).alias("at"))
+
+    def build(rows: list[tuple]) -> bytes:
+        return write_xlsx(BookSpec([SheetSpec("Data", {k: [key, Cell(at, style=1)] for k, (key, at) in enumerate(rows, 1)})], styles=style_sheet([14])))
+
+    grid = _book(as_files(df, "o_orderkey", build)).date_formatter(True).first_sheet().set_read_area("A:B")
+    at = lambda k: F.get(F.filter("cells", lambda c: c["col"] == k), 0)
+    return grid.typed_rows().select(at(1)["i"].alias("o_orderkey"), at(2)["x"].alias("shown"), at(2)["o"].alias("original"))
+
+
 # The grid algebra on a table
 
 
@@ -339,6 +390,37 @@ def read_columns(spark, sf_dir):
     return turned.select("col", F.array_join(F.transform("values", lambda x: F.concat(x["row"].cast("string"), F.lit(":"), x["value"])), "|").alias("cells"))
 
 
+@query("SELECT r_name AS name, (r_regionkey + 1)::BIGINT AS r FROM region")
+def key_first_row(spark, sf_dir):
+    """The first row names the columns by mode, and rows count from 1 after it."""
+    df = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    grid = _book(as_files(df, "r_regionkey", _xlsx(df.columns), 1_000_000)).first_sheet().grid()
+    return grid.rows(mode=g.KEYS_FIRST_ROW | g.KEYS_ROW_ONE_BASED).select(F.col("r_name").alias("name"), F.col("row").cast("bigint").alias("r"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS key, n_name FROM nation")
+def header_names_short(spark, sf_dir):
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return _book(as_files(df, "n_nationkey", _xlsx(df.columns), 1_000_000)).first_sheet().with_header(["key"]).rows().select("key", "n_name")
+
+
+@query("SELECT 'A' || 3 AS address, o_orderkey::VARCHAR AS value FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 2) UNION ALL SELECT 'B' || 3, o_orderstatus FROM (SELECT o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 2)")
+def first_row_cells(spark, sf_dir):
+    return _orders(spark, sf_dir).set_read_area("A3:B20").first_row_cells().select("address", "value")
+
+
+@query("SELECT n_name AS name, (n_nationkey + 10.5)::DOUBLE AS height FROM nation")
+def result_mode_row(spark, sf_dir):
+    """Rows with their attributes."""
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+
+    def build(rows: list[tuple]) -> bytes:
+        return write_xlsx([SheetSpec("Data", {k: [name] for k, (_, name) in enumerate(rows, 1)}, row_attrs={k: f'ht="{key + 10.5}"' for k, (key, _) in enumerate(rows, 1)})])
+
+    rows = _book(as_files(df, "n_nationkey", build, 1_000_000)).first_sheet().grid().rows(mode=g.RESULT_MODE_ROW)
+    return rows.select(F.col("A").alias("name"), F.element_at("__row", "ht").cast("double").alias("height"))
+
+
 @query("SELECT o_orderkey AS \"A\", o_orderstatus AS \"B\" FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 6")
 def first_row(spark, sf_dir):
     grid = _sheet_of(_table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderkey", "o_orderstatus"])

@@ -210,6 +210,20 @@ def _style_tables(book):
             yield {"kind": kind, "idx": int(row.get("format-num-id", k)), **ids, "own": [(a, str(b)) for a, b in own.items() if b is not None]}
 
 
+@_part("records", "row int, fields array<string>, errors array<struct<code:int,message:string,record:int,column:int>>")
+def _records(book):
+    """Records of delimited text as the low-level engine numbers them, with the errors of each instead of a failure."""
+    from .delimited import DelimitedReader
+
+    if book.kind != "csv":
+        return
+    found: list[Any] = []
+    reader = DelimitedReader(book.reader.stream, book.reader.options, found.append)
+    for number, fields in reader.records():
+        yield {"row": number, "fields": fields, "errors": [{"code": e.code, "message": str(e), "record": e.record, "column": e.column} for e in found]}
+        found.clear()
+
+
 def _batches(rows: Iterable[dict[str, Any]], schema: pa.Schema, size: int = 2048) -> Iterator[pa.RecordBatch]:
     held: list[dict[str, Any]] = []
     for row in rows:
@@ -348,6 +362,21 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
 
 
+def engine_rows(files: DataFrame, csv: dict[str, Any] | None = None, keys: Any = None, mode: int = 0, from_row: int = 1, from_col: int = 1, header: list[str] | bool = False, limit: int = 0) -> DataFrame:
+    """(book, row, cells map<string,string>): rows of delimited text the way the low-level engine keys them, columns from 0
+    and rows by record number, or as mode says."""
+    from .delimited import DelimitedReader
+
+    def give(path: str, content: bytes) -> Iterator[dict[str, Any]]:
+        reader = DelimitedReader(content, csv).from_row(from_row).from_col(from_col)
+        if header:
+            reader.with_header(header if isinstance(header, list) else None)
+        for row, cells in reader.rows(keys, mode, limit):
+            yield {"book": path, "row": row, "cells": [(str(k), v) for k, v in cells.items()]}
+
+    return _scan(files, "book string, row int, cells map<string,string>", give)
+
+
 def bytes_frame(spark: SparkSession, named: dict[str, bytes]) -> DataFrame:
     """(path, content) of contents at hand, such as a stream that has been read."""
     return spark.createDataFrame([(k, bytearray(v)) for k, v in named.items()], "path string, content binary")
