@@ -33,7 +33,7 @@ GRAM = 8
 #: Segments of at most 2 x WINDOW - GRAM words that one automaton is compiled from.
 SHARD_SEGMENTS = 12_000
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.array([0x9E3779B97F4A7C15], np.uint64)
 #: Words are numbered to characters from here on: past the surrogates, room for 900,000 in a shard.
 _FIRST_SYMBOL = 0x10000
 
@@ -42,10 +42,12 @@ def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
     """A mixed 64-bit hash of each `gram` consecutive words."""
     of = xxhash.xxh64_intdigest
     hashes = np.array([of(w) for w in words], np.uint64)
-    n = len(hashes) - gram + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(gram):
-        out = out * _ODD + hashes[k : k + n]
+    out, odd, size = hashes, _ODD, 1
+    while size * 2 <= gram:  # pairs of pairs, then what is left word by word
+        out = out[:-size] * odd + out[size:]
+        odd, size = odd * odd, size * 2
+    for k in range(size, gram):
+        out = out[: len(hashes) - k] * _ODD + hashes[k:]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(32))
@@ -105,57 +107,66 @@ def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 
 
 class Shard:
-    """Segments of some anchor groups, in order of (anchor, document, place); confirms and locates what recurs in them."""
+    """Segments of some anchor groups, in order of (anchor, document, place); confirms and locates what recurs in them.
+
+    Equal segments are one line with several places. The automaton holds the lines that have more than one place, and the
+    windows that different lines share; a match counts where the first place of its phrase is an earlier one."""
 
     def __init__(self, window: int):
         self.window = window
-        self.starts: list[tuple[int, int]] = []
+        self.places: list[tuple[int, int, int, bool]] = []  # (document, first word, line, open group)
+        self.numbers: dict[str, int] = {}
         self.lines: list[str] = []
-        self.texts: list[list[str]] = []
-        self.open: list[bool] = []
+        self.firsts: list[int] = []
+        self.repeated: set[int] = set()
         self.symbols: dict[str, str] = {}
 
-    def add(self, doc: int, first: int, words: list[str], is_open: bool) -> None:
-        symbols = self.symbols
-        self.lines.append("".join([symbols.setdefault(w, chr(_FIRST_SYMBOL + len(symbols))) for w in words]))
-        self.starts.append((doc, first))
-        self.texts.append(words)
-        self.open.append(is_open)
+    def add(self, doc: int, first: int, text: str, is_open: bool) -> None:
+        line = self.numbers.setdefault(text, len(self.lines))
+        if line == len(self.lines):
+            symbols = self.symbols
+            self.lines.append("".join([symbols.get(w) or symbols.setdefault(w, chr(_FIRST_SYMBOL + len(symbols))) for w in text.split(" ")]))
+            self.firsts.append(len(self.places))
+        elif self.places[self.firsts[line]][:2] != (doc, first):
+            self.repeated.add(line)
+        self.places.append((doc, first, line, is_open))
 
     def run(self) -> Iterator[tuple]:
         """(doc, first word, end word, None, None) of what repeats an earlier place of the shard; and (doc, first, end, key,
         key) of the first place of each window of an open group."""
-        w, seen, repeated = self.window, {}, {}
-        for k, line in enumerate(self.lines):
-            doc, first = self.starts[k]
+        w, seen, shared = self.window, {}, {}
+        texts = list(self.numbers)
+        for number, line in enumerate(self.lines):
+            doc, first, _, is_open = self.places[self.firsts[number]]
             for i in range(len(line) - w + 1):
                 key = line[i : i + w]
-                at = seen.get(key)
-                if at is None:
-                    seen[key] = (doc, first + i)
-                    if self.open[k]:
-                        text = " ".join(self.texts[k][i : i + w]).encode("utf-8", "surrogatepass")
-                        yield doc, first + i, first + i + w, xxhash.xxh3_64_intdigest(text, 1) - 2**63, xxhash.xxh64_intdigest(text, 2) - 2**63
-                elif at != (doc, first + i):
-                    repeated[key] = at
-        if not repeated:
+                here = (doc, first + i)
+                at = seen.setdefault(key, here)
+                if at is not here:
+                    if at != here:
+                        shared[key] = at
+                elif is_open:
+                    text = " ".join(texts[number].split(" ")[i : i + w]).encode("utf-8", "surrogatepass")
+                    yield doc, first + i, first + i + w, xxhash.xxh3_64_intdigest(text, 1) - 2**63, xxhash.xxh64_intdigest(text, 2) - 2**63
+        if not shared and not self.repeated:
             return
         automaton = ahocorasick.Automaton()
-        for key, at in repeated.items():
-            automaton.add_word(key, at)
+        for key, at in shared.items():
+            automaton.add_word(key, (w, *at))
+        for number in self.repeated:
+            line = self.lines[number]
+            if line not in shared:
+                automaton.add_word(line, (len(line), *self.places[self.firsts[number]][:2]))
         automaton.make_automaton()
-        for k, line in enumerate(self.lines):
-            doc, first = self.starts[k]
+        for doc, first, number, _ in self.places:
             begin = end = -1
-            for last, at in automaton.iter(line):
-                start = first + last - w + 1
-                if at == (doc, start):
-                    continue
-                if start > end or begin < 0:
-                    if begin >= 0:
-                        yield doc, begin, end, None, None
-                    begin = start
-                end = start + w
+            for last, (size, at_doc, at_first) in automaton.iter(self.lines[number]):
+                start = first + last - size + 1
+                if (at_doc, at_first) < (doc, start):
+                    if begin < 0:
+                        begin, end = start, start + size
+                    else:  # all matches have the anchor in common, so they make one span
+                        begin, end = min(begin, start), max(end, start + size)
             if begin >= 0:
                 yield doc, begin, end, None, None
 
@@ -214,7 +225,7 @@ def locate(docs: DataFrame, found: DataFrame, window: int = WINDOW, shard_segmen
         def flush(to: int, last_open: bool) -> Iterator[tuple]:
             shard, first_a, last_a = Shard(window), rows[0][0], rows[to - 1][0]
             for a, doc, first, words in rows[:to]:
-                shard.add(doc, first, words.split(" "), cut_before and a == first_a or last_open and a == last_a)
+                shard.add(doc, first, words, cut_before and a == first_a or last_open and a == last_a)
             yield from shard.run()
 
         for batch in batches:
