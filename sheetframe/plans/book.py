@@ -28,6 +28,11 @@ class Sheet:
     def __init__(self, book: Book, sheet_id: int, name: str, state: str, dimension: str, path: str):
         self.book, self.id, self.name, self.state, self.declared, self.path = book, sheet_id, name, state, dimension or "", path
 
+    @property
+    def active(self) -> bool:
+        """Whether the file marks the sheet as the one to show."""
+        return bool(self._own("sheets").first()["active"])
+
     def is_name(self, name: str) -> bool:
         return self.name.lower() == name.lower()
 
@@ -92,6 +97,33 @@ class Sheet:
     def read_rows_with_styles(self, *args: Any, **kw: Any) -> DataFrame:
         return styles.with_styles(self.grid().row_styles(*args, **kw), self.book.styles())
 
+    # The same from a cell on.
+
+    def read_rows_from(self, cell: str, first_row_keys: bool = False, **kw: Any) -> DataFrame:
+        return self.from_cell(cell, first_row_keys).rows(**kw)
+
+    def read_columns_from(self, cell: str, first_row_keys: bool = False, **kw: Any) -> DataFrame:
+        return self.from_cell(cell, first_row_keys).columns(**({"keys": True} if first_row_keys else {}) | kw)
+
+    def read_cells_from(self, cell: str, **kw: Any) -> DataFrame:
+        return self.from_cell(cell).cells(**kw)
+
+    def read_first_row_from(self, cell: str, **kw: Any) -> DataFrame:
+        return self.from_cell(cell).first_row(**kw)
+
+    def read_first_row_cells_from(self, cell: str) -> DataFrame:
+        return self.from_cell(cell).first_row_cells()
+
+    def read_first_row_with_styles(self, cell: str = "A1") -> DataFrame:
+        return styles.with_styles(self.from_cell(cell).first_row_cells(), self.book.styles())
+
+    def read_rows_with_styles_from(self, cell: str, first_row_keys: bool = False, **kw: Any) -> DataFrame:
+        return styles.with_styles(self.from_cell(cell, first_row_keys).row_styles(**kw), self.book.styles())
+
+    def read_columns_with_styles(self, cell: str = "A1", **kw: Any) -> DataFrame:
+        """The long form, ordered by column then row where it is sorted by the caller: key, row, value and style groups."""
+        return self.read_rows_with_styles_from(cell, **kw)
+
     def read_callback(self, callback, *args: Any, **kw: Any) -> None:
         self.grid().read_callback(callback, *args, **kw)
 
@@ -157,9 +189,12 @@ class Sheet:
     def row_styles(self) -> DataFrame:
         return self._own("row_attrs").join(self.book.styles().withColumnRenamed("s", "style"), "style", "left")
 
-    def row_height(self, row: int) -> float | None:
+    def row_height(self, row: int, default: float | None = None) -> float | None:
+        """A row's height; for a row without one of its own the sheet's default, or the default given."""
         found = self._own("row_attrs").where(F.col("row") == row).first()
-        return found["height"] if found else None
+        if found is None:
+            return None
+        return default if default is not None and not found["attributes"].get("ht") else found["height"]
 
     def sheet_view(self) -> DataFrame:
         """Freeze pane and tab colour."""
@@ -176,6 +211,9 @@ class Sheet:
     def count_images(self) -> int:
         return self.images().count()
 
+    def images_by_row(self, row: int) -> DataFrame:
+        return self.images().where(F.col("row") == row)
+
     def image(self, row: int, col: int) -> Any:
         """The picture at a cell: name, file_name, mime and content; None if there is none."""
         return self.images().where((F.col("row") == row) & (F.col("col") == col)).first()

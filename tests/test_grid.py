@@ -158,6 +158,19 @@ def test_columns_cells_and_first_rows(book):
     assert tuple(book.sheet("People").with_header().first_row().first()) == (1, "#", "name", "birthday", "random_int")
 
 
+def test_verbs_from_a_cell(book):
+    sheet = book.sheet("Offset")
+    assert sorted(r["Name"] for r in sheet.read_rows_from("B4", True).collect()) == ["Evan", "Giovanni"]
+    assert {r["col"] for r in sheet.read_columns_from("B4", True).collect()} == {"Name", "Date", "Color"}
+    assert sheet.read_cells_from("C5").count() == 4
+    assert sheet.read_first_row_from("B5").first()["B"] == "Giovanni"
+    assert [r["address"] for r in sheet.read_first_row_cells_from("B5").orderBy("col").collect()] == ["B5", "C5", "D5"]
+    styled = {r["address"]: r["format"]["format-pattern"] for r in sheet.read_first_row_with_styles("B5").collect()}
+    assert styled == {"B5": "General", "C5": "yyyy-mm-dd", "D5": "General"}
+    assert {r["key"] for r in sheet.read_rows_with_styles_from("B4", True).collect()} == {"Name", "Date", "Color"}
+    assert not book.sheet("People").active
+
+
 def test_cursor_and_callback(book):
     cursor = book.sheet("Offset").from_cell("B4").cursor(True)
     assert cursor.read_next_row()["Name"] == "Giovanni" and cursor.row_number == 5
