@@ -130,8 +130,8 @@ def bucket_links(prints: np.ndarray, key: int, bits: int, radius: int, most: int
 
 
 def leading_bits(n: int) -> int:
-    """So many leading bits that about 256 of n prints share a pattern; from 8 to 32."""
-    return min(32, max(8, math.ceil(math.log2(max(n, 2))) - 8))
+    """So many leading bits that about 2048 of n prints share a pattern; from 6 to 32."""
+    return min(32, max(6, math.ceil(math.log2(max(n, 2))) - 11))
 
 
 def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -148,7 +148,13 @@ def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
         links = bucket_links(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), bits, radius)
         return pa.table({"a": links[0].view(np.int64), "b": links[1].view(np.int64)})
 
-    return sent.groupBy("table", "key").applyInArrow(meet, "a long, b long").distinct()
+    links = sent.groupBy("table", "key").applyInArrow(meet, "a long, b long")
+    # A print has a root for each pattern it is found under, a bounded number. It keeps the least; the others are linked to
+    # that, so that a large group gives a link per print and a few among its roots.
+    roots = links.groupBy("a").agg(F.collect_set("b").alias("roots")).select("a", "roots", F.array_min("roots").alias("least"))
+    pair = lambda x: F.struct(x.alias("a"), F.col("least").alias("b"))
+    others = F.transform(F.filter("roots", lambda x: x != F.col("least")), pair)
+    return roots.select(F.explode(F.concat(F.array(pair(F.col("a"))), others)).alias("link")).select("link.a", "link.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,8 +181,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 4, tables: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the one document of each component that has its least id (of rows with that id, all), columns as they are.
-    Three-word shingles in four tables: of pairs that are alike by 0.8 or more in five-word shingles they link far more than
+    Rows without id stay together unless one of them is like a document that has one. Three-word shingles in four tables: of pairs that are alike by 0.8 or more in five-word shingles they link far more than
     five-word fingerprints within the same radius would, and next to none under 0.7."""
     found = near_duplicates(docs, words, radius, tables=tables, id_col=id_col, text_col=text_col)
-    stay = saved(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct())
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    gone = saved(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
