@@ -34,9 +34,10 @@ def log_likelihoods(counts: np.ndarray) -> np.ndarray:
 
 
 def posteriors(own: np.ndarray, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """logs: a row per bucket, a column per domain."""
     score = prior.copy()
     if len(own):
-        score += logs[:, own].sum(1) * min(1.0, EVIDENCE / len(own))
+        score += logs[own].sum(0) * min(1.0, EVIDENCE / len(own))
     score = np.exp(score - score.max())
     return score / score.sum()
 
@@ -69,12 +70,12 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: s
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     marks = saved(labelled.where(F.col("domain").isin(domains)).groupBy(labelled["doc_id"].cast("long").alias("marked")).agg(F.min("domain").alias("domain")))
     number = F.coalesce(*(F.when(F.col("domain") == d, k) for k, d in enumerate(domains)))
-    joined = own.join(marks, own["doc_id"] == marks["marked"], "left").select("text", number.alias("class"))
+    joined = own.join(marks, own["doc_id"] == marks["marked"]).select("text", number.alias("class"))
     counts = model_counts(joined, len(domains))[:-1]
     rows = {r["domain"]: r["count"] for r in marks.groupBy("domain").count().collect()}
     release(marks)
     n = np.array([rows.get(d, 0) for d in domains], float)
-    prior, logs = np.log((n + 1) / (n.sum() + len(n))), log_likelihoods(counts)
+    prior, logs = np.log((n + 1) / (n.sum() + len(n))), np.ascontiguousarray(log_likelihoods(counts).T)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()

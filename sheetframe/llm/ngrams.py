@@ -17,22 +17,25 @@ SIZE = 2 * BUCKETS
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _REPEAT = 1  # the bigram hash of any word and itself
-_known: dict[str, int] = {}
 
 
-def _hash(word: str) -> int:
-    found = _known.get(word)
-    if found is None:
-        if len(_known) > 400_000:
-            _known.clear()
-        found = _known[word] = xxhash.xxh64_intdigest(word)
-    return found
+class _Hashes(dict):
+    """Hashes of words that a worker has met; emptied when it has grown to some 40 MB."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_known = _Hashes()
 
 
 def buckets(text: str) -> np.ndarray:
     """The bucket of each unigram and bigram of the lower-cased words and punctuation runs. A word after itself is one
     bigram whatever the word, since repetition is a trait of its own."""
-    hashes = np.array([_hash(w) for w in _TOKEN.findall(text.lower())], np.uint64)
+    hashes = np.array(list(map(_known.__getitem__, _TOKEN.findall(text.lower()))), np.uint64)
     if not len(hashes):
         return np.zeros(0, np.int64)
     pairs = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:]) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(33)
@@ -47,12 +50,26 @@ def model_counts(docs: DataFrame, classes: int) -> np.ndarray:
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((classes + 1, SIZE), np.int64)
+        held: list[list[np.ndarray]] = [[] for _ in range(classes + 1)]
+
+        def add() -> None:
+            for k, parts in enumerate(held):
+                if parts:
+                    counts[k] += np.bincount(np.concatenate(parts), minlength=SIZE)
+                    parts.clear()
+            counts[classes] += counts[:classes].sum(0) - before
+            before[:] = counts[:classes].sum(0)
+
+        before, weight = np.zeros(SIZE, np.int64), 0
         for batch in batches:
             for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.bincount(buckets(text), minlength=SIZE)
-                counts[classes] += own
-                if kind is not None:
-                    counts[kind] += own
+                own = buckets(text)
+                held[classes if kind is None else kind].append(own)
+                weight += len(own)
+                if weight > 1 << 20:
+                    add()
+                    weight = 0
+        add()
         at = np.flatnonzero(counts.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["at", "n"])
 
