@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release, saved, text_of
+from .common import collect_garbage, map_arrow, release, saved, text_of
 from .components import connected_components
 
 
@@ -115,34 +115,81 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_links(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 8_000_000) -> np.ndarray:
-    """Pairs (print, least print of its group) of distinct prints that meet at a value with the leading `bits` bits `key`."""
-    prints = np.sort(prints)
+def _bucket_pairs(prints: np.ndarray, key: int, bits: int, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b (by place in prints, which are sorted) that are neighbours at a value with the leading bits `key`."""
     left = radius // 2 - np.bitwise_count((prints >> np.uint64(64 - bits)) ^ np.uint64(key)).astype(np.int64)
     found = _meetings(prints, left, 64 - bits, most)
     a = np.concatenate([x for x, _ in found] or [np.zeros(0, np.int64)])
     b = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
     near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
     pairs = np.unique(np.minimum(a, b)[near] * len(prints) + np.maximum(a, b)[near])
-    root = _stars(len(prints), pairs // max(len(prints), 1), pairs % max(len(prints), 1))
+    return pairs // max(len(prints), 1), pairs % max(len(prints), 1)
+
+
+def bucket_links(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 8_000_000) -> np.ndarray:
+    """Pairs (print, least print of its group) of distinct prints that meet at a value with the leading `bits` bits `key`."""
+    prints = np.sort(prints)
+    root = _stars(len(prints), *_bucket_pairs(prints, key, bits, radius, most))
     own = np.flatnonzero(root != np.arange(len(prints)))
     return np.stack([prints[own], prints[root[own]]])
 
 
+def bucket_candidates(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 8_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As bucket_links, but with what a check of the texts needs: (print, other, kind). Kind 0 is the nearest print that it
+    meets; kind 1 is its group's middle, the print nearest to the majority of the group's bits."""
+    prints = np.sort(prints)
+    a, b = _bucket_pairs(prints, key, bits, radius, most)
+    group = _stars(len(prints), a, b)
+    one, two = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((two, np.bitwise_count(prints[one] ^ prints[two]), one))
+    one, two = one[order], two[order]
+    first = np.flatnonzero(np.r_[True, one[1:] != one[:-1]]) if len(one) else np.zeros(0, np.int64)
+    own, near = one[first], two[first]
+    size = np.bincount(group, minlength=len(prints))
+    ones = np.stack([np.bincount(group, (prints >> np.uint64(k) & np.uint64(1)).astype(float), len(prints)) for k in range(64)], 1) * 2 > size[:, None]
+    majority = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
+    order = np.lexsort((np.arange(len(prints)), np.bitwise_count(prints ^ majority[group]), group))
+    middle = np.zeros(len(prints), np.int64)
+    start = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    middle[group[order[start]]] = order[start]
+    hub = middle[group[own]]
+    far = hub != own
+    return np.concatenate([prints[own], prints[own[far]]]), np.concatenate([prints[near], prints[hub[far]]]), np.repeat([0, 1], [len(own), far.sum()])
+
+
 def leading_bits(n: int) -> int:
     """So many leading bits that about 2048 of n prints share a pattern; from 6 to 32."""
     return min(32, max(6, math.ceil(math.log2(max(n, 2))) - 11))
 
 
-def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) that join all fingerprints of one table within radius, an even number, of each other into one component.
-    prints: table int, fp long, distinct, a written table."""
+def _sent(prints: DataFrame, radius: int) -> tuple[DataFrame, int]:
+    """table, fp, key: each print under each leading pattern that its ball has; and the bits of a pattern."""
     if radius % 2:
         raise ValueError("an even radius is asked for")
-    bits = leading_bits(prints.where("table = 0").count())
+    bits = leading_bits(prints.groupBy("table").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
     masks = F.array(*(F.lit(int(m)) for m in _masks(0, bits, radius // 2)))
     key = F.shiftrightunsigned("fp", 64 - bits)
-    sent = prints.select("table", "fp", F.explode(masks).alias("mask")).select("table", "fp", key.bitwiseXOR(F.col("mask")).alias("key"))
+    return prints.select("table", "fp", F.explode(masks).alias("mask")).select("table", "fp", key.bitwiseXOR(F.col("mask")).alias("key")), bits
+
+
+def ball_candidates(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """table, a, b: for each print that has others within radius, those of bucket_candidates; of several buckets' the nearest
+    of either kind, so two for a print and table. prints as for ball_links."""
+    sent, bits = _sent(prints, radius)
+
+    def meet(group: pa.Table) -> pa.Table:
+        a, b, kind = bucket_candidates(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), bits, radius)
+        table = np.full(len(a), group.column("table")[0].as_py(), np.int32)
+        return pa.table({"table": table, "a": a.view(np.int64), "b": b.view(np.int64), "kind": kind.astype(np.int32), "bits": np.bitwise_count(a ^ b).astype(np.int32)})
+
+    found = sent.groupBy("table", "key").applyInArrow(meet, "table int, a long, b long, kind int, bits int")
+    return found.groupBy("table", "a", "kind").agg(F.min(F.struct("bits", "b")).alias("best")).select("table", "a", F.col("best.b").alias("b")).distinct()
+
+
+def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """Links (a, b) that join all fingerprints of one table within radius, an even number, of each other into one component.
+    prints: table int, fp long, distinct, a written table."""
+    sent, bits = _sent(prints, radius)
 
     def meet(group: pa.Table) -> pa.Table:
         links = bucket_links(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), bits, radius)
@@ -171,18 +218,96 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
         own = each.select("fp", F.explode("more").alias("other"))
         edges = saved(links.union(own.join(ends, own["other"] == ends["end"]).select("fp", "other").distinct()))
         release(prints, ends)
+    out = _named(each, nodes, edges)
+    release(nodes, links, edges)
+    return out.select("doc_id", "fp", "component_id")
+
+
+def _named(each: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """each with component_id. nodes: the first column of each's nodes and least, the least id that a node has."""
+    node = nodes.columns[0]
     labels = connected_components(edges)
-    rooted = saved(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root")))
+    rooted = saved(nodes.join(labels.withColumnRenamed("node", "_node"), nodes[node] == F.col("_node"), "left").select(node, "least", F.coalesce("label", node).alias("root")))
     roots = saved(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id")))
-    named = saved(rooted.join(roots, rooted["root"] == roots["of"]).select(F.col("fp").alias("print"), "component_id"))
-    release(nodes, links, edges, labels, rooted, roots)
-    return each.join(named, each["fp"] == named["print"]).select("doc_id", "fp", "component_id")
+    named = saved(rooted.join(roots, rooted["root"] == roots["of"]).select(F.col(node).alias("_named"), "component_id"))
+    release(labels, rooted, roots)
+    return each.join(named, each[node] == named["_named"]).drop("_named")
+
 
+def shingle_similarity(a: str, b: str, words: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; a text of fewer words is one shingle, and none if it has no word."""
+    x, y = _shingles(a, words), _shingles(b, words)
+    return len(x & y) / len(x | y) if x or y else 1.0
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 4, tables: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the one document of each component that has its least id (of rows with that id, all), columns as they are.
-    Rows without id stay together unless one of them is like a document that has one. Three-word shingles in four tables: of pairs that are alike by 0.8 or more in five-word shingles they link far more than
-    five-word fingerprints within the same radius would, and next to none under 0.7."""
-    found = near_duplicates(docs, words, radius, tables=tables, id_col=id_col, text_col=text_col)
+
+def _shingles(text: str, words: int) -> set[tuple[bytes, ...]]:
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(tokens) <= words:
+        return {tuple(tokens)} if tokens else set()
+    return set(zip(*(tokens[k:] for k in range(words)), strict=False))
+
+
+def _alike(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Of links (a, b) between texts (node, text), both written tables, those with a five-word similarity of least or more.
+    Both joins read written tables, so that adaptive execution can split the partition of a node with very many links."""
+    one = saved(links.join(texts, links["a"] == texts["node"]).select("a", "b", F.col("text").alias("one")))
+    both = one.join(texts, one["b"] == texts["node"]).select("a", "b", "one", "text")
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = [shingle_similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    out = saved(map_arrow(both, scan, "a long, b long"))
+    release(one)
+    return out
+
+
+def alike_documents(docs: DataFrame, words: int = 3, radius: int = 4, tables: int = 4, least: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, component_id (the least doc_id of all documents reachable by links). Fingerprints
+    within radius bits in any table propose links; a link counts if the texts' five-word similarity is least or more. For each
+    fingerprint and table the nearest one met and its group's middle are compared, by a text of each, and the texts of equal
+    fingerprints with one of them. Nulls are as in near_duplicates."""
+    text = text_of(docs, text_col)
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = [np.array(fingerprint(t, words, seed, tables), np.uint64).view(np.int64) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "node", "fps"])
+
+    each = saved(map_arrow(own, scan, "doc_id long, node long, fps array<long>"))
+    nodes = saved(each.groupBy("node").agg(F.min("doc_id").alias("least")))
+    parts = []
+    for first in range(0, tables, 4):  # a few tables at a time, so that their shuffles needn't be on disk together
+        some = F.slice("fps", first + 1, 4)
+        members = saved(each.select("node", F.posexplode(some).alias("table", "fp")).distinct())
+        stands = saved(members.groupBy("table", "fp").agg(F.min("node").alias("stand")))
+        found = saved(ball_candidates(stands.select("table", "fp"), radius))
+        same = members.join(stands, ["table", "fp"]).select(F.col("node").alias("a"), F.col("stand").alias("b"))
+        of = lambda end: stands.select(F.col("table").alias("_table"), F.col("fp").alias("_fp"), F.col("stand").alias(f"{end}_node"))
+        ends = found
+        for end in ("a", "b"):
+            ends = ends.join(of(end), (F.col("table") == F.col("_table")) & (F.col(end) == F.col("_fp"))).drop("_table", "_fp")
+        pairs = same.union(ends.select("a_node", "b_node")).where("a <> b")
+        parts.append(saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        release(members, stands, found)
+        collect_garbage(docs.sparkSession)
+    links = parts[0]
+    for part in parts[1:]:
+        links = links.union(part)
+    links = saved(links.distinct())
+    ends = saved(links.select(F.explode(F.array("a", "b")).alias("end")).distinct())
+    texts = saved(own.join(ends, own["node"] == ends["end"], "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    edges = _alike(links, texts, least)
+    release(*parts, links, ends, texts)
+    collect_garbage(docs.sparkSession)
+    out = _named(each, nodes, edges)
+    release(nodes, edges)
+    return out.select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 4, tables: int = 4, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the one document of each component of alike_documents that has its least id (of rows with that id, all),
+    columns as they are. Rows without id stay together unless one of them is like a document that has one."""
+    found = alike_documents(docs, words, radius, tables, least, id_col=id_col, text_col=text_col)
     gone = saved(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
