@@ -262,7 +262,7 @@ def _alike(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return out
 
 
-def alike_documents(docs: DataFrame, words: int = 3, radius: int = 4, tables: int = 4, least: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike_documents(docs: DataFrame, words: int = 2, radius: int = 4, tables: int = 12, least: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, component_id (the least doc_id of all documents reachable by links). Fingerprints
     within radius bits in any table propose links; a link counts if the texts' five-word similarity is least or more. For each
     fingerprint and table the nearest one met and its group's middle are compared, by a text of each, and the texts of equal
@@ -305,7 +305,7 @@ def alike_documents(docs: DataFrame, words: int = 3, radius: int = 4, tables: in
     return out.select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 4, tables: int = 4, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 2, radius: int = 4, tables: int = 12, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the one document of each component of alike_documents that has its least id (of rows with that id, all),
     columns as they are. Rows without id stay together unless one of them is like a document that has one."""
     found = alike_documents(docs, words, radius, tables, least, id_col=id_col, text_col=text_col)

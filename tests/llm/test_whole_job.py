@@ -28,3 +28,10 @@ def test_near_stage_keeps_documents_under_the_threshold(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert simhash.drop_near_duplicates(docs).count() == len(rows)
 
+
+def test_near_stage_finds_documents_over_the_threshold(spark):
+    rows = near_pairs(0.8, 0.86)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept >= set(range(0, len(rows), 2))
+    assert len(kept) <= 1.1 * len(rows) / 2
