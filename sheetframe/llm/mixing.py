@@ -1,14 +1,16 @@
 """Mixing sources to target weights by soft membership.
 
 A multinomial classifier over hashed n-grams, counted over all labelled rows, gives each document its posterior over domains.
-Document rates r >= least are then fitted by accelerated projected-gradient least squares, so that the expected tokens of
-each domain, the sum of rate x tokens x posterior, meet the targets, with a slight pull to rate 1 that makes the answer
-unique. The gradient needs one number per domain: a round is one pass over a narrow written table that adds up the domain
-totals at the current rates, which every task works out again from the rounds before, so no rate is ever shuffled or stored.
+Document rates r >= least are then fitted by projected least squares, so that the expected tokens of each domain, the sum of
+rate x tokens x posterior, meet the targets, with a slight pull to rate 1 that makes the answer unique. At the answer a rate
+is max(least, 1 + posterior . y) for one number y per domain, so y is what is sought, by Newton's method on the convex dual: a
+round is one pass over a narrow written table that adds up value, domain totals and curvature for a few step lengths at once.
+Rates follow from y, so none is ever shuffled or stored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,8 +24,14 @@ from .ngrams import SIZE, buckets, model_counts
 
 #: The evidence of a document counts as that of so many n-grams at most, since neighbours aren't independent.
 EVIDENCE = 64
-ROUNDS = 40
+#: Rounds at most; the fit ends when it has converged, mostly in under ten.
+ROUNDS = 100
+#: Of a domain's target, so much may be missing for the pull's sake, where the domains' tokens allow it.
+TOLERANCE = 0.01
+#: The pull to rate 1 at most and at least. A domain of a small share of the tokens needs high rates, so a slighter pull.
 PULL = 1e-4
+LEAST_PULL = 1e-9
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 
 
 def log_likelihoods(counts: np.ndarray) -> np.ndarray:
@@ -43,24 +51,23 @@ def posteriors(own: np.ndarray, logs: np.ndarray, prior: np.ndarray) -> np.ndarr
 
 
 class Fit:
-    """Accelerated projected gradient, given the domain totals seen at each round's look-ahead rates. step() advances numpy
-    columns of any rows; the same history gives the same rates everywhere."""
-
-    def __init__(self, targets: np.ndarray, mass: float, curve: float, pull: float = PULL, least: float = 0.0):
-        self.targets, self.mass, self.pull, self.least = targets, max(mass, 1e-300), pull, least
-        self.rate = 1.0 / (curve + pull)
-        self.seen: list[np.ndarray] = []
-
-    def rates(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """posterior: a row per document. Rates after all rounds so far, and the rates at which to look next."""
-        now = ahead = np.ones(len(posterior))
-        t = 1.0
-        for totals in self.seen:
-            slope = posterior @ ((totals - self.targets) / self.mass) + self.pull * (ahead - 1.0)
-            new = np.maximum(self.least, ahead - self.rate * slope)
-            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            ahead, now, t = new + (t - 1) / t_new * (new - now), new, t_new
-        return now, ahead
+    """The dual: minimise the sum of tokens x psi(1 + p . y) - targets . y + pull x mass x |y|^2 / 2, where psi' is max(least, .)."""
+
+    def __init__(self, size: int, least: float = 0.0):
+        self.size, self.least, self.width = size, least, 1 + size + size * size
+
+    def rates(self, posterior: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.maximum(self.least, 1.0 + posterior @ y)
+
+    def sums(self, w: np.ndarray, p: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """For each y of ys: value, domain totals and curvature over the rows, in one line."""
+        out = np.zeros((len(ys), self.width))
+        for k, y in enumerate(ys):
+            s = 1.0 + p @ y
+            r = np.maximum(self.least, s)
+            free = w * (s > self.least)
+            out[k] = np.concatenate([[w @ (r * (s - r / 2))], (w * r) @ p, ((free[:, None] * p).T @ p).ravel()])
+        return out
 
 
 def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,36 +97,52 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, lea
     """members (doc_id, tokens, p; a written table) with rate double and copies long: the rate rounded down or up by a hash
     of the id, so that copies are the rate on average. targets: tokens for each domain."""
     size = len(targets)
+    fit = Fit(size, least)
 
-    def summed(fit: Fit | None) -> np.ndarray:
+    def summed(ys: np.ndarray) -> np.ndarray:
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size + size * size)
+            total = np.zeros((len(ys), fit.width))
             for batch in batches:
-                p = batch.column(1).flatten().to_numpy().reshape(-1, size)
-                w = batch.column(0).to_numpy().astype(float)
-                if fit is None:
-                    total += np.concatenate([w @ p, ((w[:, None] * p).T @ p).ravel()])
-                else:
-                    total[:size] += (w * fit.rates(p)[1]) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["at", "x"])
-
-        rows = members.select("tokens", "p").mapInArrow(scan, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(size + size * size)
-        for r in rows:
+                total += fit.sums(batch.column(0).to_numpy().astype(float), batch.column(1).flatten().to_numpy().reshape(-1, size), ys)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["at", "x"])
+
+        out = np.zeros(len(ys) * fit.width)
+        for r in members.select("tokens", "p").mapInArrow(scan, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             out[r["at"]] = r["x"]
-        return out
+        return out.reshape(len(ys), fit.width)
 
-    first = summed(None)
-    mass = float(first[:size].sum())
-    curve = float(np.linalg.eigvalsh(first[size:].reshape(size, size) / max(mass, 1e-300)).max(initial=0.0))
-    fit = Fit(targets, mass, curve, least=least)
+    y = np.zeros(size)
+    now = summed(y[None, :])[0]
+    # Rates of 1 tell how many tokens each domain has; where least is more, the totals are least times that.
+    own = now[1 : size + 1] / max(1.0, least)
+    mass = float(own.sum())
     if mass:
+        wanted = (targets > 0) & (own > 0)
+        pull = mass * max(LEAST_PULL, min(PULL, TOLERANCE / 2 * float((own[wanted] / mass).min(initial=1.0))))
+        close = 1e-5 * np.maximum(targets, mass * 1e-3)
+        slope_of = lambda sums, y: sums[1 : size + 1] - targets + pull * y
+        value_of = lambda sums, y: sums[0] - targets @ y + pull * (y @ y) / 2
         for _ in range(rounds):
-            fit.seen.append(summed(fit)[:size])
+            slope = slope_of(now, y)
+            if (np.abs(slope) <= close).all():
+                break
+            step = np.linalg.solve(now[size + 1 :].reshape(size, size) + pull * np.eye(size), -slope)
+            ys = y + np.array(STEPS)[:, None] * step
+            tried = summed(ys)
+            values = [value_of(t, v) for t, v in zip(tried, ys, strict=True)]
+            best = int(np.argmin(values))
+            if (np.abs(slope_of(tried[0], ys[0])) <= close).all():
+                best = 0
+            elif values[best] >= value_of(now, y):
+                break  # as near as doubles come
+            y, now = ys[best], tried[best]
+        else:
+            if (np.abs(slope_of(now, y)) > close).any():
+                warnings.warn(f"the mixing rates haven't converged in {rounds} rounds", stacklevel=2)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = batch.column(2).flatten().to_numpy().reshape(-1, size)
-        rate = fit.rates(p)[0]
+        rate = fit.rates(p, y)
         u = np.array([xxhash.xxh64_intdigest(str(d), seed) / 2.0**64 for d in batch.column(0).to_pylist()])
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rate), pa.array(np.floor(rate + u).astype(np.int64))], names=["doc_id", "tokens", "p", "rate", "copies"])
 
@@ -131,7 +154,8 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], tot
     of shares), rate, copies. shares are the target weights of the domains; total is how many tokens the mixture has: by
     default, the least under which no domain with a share above 0 must be thinned when least is 1, else as many as docs has.
     Null and empty texts have no tokens and keep rate 1 or nearly so; a null id is a row like any other. Repeated rows are
-    rated alike. An empty table gives an empty result."""
+    rated alike. An empty table gives an empty result. Targets that rates of least or more can reach are met within TOLERANCE,
+    unless a domain has less than 2 x LEAST_PULL / TOLERANCE of all tokens; of others the nearest in least squares."""
     domains = list(shares)
     weight = np.array([shares[d] for d in domains], float)
     weight = weight / weight.sum()

@@ -2,7 +2,9 @@
 
 import random
 
-from sheetframe.llm import simhash
+import numpy as np
+
+from sheetframe.llm import mixing, simhash
 
 
 def edited(rng, words, changes):
@@ -35,3 +37,12 @@ def test_near_stage_finds_documents_over_the_threshold(spark):
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
     assert kept >= set(range(0, len(rows), 2))
     assert len(kept) <= 1.1 * len(rows) / 2
+
+
+def test_mixing_meets_targets_of_a_rare_domain_by_default(spark):
+    docs = [(k, 100, [0.0, 1.0] if k % 1000 == 0 else [1.0, 0.0]) for k in range(4000)]
+    members = spark.createDataFrame(docs, "doc_id long, tokens long, p array<double>")
+    targets = np.array([0.86, 0.14]) * 400_000
+    got = mixing.fit_rates(members, targets).toPandas()
+    reached = (got.rate * got.tokens).to_numpy() @ np.stack(got.p)
+    assert np.allclose(reached / targets, 1, atol=mixing.TOLERANCE)
