@@ -4,7 +4,11 @@ Two generative models over hashed n-grams are counted: one of the target text (r
 weight of a document is the mean log ratio of the two over its n-grams, so that length doesn't count; documents are then
 sampled without replacement by Gumbel top-k: the k largest of sharpness x weight + Gumbel noise stay. The noise is a hash of
 the id, so a rerun after a lost executor draws the same. k is given, or is the number of documents on the good side of the
-weight that best parts good from bad labelled rows, fitted on at most LABELLED_SAMPLE of them. The k-th key is found exactly
+weight that best parts good from bad labelled rows, fitted on at most LABELLED_SAMPLE of them.
+
+A toxic text may be ordinary but for a few words, which no mean shows. So a second model counts in how many toxic and target
+rows each word occurs; a text scores by the TOXIC_WORDS words that speak most for toxic, and one on the toxic side of the
+score that best parts toxic from target rows has its weight put below the cut. The k-th key is found exactly
 by radix selection: a few counts by 16 bits each; nothing is sorted.
 """
 
@@ -17,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, release, saved, text_of
-from .ngrams import SIZE, buckets, model_counts
+from .ngrams import SIZE, WORDS, buckets_of, model_counts, presence_counts, word_hashes, words_in
 
 #: Labelled rows at most that the cut is fitted on, those with the least hash of their id.
 LABELLED_SAMPLE = 50_000
 #: Prior observations of a bucket, at the raw text's rate.
 PRIOR = 10.0
 SHARPNESS = 200.0
+#: So many words, those that speak most for toxic, make a text's score; prior observations of a word in either class.
+TOXIC_WORDS = 3
+TOXIC_PRIOR = 2.0
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
@@ -39,20 +46,52 @@ def gumbel(doc_id: int | None, seed: int) -> float:
     return float(-np.log(-np.log(u)))
 
 
-def weights(docs: DataFrame, ratios: np.ndarray, sharpness: float = SHARPNESS, seed: int = 17) -> DataFrame:
-    """doc_id, text to doc_id, log_weight, rank_key: a long that orders as sharpness x log_weight + noise. No n-gram: weight 0."""
-    ratios = ratios.astype(np.float64)
+def toxic_ratios(counts: np.ndarray, prior: float = TOXIC_PRIOR) -> np.ndarray:
+    """counts: presence_counts of target and toxic rows. log p(word | target) - log p(word | toxic), shrunk to 0 where the
+    word has been seen little; all 0 without rows of either."""
+    (good, n_good), (toxic, n_toxic) = ((c[:-1], c[-1]) for c in counts)
+    if not n_good or not n_toxic:
+        return np.zeros(WORDS)
+    return np.log((good * (n_toxic / n_good) + prior) / (toxic + prior))
+
+
+def cleanness(words: np.ndarray, ratios: np.ndarray) -> float:
+    """The mean of the TOXIC_WORDS least ratios, missing ones as 0."""
+    found = ratios[words]
+    if len(found) > TOXIC_WORDS:
+        found = np.partition(found, TOXIC_WORDS)[:TOXIC_WORDS]
+    return float(found.sum()) / TOXIC_WORDS
+
+
+def weights(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray) -> DataFrame:
+    """doc_id, text to doc_id, mean (of ratios, 0 if there is no n-gram), clean (the cleanness)."""
+    ratios, toxic = ratios.astype(np.float64), toxic.astype(np.float32)
+    any_toxic = bool(toxic.any())
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, means = batch.column(0).to_pylist(), []
+        means, clean = [], []
         for text in batch.column(1).to_pylist():
-            own = buckets(text)
-            means.append(float(ratios[own].mean()) if len(own) else 0.0)
-        keys = np.array([sharpness * m + gumbel(d, seed) for d, m in zip(ids, means, strict=True)]).view(np.int64)
+            hashes = word_hashes(text)
+            means.append(float(ratios[buckets_of(hashes)].mean()) if len(hashes) else 0.0)
+            clean.append(cleanness(words_in(hashes), toxic) if any_toxic else 0.0)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64()), pa.array(clean, pa.float64())], names=["doc_id", "mean", "clean"])
+
+    return map_arrow(docs.select("doc_id", "text"), scan, "doc_id long, mean double, clean double")
+
+
+def ranked(scored: DataFrame, cut: float, clean_cut: float, sharpness: float = SHARPNESS, seed: int = 17) -> DataFrame:
+    """doc_id, log_weight, rank_key: a long that orders as sharpness x log_weight + noise. The log weight is the mean; of a
+    text whose cleanness is under clean_cut, the mean or the cut if that is less, less what is missing to clean_cut."""
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        means, clean = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        weight = np.where(clean < clean_cut, np.minimum(means, cut) - (clean_cut - clean), means) if np.isfinite(clean_cut) else means
+        noise = np.array([gumbel(d, seed) for d in batch.column(0).to_pylist()])
+        keys = (sharpness * weight + noise).view(np.int64)
         ordered = np.where(keys < 0, keys ^ np.int64(0x7FFFFFFFFFFFFFFF), keys)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64()), pa.array(ordered)], names=["doc_id", "log_weight", "rank_key"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight, pa.float64()), pa.array(ordered)], names=["doc_id", "log_weight", "rank_key"])
 
-    return map_arrow(docs.select("doc_id", "text"), scan, "doc_id long, log_weight double, rank_key long")
+    return map_arrow(scored, scan, "doc_id long, log_weight double, rank_key long")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[int, int]:
@@ -88,22 +127,28 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
 def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sharpness: float = SHARPNESS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, log_weight, kept. labels has doc_id, quality (1 good, 0 bad), toxic; good rows with
     toxic 0 or null are the target. Of equal keys the larger id stays first; rows that share id and key share their fate, null
-    ids lose ties. A null text is empty, and an empty text has weight 0. Without good rows all weights are 0; then, or without
-    bad rows and without k, everything stays."""
+    ids lose ties. A null text is empty, and an empty text has weight 0. Toxic rows (toxic 1, whatever the quality) count as
+    rejected: see ranked. Without good rows all weights are 0; then, or without bad and toxic rows and without k, everything
+    stays."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     marks = labels.groupBy(labels["doc_id"].cast("long").alias("marked")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     slim = saved(marks)
     joined = own.join(slim, own["doc_id"] == slim["marked"], "left")
     counts = model_counts(joined.select("text", F.when(good, 0).alias("class")), 1)
-    scored = saved(weights(own, log_ratios(counts[0], counts[1]), sharpness, seed))
+    either = F.when(F.col("toxic") == 1, 1).when(good, 0)
+    seen = presence_counts(own.join(slim, own["doc_id"] == slim["marked"]).select("text", either.alias("class")).where("class is not null"), 2)
+    found = saved(weights(own, log_ratios(counts[0], counts[1]), toxic_ratios(seen)))
+    fit = found.join(slim.where("quality in (0, 1) or toxic = 1"), found["doc_id"] == slim["marked"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_SAMPLE).select("mean", "clean", "quality", "toxic").toPandas()
+    is_good, is_toxic = (fit["quality"] == 1) & (fit["toxic"] == 0), fit["toxic"] == 1
+    cut = best_cut(fit["mean"][is_good].to_numpy(), fit["mean"][fit["quality"] == 0].to_numpy())
+    clean_cut = best_cut(fit["clean"][is_good].to_numpy(), fit["clean"][is_toxic].to_numpy())
+    roof = cut if np.isfinite(cut) else float(found.agg(F.coalesce(F.min("mean"), F.lit(0.0))).first()[0])
+    scored = saved(ranked(found, roof, clean_cut, sharpness, seed))
     n = scored.count()
     if k is None:
-        fit = scored.join(slim.where("quality in (0, 1)"), scored["doc_id"] == slim["marked"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_SAMPLE).select("log_weight", "quality", "toxic").toPandas()
-        is_good = (fit["quality"] == 1) & (fit["toxic"] == 0)
-        cut = best_cut(fit["log_weight"][is_good].to_numpy(), fit["log_weight"][fit["quality"] == 0].to_numpy())
-        k = scored.where(F.col("log_weight") >= cut).count() if np.isfinite(cut) else n
-    release(slim)
+        k = scored.where(F.col("log_weight") >= roof).count() if np.isfinite(cut) or np.isfinite(clean_cut) else n
+    release(slim, found)
     if k >= n or k <= 0:
         return scored.select("doc_id", "log_weight", F.lit(k > 0).alias("kept"))
     value, above = kth_largest(scored, "rank_key", k)

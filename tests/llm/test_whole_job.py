@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from sheetframe.llm import mixing, simhash
+from sheetframe.llm import mixing, quality, simhash
 
 
 def edited(rng, words, changes):
@@ -46,3 +46,25 @@ def test_mixing_meets_targets_of_a_rare_domain_by_default(spark):
     got = mixing.fit_rates(members, targets).toPandas()
     reached = (got.rate * got.tokens).to_numpy() @ np.stack(got.p)
     assert np.allclose(reached / targets, 1, atol=mixing.TOLERANCE)
+
+
+def test_toxic_rows_are_rejected_and_clean_ones_kept(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for k in range(600):
+        text = [rng.choice(words) for _ in range(150)]
+        if k % 6 == 0:
+            for at in rng.sample(range(150), 3):
+                text[at] = rng.choice(["vile", "nasty", "awful"])
+        if k % 6 == 1:
+            text = ["###"] * 150
+        rows.append((k, " ".join(text), "en"))
+        if k % 12 < 6:
+            labels.append((k, int(k % 6 != 1), int(k % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.keep_good(docs, marks).collect()}
+    held = [k for k in range(600) if k % 12 >= 6]
+    assert sum(k in kept for k in held if k % 6 == 0) <= 0.1 * len(held) / 6
+    assert sum(k in kept for k in held if k % 6 > 1) >= 0.95 * len(held) * 4 / 6
