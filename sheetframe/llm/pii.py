@@ -29,11 +29,23 @@ _LABEL = frozenset(string.ascii_letters + string.digits + "-")
 _PHONE = frozenset("0123456789 ().-")
 _ALNUM = frozenset(string.ascii_letters + string.digits)
 _UPPER = frozenset(string.ascii_uppercase + string.digits)
+_BLANKS = frozenset(" \t")
+_ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _HEXISH = frozenset(string.ascii_letters + string.digits + "+/_-.~")
-#: Cue text and the least length of the value after it.
-SECRET_CUES = {"password=": 6, "passwd=": 6, "token = \"": 16, "api_key=": 12, "secret=": 12}
+#: Cue, in any case, and the least length of the value after it; between them blanks, a colon or equals sign, and quotes.
+SECRET_CUES = {"password": 6, "passwd": 6, "token": 16, "api_key": 12, "secret": 12}
+ACCOUNT_CUE = "iban"
 KEY_CUES = {"AKIA": 20, "ASIA": 20}
 
+#: Characters of an IBAN by country.
+_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 CR21 HR21 LI21 LV21 BG22 "
+    "BH22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 "
+    "VG24 LY25 PT25 ST25 IS26 TR26 AZ28 CY28 DO28 GT28 HU28 LB28 NI28 PL28 SV28 AL28 BY28 FR27 GR27 IT27 MC27 MR27 SM27 BI27 DJ27 "
+    "BR29 EG29 PS29 QA29 UA29 HN28 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"
+)
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in _LENGTHS.split()}
+
 Span = tuple[int, int]
 
 
@@ -51,9 +63,8 @@ def _anchors() -> ahocorasick.Automaton:
     for cue in SECRET_CUES:
         found.add_word(cue, ("secret", len(cue)))
     for cue in KEY_CUES:
-        found.add_word(cue, ("key", len(cue)))
-    for cue in ("IBAN ", "IBAN: ", "iban "):
-        found.add_word(cue, ("account", len(cue)))
+        found.add_word(cue.lower(), ("key", len(cue)))
+    found.add_word(ACCOUNT_CUE, ("account", len(ACCOUNT_CUE)))
     found.make_automaton()
     return found
 
@@ -145,23 +156,50 @@ def _url(text: str, colon: int, least: int) -> Span | None:
     return (start, end) if start < colon and end > colon + 3 else None
 
 
+def _after_cue(text: str, at: int) -> tuple[int, bool]:
+    """Where the value after a cue that ends before `at` begins, and whether a colon or equals sign leads to it."""
+    if at < len(text) and text[at] in "\"'":  # the end of a quoted name
+        at += 1
+    at = _run(text, at, _BLANKS)
+    marked = at < len(text) and text[at] in ":="
+    if marked:
+        at = _run(text, at + 1, _BLANKS)
+    if at < len(text) and text[at] in "\"'":
+        at += 1
+    return at, marked
+
+
 def _iban(text: str, start: int) -> Span | None:
-    end, n, kept = start, len(text), []
-    while end < n and len(kept) < 34 and (text[end] in _UPPER or text[end] == " " and end + 1 < n and text[end + 1] in _UPPER):
+    """The country's length of characters, in groups with single blanks between; of a country without a known length, the
+    longest that has a valid check number. A letter or digit after it makes it something else."""
+    n, end, kept, ends = len(text), start, [], []
+    length = IBAN_LENGTHS.get(text[start : start + 2])
+    while end < n and len(kept) < (length or 34) and (text[end] in _UPPER or text[end] == " " and end + 1 < n and text[end + 1] in _UPPER):
         if text[end] != " ":
             kept.append(text[end])
+            if len(kept) >= 15 and (end + 1 == n or text[end + 1] not in _ALNUM):
+                ends.append((len(kept), end + 1))
         end += 1
     code = "".join(kept)
-    if not 15 <= len(code) <= 34 or not code[:2].isalpha() or not code[2:4].isdigit():
+    if not code[:2].isalpha() or not code[2:4].isdigit():
         return None
-    return (start, end) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
+    for size, end in reversed(ends):
+        if size == (length or size) and int("".join(str(int(c, 36)) for c in code[4:size] + code[:4])) % 97 == 1:
+            return start, end
+    return None
+
+
+def _lower(text: str) -> str:
+    """Lower-cased, character for character."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """All spans as (start, kind's place in KINDS, end), in order. Offsets are code points, ends exclusive."""
     out: list[tuple[int, int, int]] = []
     free = dict.fromkeys(("email", "ip", "card", "phone", "url", "account", "secret"), 0)  # where a kind may go on
-    for last, (what, size) in _anchors().iter(text):
+    for last, (what, size) in _anchors().iter(_lower(text)):
         at = last - size + 1
         if what == "card":
             if at >= free["card"]:
@@ -187,7 +225,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 free["url"] = span[1]
                 out.append((span[0], 4, span[1]))
         elif what == "account":
-            if last + 1 >= free["account"] and (span := _iban(text, last + 1)):
+            if last + 1 >= free["account"] and (span := _iban(text, _after_cue(text, last + 1)[0])):
                 free["account"] = span[1]
                 out.append((span[0], 5, span[1]))
         else:
@@ -195,11 +233,12 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 continue
             if what == "key":
                 end = _run(text, at, _UPPER)
-                good = end - at == KEY_CUES[text[at : last + 1]] and (at == 0 or text[at - 1] not in _ALNUM)
+                good = end - at == KEY_CUES.get(text[at : last + 1]) and (at == 0 or text[at - 1] not in _ALNUM)
                 span = (at, end) if good else None
             else:
-                end = _run(text, last + 1, _HEXISH)
-                span = (last + 1, end) if end - last - 1 >= SECRET_CUES[text[at : last + 1]] else None
+                start, marked = _after_cue(text, last + 1)
+                end = _run(text, start, _HEXISH)
+                span = (start, end) if marked and end - start >= SECRET_CUES[_lower(text[at : last + 1])] else None
             if span:
                 free["secret"] = span[1]
                 out.append((span[0], 6, span[1]))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from sheetframe.llm import mixing, quality, simhash
+from sheetframe.llm import mixing, pii, quality, simhash
 
 
 def edited(rng, words, changes):
@@ -68,3 +68,18 @@ def test_toxic_rows_are_rejected_and_clean_ones_kept(spark):
     held = [k for k in range(600) if k % 12 >= 6]
     assert sum(k in kept for k in held if k % 6 == 0) <= 0.1 * len(held) / 6
     assert sum(k in kept for k in held if k % 6 > 1) >= 0.95 * len(held) * 4 / 6
+
+
+def test_accounts_and_secrets_in_every_form():
+    def spans(text):
+        return [(kind, text[start:end]) for start, end, kind in pii.find_spans(text) if kind in ("account", "secret")]
+
+    iban, grouped = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for text in (f"IBAN {iban} BIC COBADEFFXXX", f"IBAN:{iban}", f"Iban {iban}.", f"iban = {iban} 12 EUR", f"IBAN: {iban}"):
+        assert spans(text) == [("account", iban)], text
+    assert spans(f"IBAN {grouped} BIC COBADEFFXXX") == [("account", grouped)]
+    assert spans(f"IBAN {iban[:-1]}1 BIC") == [] and spans(f"IBAN {iban}7") == []
+    key = "abcd1234efgh5678"
+    for text in (f'token="{key}"', f"token: {key}", f'token = "{key}"', f"TOKEN={key}", f'{{"token": "{key}"}}', f"Password={key}", f"İ Secret : {key}"):
+        assert spans(text) == [("secret", key)], text
+    assert spans("the token of a password, secret to all") == []
