@@ -13,18 +13,48 @@ from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_fallback: str | None = None
+_made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    global _fallback
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if _fallback is None:
-        _fallback = "file://" + tempfile.mkdtemp(prefix="sheetframe-shared-")
-    return _fallback
+    """This application's own folder below spark.checkpoint.dir, which driver and executors share. It goes, with all that the
+    operators wrote, when the driver ends, or by clean_up(). Where the setting is unset and the master is local, as in tests, a
+    temporary folder stands in; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.applicationId in _made:
+        return _made[sc.applicationId]
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
+        base = "file://" + tempfile.mkdtemp(prefix="sheetframe-shared-")
+    folder = f"{base.rstrip('/')}/sheetframe-{sc.applicationId}"
+    path, store = _hadoop(spark, folder)
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    _made[sc.applicationId] = folder
+    return folder
+
+
+def _hadoop(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that the operators of this application wrote. Results that haven't been read or written elsewhere go too."""
+    folder = _made.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path, store = _hadoop(spark, folder)
+        store.delete(path, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, or one made from it, that no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -41,11 +71,16 @@ def saved(df: DataFrame) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Deletes tables made by saved() that no later plan reads."""
     for df in frames:
-        path = getattr(df, "_saved_at", None)
-        if path:
-            spark = df.sparkSession
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if found := getattr(df, "_saved_at", None):
+            path, store = _hadoop(df.sparkSession, found)
+            store.delete(path, True)
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in the one column of gone, null being an id like any other."""
+    name = fresh("gone", docs)
+    ids = gone.toDF(name)
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[name]), "left_anti")
 
 
 def collect_garbage(spark: SparkSession) -> None:
