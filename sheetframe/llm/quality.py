@@ -1,15 +1,15 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams are counted: one of the target text (rows labelled good), one of all raw text. The
-weight of a document is the mean log ratio of the two over its n-grams, so that length doesn't count; documents are then
-sampled without replacement by Gumbel top-k: the k largest of sharpness x weight + Gumbel noise stay. The noise is a hash of
-the id, so a rerun after a lost executor draws the same. k is given, or is the number of documents on the good side of the
-weight that best parts good from bad labelled rows, fitted on at most LABELLED_SAMPLE of them.
-
-A toxic text may be ordinary but for a few words, which no mean shows. So a second model counts in how many toxic and target
-rows each word occurs; a text scores by the TOXIC_WORDS words that speak most for toxic, and one on the toxic side of the
-score that best parts toxic from target rows has its weight put below the cut. The k-th key is found exactly
-by radix selection: a few counts by 16 bits each; nothing is sorted.
+weight of a document is the ratio of its likelihoods under the two, the product over its n-grams; log weights are sums.
+Documents are sampled without replacement in proportion to their weights by Gumbel top-k: the k largest of log weight + Gumbel
+noise stay. The noise is a hash of the id, so a rerun after a lost executor draws the same. k is given, or is the number of
+documents on the good side of the weight that best parts good from bad labelled rows, fitted on at most LABELLED_SAMPLE.
+
+A toxic text may be ordinary but for a few words, which drown in the sum. So a second pair of models counts in how many target
+and toxic rows each word occurs; a text scores by the TOXIC_WORDS words that speak most for toxic, and one on the toxic side of
+the score that best parts toxic from target rows has that part of its log ratio put below the cut. The k-th key is found
+exactly by radix selection: a few counts by 16 bits each; nothing is sorted.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release, saved, text_of
+from .common import map_arrow, release, saved, text_of, without
 from .ngrams import SIZE, WORDS, buckets_of, model_counts, presence_counts, word_hashes, words_in
 
 #: Labelled rows at most that the cut is fitted on, those with the least hash of their id.
 LABELLED_SAMPLE = 50_000
 #: Prior observations of a bucket, at the raw text's rate.
 PRIOR = 10.0
-SHARPNESS = 200.0
+#: Log weights count this many times against the noise; 1 samples in proportion to the weights.
+SHARPNESS = 1.0
 #: So many words, those that speak most for toxic, make a text's score; prior observations of a word in either class.
 TOXIC_WORDS = 3
 TOXIC_PRIOR = 2.0
@@ -56,36 +57,36 @@ def toxic_ratios(counts: np.ndarray, prior: float = TOXIC_PRIOR) -> np.ndarray:
 
 
 def cleanness(words: np.ndarray, ratios: np.ndarray) -> float:
-    """The mean of the TOXIC_WORDS least ratios, missing ones as 0."""
+    """The sum of the TOXIC_WORDS least ratios: the log ratio of target to toxic of those words."""
     found = ratios[words]
     if len(found) > TOXIC_WORDS:
         found = np.partition(found, TOXIC_WORDS)[:TOXIC_WORDS]
-    return float(found.sum()) / TOXIC_WORDS
+    return float(found.sum())
 
 
 def weights(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray) -> DataFrame:
-    """doc_id, text to doc_id, mean (of ratios, 0 if there is no n-gram), clean (the cleanness)."""
+    """doc_id, text to doc_id, ratio (the sum of ratios, 0 if there is no n-gram), clean (the cleanness)."""
     ratios, toxic = ratios.astype(np.float64), toxic.astype(np.float32)
     any_toxic = bool(toxic.any())
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        means, clean = [], []
+        sums, clean = [], []
         for text in batch.column(1).to_pylist():
             hashes = word_hashes(text)
-            means.append(float(ratios[buckets_of(hashes)].mean()) if len(hashes) else 0.0)
+            sums.append(float(ratios[buckets_of(hashes)].sum()))
             clean.append(cleanness(words_in(hashes), toxic) if any_toxic else 0.0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64()), pa.array(clean, pa.float64())], names=["doc_id", "mean", "clean"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64()), pa.array(clean, pa.float64())], names=["doc_id", "ratio", "clean"])
 
-    return map_arrow(docs.select("doc_id", "text"), scan, "doc_id long, mean double, clean double")
+    return map_arrow(docs.select("doc_id", "text"), scan, "doc_id long, ratio double, clean double")
 
 
 def ranked(scored: DataFrame, cut: float, clean_cut: float, sharpness: float = SHARPNESS, seed: int = 17) -> DataFrame:
-    """doc_id, log_weight, rank_key: a long that orders as sharpness x log_weight + noise. The log weight is the mean; of a
-    text whose cleanness is under clean_cut, the mean or the cut if that is less, less what is missing to clean_cut."""
+    """doc_id, log_weight, rank_key: a long that orders as sharpness x log_weight + noise. The log weight is the ratio; of a
+    text whose cleanness is under clean_cut, the ratio or the cut if that is less, less what is missing to clean_cut."""
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        means, clean = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        weight = np.where(clean < clean_cut, np.minimum(means, cut) - (clean_cut - clean), means) if np.isfinite(clean_cut) else means
+        ratio, clean = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        weight = np.where(clean < clean_cut, np.minimum(ratio, cut) - (clean_cut - clean), ratio) if np.isfinite(clean_cut) else ratio
         noise = np.array([gumbel(d, seed) for d in batch.column(0).to_pylist()])
         keys = (sharpness * weight + noise).view(np.int64)
         ordered = np.where(keys < 0, keys ^ np.int64(0x7FFFFFFFFFFFFFFF), keys)
@@ -139,11 +140,11 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     either = F.when(F.col("toxic") == 1, 1).when(good, 0)
     seen = presence_counts(own.join(slim, own["doc_id"] == slim["marked"]).select("text", either.alias("class")).where("class is not null"), 2)
     found = saved(weights(own, log_ratios(counts[0], counts[1]), toxic_ratios(seen)))
-    fit = found.join(slim.where("quality in (0, 1) or toxic = 1"), found["doc_id"] == slim["marked"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_SAMPLE).select("mean", "clean", "quality", "toxic").toPandas()
+    fit = found.join(slim.where("quality in (0, 1) or toxic = 1"), found["doc_id"] == slim["marked"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_SAMPLE).select("ratio", "clean", "quality", "toxic").toPandas()
     is_good, is_toxic = (fit["quality"] == 1) & (fit["toxic"] == 0), fit["toxic"] == 1
-    cut = best_cut(fit["mean"][is_good].to_numpy(), fit["mean"][fit["quality"] == 0].to_numpy())
+    cut = best_cut(fit["ratio"][is_good].to_numpy(), fit["ratio"][fit["quality"] == 0].to_numpy())
     clean_cut = best_cut(fit["clean"][is_good].to_numpy(), fit["clean"][is_toxic].to_numpy())
-    roof = cut if np.isfinite(cut) else float(found.agg(F.coalesce(F.min("mean"), F.lit(0.0))).first()[0])
+    roof = cut if np.isfinite(cut) else float(found.agg(F.coalesce(F.min("ratio"), F.lit(0.0))).first()[0])
     scored = saved(ranked(found, roof, clean_cut, sharpness, seed))
     n = scored.count()
     if k is None:
@@ -159,6 +160,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that importance_resample rejects, columns as they are."""
-    gone = saved(importance_resample(docs, labels, k, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows that importance_resample rejects, columns as they are, whatever their names. Nulls, empty and
+    repeated rows, ties and an empty table are as there; rows that share an id go only if all of them are rejected."""
+    judged = importance_resample(docs, labels, k, id_col=id_col, text_col=text_col)
+    return without(docs, id_col, saved(judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")))
