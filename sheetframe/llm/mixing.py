@@ -19,11 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release, saved, text_of
+from .common import fresh, map_arrow, release, saved, text_of
 from .ngrams import SIZE, buckets, model_counts
 
-#: The evidence of a document counts as that of so many n-grams at most, since neighbours aren't independent.
-EVIDENCE = 64
 #: Rounds at most; the fit ends when it has converged, mostly in under ten.
 ROUNDS = 100
 #: Of a domain's target, so much may be missing for the pull's sake, where the domains' tokens allow it.
@@ -41,11 +39,9 @@ def log_likelihoods(counts: np.ndarray) -> np.ndarray:
     return np.log(smooth / smooth.sum(1, keepdims=True))
 
 
-def posteriors(own: np.ndarray, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """logs: a row per bucket, a column per domain."""
-    score = prior.copy()
-    if len(own):
-        score += logs[own].sum(0) * min(1.0, EVIDENCE / len(own))
+def posteriors(own: np.ndarray, logs: np.ndarray, prior: np.ndarray, evidence: float = 1.0) -> np.ndarray:
+    """logs: a row per bucket, a column per domain. evidence: what an n-gram counts, 1 where n-grams are independent."""
+    score = prior + evidence * logs[own].sum(0)
     score = np.exp(score - score.max())
     return score / score.sum()
 
@@ -70,7 +66,7 @@ class Fit:
         return out
 
 
-def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], evidence: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tokens (white-space words), p array<double> in the order of domains, for each row of docs. labelled: doc_id,
     domain; labels outside domains count as none; of several for an id the least counts. A domain without labelled rows gets
     what smoothing leaves it."""
@@ -86,7 +82,7 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: s
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        p = [posteriors(buckets(t), logs, prior) for t in texts]
+        p = [posteriors(buckets(t), logs, prior, evidence) for t in texts]
         tokens = [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "tokens", "p"])
 
@@ -149,17 +145,18 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, lea
     return map_arrow(members.select("doc_id", "tokens", "p"), scan, "doc_id long, tokens long, p array<double>, rate double, copies long")
 
 
-def soft_mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], total: float | None = None, least: float = 0.0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def soft_mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], total: float | None = None, least: float = 0.0, rounds: int = ROUNDS, evidence: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, tokens, domain (the likeliest; of equals the first named), p (posteriors in the order
     of shares), rate, copies. shares are the target weights of the domains; total is how many tokens the mixture has: by
     default, the least under which no domain with a share above 0 must be thinned when least is 1, else as many as docs has.
     Null and empty texts have no tokens and keep rate 1 or nearly so; a null id is a row like any other. Repeated rows are
-    rated alike. An empty table gives an empty result. Targets that rates of least or more can reach are met within TOLERANCE,
+    rated alike, but for the rounding of copies, which goes by id. An empty table gives an empty result; columns of docs other
+    than id and text aren't read. Targets that rates of least or more can reach are met within TOLERANCE,
     unless a domain has less than 2 x LEAST_PULL / TOLERANCE of all tokens; of others the nearest in least squares."""
     domains = list(shares)
     weight = np.array([shares[d] for d in domains], float)
     weight = weight / weight.sum()
-    members = saved(classify(docs, labelled, domains, id_col, text_col))
+    members = saved(classify(docs, labelled, domains, evidence, id_col, text_col))
     masses = members.select(*(F.coalesce(F.sum(F.col("tokens") * F.col("p")[k]), F.lit(0.0)).alias(str(k)) for k in range(len(domains)))).first()
     mass = np.array([masses[str(k)] for k in range(len(domains))])
     if total is None:
@@ -171,10 +168,12 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], tot
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], total: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each row as many times as soft_mix gives it copies, columns as they are."""
+    """docs with each row as many times as soft_mix gives it copies, columns as they are, whatever their names. Rows that share
+    an id, null among them, all come as often as the most frequent of them; the rest is as in soft_mix."""
     found = soft_mix(docs, labelled, shares, total, least, id_col=id_col, text_col=text_col)
-    times = saved(found.where("copies <> 1").groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("_copies")))
-    joined = docs.join(times, docs[id_col].cast("long").eqNullSafe(times["_mixed"]), "left")
-    n = F.coalesce("_copies", F.lit(1))
-    each = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<bigint>")))
-    return joined.select(*(docs[f"`{c}`"] for c in docs.columns), each.alias("_copy")).drop("_copy")
+    of, n, each = (fresh(name, docs) for name in ("mixed_id", "mixed_n", "mixed_copy"))
+    times = saved(found.groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").alias(n)).where(F.col(n) != 1))
+    joined = docs.join(times, docs[id_col].cast("long").eqNullSafe(times[of]), "left")
+    copies = F.coalesce(times[n], F.lit(1))
+    times_over = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<bigint>")))
+    return joined.select(*(docs[f"`{c}`"] for c in docs.columns), times_over.alias(each)).drop(each)
