@@ -3,13 +3,15 @@
 Documents are tokenised once where they lie and cut into pieces; only (id, piece, length, digest) travels. The pieces are
 dealt by hash into groups of a fixed mean size and each group is packed by itself: longest first, each piece into the open
 bin that it fits in every capacity (tokens, documents, attention cost = sum of squared lengths) and that scores best, by the
-weighted norm of what stays free or by the weighted dot product of demand and free capacity. A group leaves about one bin
-partly filled, one in some thousands, whatever the size of the corpus.
+weighted norm of what stays free or by the weighted dot product of demand and free capacity. What a group leaves in bins far
+from full is dealt into groups once more, those of all groups together, until one group holds the rest; so the loss doesn't
+grow with the number of groups.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, saved, text_of
+from .common import fresh, map_arrow, saved, text_of
 from .tokens import default_path, encoder
 
 
@@ -96,23 +98,59 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_size: int = 8192) -> DataFrame:
-    """pieces (doc_id, piece, length and any other columns but sequence_id, offset and _group) with sequence_id and offset.
-    It reads pieces twice, once to count; pass a written table. Repeated rows are packed each by itself; an empty table gives
-    an empty one."""
-    groups = max(1, round(pieces.count() / group_size))
-    names = pieces.columns
-
-    def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(n, "ascending") for n in ("length", "doc_id", "piece")])
-        group = table.column("_group")[0].as_py()
-        bins, offsets = best_fit(table.column("length").to_numpy(), capacity)
-        return table.select(names).append_column("sequence_id", pa.array(bins + (group << 24), pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).groupBy("_group").applyInArrow(fill, schema)
+#: Pieces of a group on average, and how full a bin must be, in any of the capacities, not to be packed again.
+GROUP_SIZE = 8192
+FULL = 0.99
+
+
+def _shares(lengths: np.ndarray, bins: np.ndarray, capacity: Capacity) -> np.ndarray:
+    """The largest share of a capacity that is used in each bin, for each piece's bin."""
+    n = int(bins.max(initial=-1)) + 1
+    used = (np.bincount(bins, lengths, n) / capacity.tokens, np.bincount(bins, minlength=n) / capacity.documents, np.bincount(bins, lengths.astype(float) ** 2, n) / capacity.attention)
+    return np.max(used, axis=0)[bins]
+
+
+def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_size: int = GROUP_SIZE) -> DataFrame:
+    """pieces (doc_id, piece, length and any other columns, whatever their names) with sequence_id and offset, which take the
+    place of columns so named. pieces is read more than once; pass a written table. Groups go by id, piece and place in the
+    table, so that null ids and repeated rows are dealt out like any other; each row is packed by itself. Ties go by id and
+    piece. An empty table gives an empty one; a piece that doesn't fit an empty sequence is an error."""
+    pieces = pieces.drop("sequence_id", "offset")
+    names, of, left_open, done = pieces.columns, fresh("group", pieces), fresh("left_open", pieces), []
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + f", sequence_id long, offset long, `{left_open}` boolean"
+
+    def filler(level: int) -> Callable[[pa.Table], pa.Table]:
+        def fill(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(n, "ascending") for n in ("length", "doc_id", "piece")])
+            lengths, group = table.column("length").to_numpy(), table.column(of)[0].as_py()
+            bins, offsets = best_fit(lengths, capacity)
+            ids, open_ends = bins + (group << 24) + (level << 56), _shares(lengths, bins, capacity) < FULL
+            return table.select(names).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).append_column(left_open, pa.array(open_ends))
+
+        return fill
+
+    count, level = pieces.count(), 0
+    while True:
+        groups = max(1, round(count / group_size))
+        group = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups))
+        packed = pieces.withColumn(of, group).groupBy(of).applyInArrow(filler(level), schema)
+        if groups > 1:
+            packed = saved(packed)
+            before, count, level = count, packed.where(F.col(left_open)).count(), level + 1
+        # Pieces most of which stay in bins far from full, such as many of one length, fit no better in another round.
+        if groups == 1 or count > before // 2:
+            done.append(packed.drop(left_open))
+            break
+        done.append(packed.where(~F.col(left_open)).drop(left_open))
+        pieces = packed.where(F.col(left_open)).select(*names)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def pack_documents(docs: DataFrame, capacity: Capacity = Capacity(), tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is one piece, the closing
+    0; texts of any length are encoded whole; repeated rows and null ids are packed each by itself; an empty table gives an
+    empty result; columns of docs other than id and text aren't read."""
     return pack(saved(tokenised_pieces(docs, capacity.tokens, tokenizer, id_col=id_col, text_col=text_col)), capacity)
