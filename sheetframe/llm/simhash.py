@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, map_arrow, release, saved, text_of
+from .common import collect_garbage, map_arrow, release, saved, text_of, without
 from .components import connected_components
 
 
@@ -117,7 +117,7 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _bucket_pairs(prints: np.ndarray, key: int, bits: int, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs a < b (by place in prints, which are sorted) that are neighbours at a value with the leading bits `key`."""
-    left = radius // 2 - np.bitwise_count((prints >> np.uint64(64 - bits)) ^ np.uint64(key)).astype(np.int64)
+    left = radius // 2 - np.bitwise_count((prints >> np.uint64(64 - bits)) ^ np.uint64(key % 2**64)).astype(np.int64)
     found = _meetings(prints, left, 64 - bits, most)
     a = np.concatenate([x for x, _ in found] or [np.zeros(0, np.int64)])
     b = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
@@ -162,40 +162,71 @@ def leading_bits(n: int) -> int:
     return min(32, max(6, math.ceil(math.log2(max(n, 2))) - 11))
 
 
-def _sent(prints: DataFrame, radius: int) -> tuple[DataFrame, int]:
-    """table, fp, key: each print under each leading pattern that its ball has; and the bits of a pattern."""
+#: Prints that one task takes at most under a leading pattern; a pattern that has more is told apart by further bits.
+MOST_PRINTS = 500_000
+_FURTHER = 8
+
+
+def _sent(prints: DataFrame, radius: int, most: int = MOST_PRINTS) -> DataFrame:
+    """table, fp, key, bits, left: each print under each leading pattern (key, of so many bits) that its ball has, and the flips
+    that it may still make in the other bits. Patterns of more than `most` prints, as templated texts make them, are split by
+    further bits until none is left or all bits are used; what meets at a value still meets under its pattern."""
     if radius % 2:
         raise ValueError("an even radius is asked for")
     bits = leading_bits(prints.groupBy("table").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
-    masks = F.array(*(F.lit(int(m)) for m in _masks(0, bits, radius // 2)))
-    key = F.shiftrightunsigned("fp", 64 - bits)
-    return prints.select("table", "fp", F.explode(masks).alias("mask")).select("table", "fp", key.bitwiseXOR(F.col("mask")).alias("key")), bits
 
+    def lead(rows: DataFrame, low: int, high: int) -> DataFrame:
+        return rows.withColumn("own", F.shiftrightunsigned("fp", 64 - high).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long")))
 
-def ball_candidates(prints: DataFrame, radius: int = 4) -> DataFrame:
+    def spread(rows: DataFrame, low: int, high: int, what: str) -> DataFrame:
+        """rows with their keys prolonged from the leading `low` to the leading `high` bits."""
+        masks = F.array(*(F.lit(int(m)).cast("long") for m in _masks(0, high - low, flips)))
+        longer = rows.withColumn("mask", F.explode(masks)).where(F.bit_count("mask") <= F.col("left"))
+        key = F.shiftleft("key", high - low).bitwiseOR(F.col("own").bitwiseXOR(F.col("mask")))
+        return longer.select("table", what, key.alias("key"), F.lit(high).alias("bits"), (F.col("left") - F.bit_count("mask")).alias("left"))
+
+    flips, low, high, out = radius // 2, 0, bits, None
+    rows = prints.select("table", "fp", F.lit(0).cast("long").alias("key"), F.lit(flips).alias("left"))
+    while True:
+        own = lead(rows, low, high)
+        sent = spread(own, low, high, "fp")
+        # How many prints a pattern gets follows from how many have each pattern themselves, a far smaller table.
+        alike = own.groupBy("table", "key", "left", "own").agg(F.count("*").alias("n"))
+        totals = spread(alike, low, high, "n").groupBy(F.col("table").alias("_t"), F.col("key").alias("_k")).agg(F.sum("n").alias("n"))
+        crowded = saved(totals.where(F.col("n") > most).select("_t", "_k"))
+        if high == 64 or crowded.isEmpty():
+            return sent if out is None else out.unionByName(sent)
+        at = (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k"))
+        light = sent.join(crowded, at, "left_anti")
+        out = light if out is None else out.unionByName(light)
+        rows = saved(sent.join(crowded, at, "left_semi").select("table", "fp", "key", "left"))
+        low, high = high, min(64, high + _FURTHER)
+
+
+def ball_candidates(prints: DataFrame, radius: int = 4, most: int = MOST_PRINTS) -> DataFrame:
     """table, a, b: for each print that has others within radius, those of bucket_candidates; of several buckets' the nearest
     of either kind, so two for a print and table. prints as for ball_links."""
-    sent, bits = _sent(prints, radius)
+    sent = _sent(prints, radius, most)
 
     def meet(group: pa.Table) -> pa.Table:
-        a, b, kind = bucket_candidates(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), bits, radius)
+        a, b, kind = bucket_candidates(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), group.column("bits")[0].as_py(), radius)
         table = np.full(len(a), group.column("table")[0].as_py(), np.int32)
         return pa.table({"table": table, "a": a.view(np.int64), "b": b.view(np.int64), "kind": kind.astype(np.int32), "bits": np.bitwise_count(a ^ b).astype(np.int32)})
 
-    found = sent.groupBy("table", "key").applyInArrow(meet, "table int, a long, b long, kind int, bits int")
+    found = sent.groupBy("table", "bits", "key").applyInArrow(meet, "table int, a long, b long, kind int, bits int")
     return found.groupBy("table", "a", "kind").agg(F.min(F.struct("bits", "b")).alias("best")).select("table", "a", F.col("best.b").alias("b")).distinct()
 
 
-def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
+def ball_links(prints: DataFrame, radius: int = 4, most: int = MOST_PRINTS) -> DataFrame:
     """Links (a, b) that join all fingerprints of one table within radius, an even number, of each other into one component.
     prints: table int, fp long, distinct, a written table."""
-    sent, bits = _sent(prints, radius)
+    sent = _sent(prints, radius, most)
 
     def meet(group: pa.Table) -> pa.Table:
-        links = bucket_links(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), bits, radius)
+        links = bucket_links(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), group.column("bits")[0].as_py(), radius)
         return pa.table({"a": links[0].view(np.int64), "b": links[1].view(np.int64)})
 
-    links = sent.groupBy("table", "key").applyInArrow(meet, "a long, b long")
+    links = sent.groupBy("table", "bits", "key").applyInArrow(meet, "a long, b long")
     # A print has a root for each pattern it is found under, a bounded number. It keeps the least; the others are linked to
     # that, so that a large group gives a link per print and a few among its roots.
     roots = links.groupBy("a").agg(F.collect_set("b").alias("roots")).select("a", "roots", F.array_min("roots").alias("least"))
@@ -307,7 +338,7 @@ def alike_documents(docs: DataFrame, words: int = 2, radius: int = 4, tables: in
 
 def drop_near_duplicates(docs: DataFrame, words: int = 2, radius: int = 4, tables: int = 12, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the one document of each component of alike_documents that has its least id (of rows with that id, all),
-    columns as they are. Rows without id stay together unless one of them is like a document that has one."""
+    columns as they are, whatever their names. Rows without id stay together unless one of them is like a document that has
+    one. Null and empty texts are alike; an empty table gives an empty one."""
     found = alike_documents(docs, words, radius, tables, least, id_col=id_col, text_col=text_col)
-    gone = saved(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, id_col, saved(found.where("not (doc_id <=> component_id)").select("doc_id").distinct()))
