@@ -33,6 +33,9 @@ GRAM = 8
 #: Segments of at most 2 x WINDOW - GRAM words that one automaton is compiled from.
 SHARD_SEGMENTS = 12_000
 
+#: Bits of an anchor's place that say how many further windows have it.
+_MORE = 20
+
 _ODD = np.array([0x9E3779B97F4A7C15], np.uint64)
 #: Words are numbered to characters from here on: past the surrogates, room for 900,000 in a shard.
 _FIRST_SYMBOL = 0x10000
@@ -70,7 +73,7 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             hashes, first, last = anchors(text.split(), window, gram)
             if len(hashes):
-                found.append((hashes.view(np.int64), np.full(len(hashes), doc), first << 8 | (last - first)))
+                found.append((hashes.view(np.int64), np.full(len(hashes), doc), first << _MORE | (last - first)))
         if not found:
             found = [(np.zeros(0, np.int64),) * 3]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], names=["a", "doc", "at"])
@@ -80,7 +83,7 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs (doc, text; no null ids) to (a, doc, at) of anchors that occur more than once, and of those at the edge of a
-    partition, which might; at is first window << 8 | further windows."""
+    partition, which might; at is first window << _MORE | further windows."""
     n = shuffle_partitions(docs.sparkSession)
     placed = _anchor_rows(docs, window, gram).repartitionByRange(n, "a", "doc", "at").sortWithinPartitions("a", "doc", "at")
 
@@ -206,7 +209,7 @@ def locate(docs: DataFrame, found: DataFrame, window: int = WINDOW, shard_segmen
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = row[1].encode("utf-8", "surrogatepass").split()
                 for a, at in zip(row[2], row[3], strict=True):
-                    first, more = at >> 8, at & 255
+                    first, more = at >> _MORE, at & ((1 << _MORE) - 1)
                     for to, value in zip(cols, (a, row[0], first, b" ".join(words[first : first + more + window]).decode("utf-8", "surrogatepass")), strict=True):
                         to.append(value)
                 if len(cols[0]) >= 20_000:
@@ -249,6 +252,8 @@ def locate(docs: DataFrame, found: DataFrame, window: int = WINDOW, shard_segmen
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, first, end): word spans that a window covers whose words also start earlier, in a smaller id or in the same one
     further left; spans of a document may overlap. A written table."""
+    if not 0 < gram <= window <= 1 << _MORE:
+        raise ValueError(f"a window of 1 to {1 << _MORE} words and an anchor of no more are asked for")
     own = docs.select(docs[id_col].cast("long").alias("doc"), text_of(docs, text_col).alias("text")).where("doc is not null")
     found = saved(recurring_anchors(own, window, gram))
     collect_garbage(docs.sparkSession)
@@ -281,7 +286,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept. Words are split at the six ASCII
     white-space characters and taken as they are; a null text has none. A row without id takes no part: nothing is removed
     from it or for it. Rows of one id are one document: they aren't removed for each other, and what is found in one of them
-    goes, by place, from all."""
+    goes, by place, from all. An empty table gives an empty result; columns of docs other than id and text aren't read."""
     spans = repeated_spans(docs, window, gram, id_col, text_col)
     lists = spans.groupBy(F.col("doc").alias("of")).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))

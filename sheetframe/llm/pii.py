@@ -255,7 +255,8 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the counts of the base kinds, the digest of their spans, and all spans. Repeated rows give
-    repeated rows; a null id stays null; other columns of docs aren't read."""
+    repeated rows; a null id stays null; a null or empty text has no span, and a text of any length is read whole; spans that
+    begin at one place come in the order of KINDS; an empty table gives an empty result; other columns of docs aren't read."""
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: list[list[int]] = [[], [], [], []]

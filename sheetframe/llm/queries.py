@@ -41,44 +41,57 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, log_weight, kept. Nulls, empty and very long texts, ties, repeated rows, empty tables and
+    further columns are as importance_resample says."""
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: counts, digest and spans. Nulls, empty and very long texts, repeated rows, empty tables and further
+    columns are as find_pii says; ties between kinds go in the order of KINDS."""
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: the group of its text; the largest doc_id stays. Edge cases are as content_sort says."""
     return content_sort(_table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op4_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: its posteriors over the domains, rate and copies. Edge cases are as soft_mix says; a language
+    outside SHARES is no domain."""
     docs = _table(spark, sf_dir, "documents")
     return soft_mix(docs, labelled_domains(docs, _table(spark, sf_dir, "labels")), SHARES)
 
 
 def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: its place in a sequence of at most 2048 tokens. Edge cases are as pack_documents says."""
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op6_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: fingerprint and component_id. Edge cases are as near_duplicates says."""
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of pages: host, path, rule, verdict and the words scored. Edge cases are as judge_urls says."""
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of pages: its record as read back. Edge cases are as round_trip says."""
     return round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: words, words removed and the digest of the rest. Edge cases are as remove_repeats says."""
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query its five best. Edge cases are as whole_vectors and search say."""
     return top_inner_products(_table(spark, sf_dir, "embeddings"))
 
 

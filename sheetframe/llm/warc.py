@@ -192,6 +192,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes pages as archives in the shared folder and reads them back."""
+    """Writes pages as archives in the shared folder and reads them back: one row per row of pages, RECORDS. Null html is the
+    empty payload, of 0 bytes; a null url has no target; a null id is never referred to, but may itself revisit. Of rows with
+    equal payloads and the least id all are responses, however often they are there. Payloads of any length are held one at a
+    time. An empty table gives an empty result; columns of pages other than the three aren't read."""
     folder = f"{shared_dir(pages.sparkSession)}/warc/{uuid.uuid4().hex}"
     return read_archives(write_archives(pages, folder, id_col, url_col, html_col))

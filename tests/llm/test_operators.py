@@ -53,7 +53,7 @@ def clash(df):
     """Extra columns under names that the operators use within."""
     from pyspark.sql import functions as F
 
-    for name in ("_doc", "fp", "label", "kept", "spans", "tokens", "c0", "start"):
+    for name in ("_doc", "fp", "label", "kept", "spans", "tokens", "c0", "start", "gone", "_gone", "_mixed", "_copies", "_copy", "mixed_id", "mixed_n", "mixed_copy", "marked", "sequence_id", "offset", "group", "left_open"):
         df = df.withColumn(name, F.lit("extra"))
     return df
 
@@ -97,6 +97,23 @@ def test_drop_copies_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(d for d, _, _, stays, _ in brute_copies(rows, max) if stays)
 
 
+def test_drop_copies_of_one_text_in_all_rows(spark):
+    """One text under one id, and under none, in every row: cut over partitions, one row left."""
+    from pyspark.sql import functions as F
+
+    for doc_id in (F.lit(7), F.lit(None).cast("long"), F.col("id")):
+        df = spark.range(20_000).select(doc_id.alias("doc_id"), F.lit("Same text " * 20).alias("text"), F.col("id").alias("_sha"))
+        out = drop_copies(df, "largest", partitions=7).collect()
+        assert len(out) == 1 and out[0]["doc_id"] in (7, None, 19_999)
+        assert content_sort(df, "largest", partitions=7).where("kept and group_size = 20000").count() == 1
+
+
+def test_drop_copies_repeated_rows_and_null_ids(spark):
+    rows = [(4, "a", "x"), (4, "A", "y"), (None, "a", "z"), (None, "b", "z"), (None, "B", "z"), (9, None, "n"), (8, "", "n"), (1, "long " * 100_000, "l"), (2, "LONG " * 100_000, "l")]
+    out = drop_copies(clash(documents(spark, rows)), keep="largest").collect()
+    assert Counter(r["doc_id"] for r in out) == {4: 1, None: 1, 9: 1, 2: 1}
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -173,10 +190,9 @@ def test_ids_equal_tokenizers():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(default_path())
-    slow.encode_special_tokens = True
     rng = random.Random(1)
     letters = "abc ABC'sétß  \n\t.,!?0129\u00a0\u0085\u2028你好🙂\x1c<|endoftext|>"
-    texts = ["", "<|endoftext|>", "it's we'll", "x" * 5000] + ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(1500)]
+    texts = ["", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>", "it's we'll", "x" * 5000] + ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(1500)]
     for text in texts:
         assert encoder(default_path()).ids(text) == slow.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -203,6 +219,28 @@ def test_packing(spark):
     assert filled.sequence_id.nunique() <= 1.05 * got.length.sum() / 2048 + 1
 
 
+def test_packing_of_null_ids_and_repeated_rows(spark):
+    """A million pieces without id, all alike: dealt out like any other rows, and packed as well as in one group."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1_000_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 2 == 0, 1500).otherwise(548).cast("long").alias("length"), F.lit("x").alias("group"))
+    got = packing.pack(rows, group_size=50_000)
+    assert got.columns == ["doc_id", "piece", "start", "length", "group", "sequence_id", "offset"]
+    filled = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert filled.agg(F.count("*"), F.sum("n"), F.max("n"), F.max(F.col("end") - F.col("n"))).first()[1:] == (1_024_000_000, 2048, 0)
+    assert filled.count() <= 500_200
+    twice = documents(spark, [(None, "a b", "e"), (None, "a b", "e"), (3, None, "e"), (3, None, "e"), (5, "w " * 30_000, "e")])
+    assert Counter((r["doc_id"], r["piece"]) for r in packing.pack_documents(clash(twice)).collect())[(None, 0)] == 2
+
+
+def test_groups_leave_no_more_open_sequences_than_one(spark):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 2049, 6000)
+    pieces = spark.createDataFrame([(k, 0, int(n)) for k, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    used = {size: packing.pack(pieces, group_size=size).select("sequence_id").distinct().count() for size in (500, 6000)}
+    assert used[500] <= 1.01 * used[6000]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_holds_every_capacity(rule):
     rng = np.random.default_rng(2)
@@ -284,6 +322,26 @@ def test_ball_hashing_joins_all_within_the_radius(most):
     assert len(set(zip(roots, (label[int(p)] for p in prints), strict=True))) == len(set(roots)) == len(set(label.values()))
 
 
+def test_crowded_patterns_are_split_and_lose_no_link(spark):
+    rng = np.random.default_rng(7)
+    prints = {0x0123456789ABCDEF}
+    for p in [0x0123456789ABCDEF] * 60:  # templated texts: all alike in the leading 40 bits
+        for b in rng.choice(40, rng.integers(1, 12), replace=False):
+            p ^= 1 << int(b)
+        prints.add(p)
+    prints |= set(rng.integers(0, 2**63, 40).tolist())
+    prints = sorted(prints)
+    df = spark.createDataFrame([(0, p - 2**64 if p >= 2**63 else p) for p in prints], "table int, fp long")
+    want = brute_components(prints, 4)
+    for most in (500_000, 30, 2):
+        links = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.ball_links(df, most=most).collect()]
+        root = {p: p for p in prints}
+        for _ in prints:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        assert len(set(zip(want, (root[p] for p in prints), strict=True))) == len(set(want)) == len(set(root.values()))
+
+
 def test_near_duplicates_in_tables_and_null_ids(spark):
     base = [f"w{k}" for k in range(200)]
     near = [*base[:100], "changed", *base[101:]]
@@ -353,6 +411,22 @@ def test_top_inner_products(spark):
     assert sorted(map(tuple, topk.top_inner_products(df).collect())) == brute_top(rows)
 
 
+def test_top_inner_products_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), rng.normal(size=6).astype(np.float32).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    whole = topk.whole_vectors(df)
+    got = topk.search(whole, whole.where("vec_id % 3 = 0"), query_block=8)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 3)
+
+
+def test_components_beyond_longs(spark):
+    rows = [(0, [1e300, 2.0**60 + 2**20]), (1, [1.7e308, 1.0]), (2, [-1e300, -(2.0**60)]), (3, [2.0**45 + 2**-8, -0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["v"] for r in topk.whole_vectors(df).collect()}
+    assert got == {0: [256e300, 2.0**68 + 2**28], 2: [-256e300, -(2.0**68)], 3: [2.0**53 + 1, -128.0]} or got[3] == [2.0**53, -128.0]
+
+
 def test_top_inner_products_beyond_doubles(spark):
     rng = np.random.default_rng(8)
     rows = [(int(k), (rng.normal(size=3) * 1e5).astype(np.float32).tolist()) for k in range(0, 100, 5)]
@@ -383,7 +457,7 @@ def test_rules():
 def test_segmenter_finds_the_likeliest_words():
     counts = {"cheap": 50, "pills": 40, "the": 900, "there": 90, "re": 5, "rein": 20, "in": 500}
     seg = urls.Segmenter(counts, sum(counts.values()))
-    assert seg.words("cheappills") == ("cheap", "pills")
+    assert seg.words("cheappills") == ["cheap", "pills"]
     rng = random.Random(2)
     for _ in range(200):
         label = "".join(rng.choice([*counts, "q", "z"]) for _ in range(3))[:11]
@@ -391,16 +465,79 @@ def test_segmenter_finds_the_likeliest_words():
         assert sum(map(seg.score, seg.words(label))) == pytest.approx(max(sum(map(seg.score, c)) for c in cuts))
 
 
-def test_url_verdicts_learn_from_rules_and_seeds(spark):
-    rows = [(k, f"http://good{k}.example.com/news/{k}", "<p>cheap pills good</p>" * 5) for k in range(30)]
-    rows += [(100 + k, f"http://shop.net/es/{k}", "<p>pills</p>") for k in range(30)]
-    rows += [(200, "http://cheappills.org/x", None), (201, "http://news.org/news/1", ""), (None, None, None), (201, "http://news.org/news/1", "")]
-    got = defaultdict(list)
-    for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as verdict", "1 as host")).collect():
-        got[r["page_id"]].append(r)
-    assert got[200][0]["verdict"] == "block" and "h:cheap h:pills" in got[200][0]["words"]
-    assert [r["verdict"] for r in got[201]] == ["allow", "allow"]
-    assert (got[None][0]["host"], got[None][0]["path"], got[None][0]["rule"], got[None][0]["words"]) == ("", "", None, "")
+def brute_verdicts(rows):
+    """(page_id, host, path, rule, verdict, words) of each row, worked out without the operator's parts."""
+    rules = {("com", "/"): "allow", ("example.com", "/en/"): "block", ("www.example.com", "/en/"): "allow", ("net", "/es/"): "block", ("net", "/fr/"): "block"}
+    letters = re.compile(r"[0-9]+|[^\W\d_]+")
+    words = Counter(w for _, _, html in rows for w in re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", html or "").lower()))
+    total = max(2, sum(words.values()))
+
+    def cut(label):
+        if len(label) > 63:
+            return [label]
+        best = {0: (0.0, [])}
+        for end in range(1, len(label) + 1):
+            ways = []
+            for start in range(end):
+                w = label[start:end]
+                ways.append((best[start][0] + (np.log(words[w] / total) if words[w] else -np.log(total) - 2.303 * len(w)), -start, best[start][1] + [w]))
+            score, _, found = max(ways, key=lambda x: (round(x[0], 9), x[1]))
+            best[end] = (score, found)
+        return best[len(label)][1]
+
+    left_out = {w for host, path in rules for w in letters.findall(host + path)}
+    parted = []
+    for page, url, _ in rows:
+        m = re.match(r"(?s)(?:(?!://).)*://([^/?#]*)([^?#]*)", url or "")
+        host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
+        fit = sorted((h + p for h, p in rules if ("." + host).endswith("." + h) and path.startswith(p)), key=len)
+        verdict = {h + p: v for (h, p), v in rules.items()}[fit[-1]] if fit else None
+        tokens = ["h:" + w for part in letters.findall(host.lower()) for w in (["#"] if part.isdigit() else cut(part))]
+        tokens += ["p:" + ("#" if part.isdigit() else part) for part in letters.findall(path.lower())]
+        parted.append((page, host, path, fit[-1] if fit else None, verdict, [t for t in tokens if t[2:] not in left_out]))
+    seen, n = {"allow": Counter(), "block": Counter()}, Counter()
+    for *_, verdict, tokens in parted:
+        if verdict:
+            n[verdict] += 1
+            seen[verdict].update(xxhash.xxh64_intdigest(t) % 2**15 for t in tokens)
+    out = []
+    for page, host, path, rule, verdict, tokens in parted:
+        score = np.log((n["block"] + 1) / (n["allow"] + 1))
+        for t in tokens:
+            k = xxhash.xxh64_intdigest(t) % 2**15
+            score += np.log((seen["block"][k] + 1) / (seen["block"].total() + 2**15)) - np.log((seen["allow"][k] + 1) / (seen["allow"].total() + 2**15))
+        out.append((page, host, path, rule, verdict or ("block" if score > 1e-12 else "allow"), " ".join(tokens)))
+    return out
+
+
+def url_rows(seed=12, n=160):
+    rng = random.Random(seed)
+    good, bad = ["news", "garden", "museum", "été", "paper"], ["cheap", "pills", "casino", "win", "spam"]
+    rows = []
+    for k in range(n):
+        words = good if rng.random() < 0.5 else bad
+        label = "".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+        top = rng.choice(["com", "net", "org", "example.com", "www.example.com"])
+        lang = rng.choice(["en", "es", "fr", "de"])
+        rows.append((k, f"http://{label}.{top}/{lang}/{rng.choice(words)}-{rng.randrange(9)}?q#f", f"<p class=x>{' '.join(rng.choice(good + bad) for _ in range(20))}</p>"))
+    rows += [(300, None, None), (301, "", ""), (302, "no scheme", "x"), (300, "http://CheapPills.org", None), (303, "http://" + "verylong" * 400 + ".org/" + "a/" * 20_000, "y" * 300_000), (None, "http://h.net/es/", "z"), (5, rows[5][1], rows[5][2]), (304, "a://b://c.net/fr/", None), (305, "x:\n//a", "q")]
+    return rows
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    rows = url_rows()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as verdict", "1 as host", "'t' as tokens", "2 as n").repartition(4)
+    got = [tuple(r) for r in urls.judge_urls(df).collect()]
+    assert sorted(got, key=repr) == sorted(brute_verdicts(rows), key=repr)
+    assert {v for _, _, _, rule, v, _ in got if rule is None} == {"allow", "block"}
+
+
+def test_url_seeds_and_pages_without_rules(spark):
+    rows = [(1, "http://cheappills.org/x", "<p>cheap pills</p>" * 5), (2, "http://news.org/", ""), (3, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["verdict"] for r in urls.judge_urls(df).collect()} == {"allow"}
+    seeded = {r["page_id"]: (r["verdict"], r["words"]) for r in urls.judge_urls(df, seeds={"block": {"pills": 50}, "allow": {"news": 50}}).collect()}
+    assert seeded == {1: ("block", "h:cheap h:pills h:org p:x"), 2: ("allow", "h:news h:org"), 3: ("allow", "")}
 
 
 # WARC
@@ -481,6 +618,37 @@ def test_gumbel_top_k_equals_a_sort(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == set(sorted(keys, key=keys.get, reverse=True)[:77])
 
 
+def test_weights_equal_a_recount_of_both_models(spark):
+    """The log ratio of two n-gram models counted anew, word by word; a very long text, ties, and extra columns."""
+    rows, labels = quality_rows()
+    rows += [(900, "long " * 50_000, "en"), (901, rows[3][1], "en"), (902, rows[3][1], "en"), (903, None, "en")]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    good = {d for d, q, _ in labels if q}
+
+    def grams(text):
+        words = [xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+        pairs = [8192 + (1 if a == b else ((a * 0x9E3779B97F4A7C15 % 2**64 ^ b) * 0xFF51AFD7ED558CCD % 2**64 >> 33) % 8192) for a, b in zip(words, words[1:], strict=False)]
+        return [w % 8192 for w in words] + pairs
+
+    target, raw = Counter(), Counter()
+    for doc, text, _ in rows:
+        raw.update(grams(text))
+        if doc in good:
+            target.update(grams(text))
+    share = target.total() / raw.total()
+    want = {d: sum(np.log((target[g] + quality.PRIOR) / (raw[g] * share + quality.PRIOR)) for g in grams(t)) for d, t, _ in rows}
+    got = {r["doc_id"]: r["log_weight"] for r in quality.importance_resample(clash(documents(spark, rows)), marks).collect()}
+    assert got == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
+def test_noise_matters_as_sampling_asks(spark):
+    """Rows of equal weight: which of them stay is the draw's, not the order's."""
+    rows = [(k, "same words here", "en") for k in range(400)]
+    marks = spark.createDataFrame([(k, 1, 0) for k in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.importance_resample(documents(spark, rows), marks, k=200).collect() if r["kept"]}
+    assert len(kept) == 200 and 60 < sum(d < 200 for d in kept) < 140
+
+
 def test_quality_edges(spark):
     rows = [(1, None, "a"), (1, None, "a"), (None, "", "a"), (None, "x y", "a"), (3, "x y z", "a")]
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -533,3 +701,12 @@ def test_mixing_copies_rows(spark):
     seen = Counter(r["doc_id"] for r in out.collect())
     assert set(seen) == {d for d, _, _ in rows}
     assert max(seen.values()) > 1
+
+
+def test_mixing_ties_and_long_texts(spark):
+    """Labels of one id that differ: the least counts. Equal posteriors: the first domain named. A very long text."""
+    rows = [(1, "red", "a"), (2, "one", "b"), (3, "red " * 100_000 + "one " * 100_000, "a"), (4, "", "a"), (4, "", "a"), (5, None, "a")]
+    labelled = spark.createDataFrame([(1, "b"), (1, "a"), (2, "b"), (7, "z"), (None, "a")], "doc_id long, domain string")
+    got = {r["doc_id"]: r for r in mixing.soft_mix(clash(documents(spark, rows)), labelled, {"b": 1.0, "a": 1.0}).collect()}
+    assert (got[1]["domain"], got[2]["domain"]) == ("a", "b")
+    assert got[4]["p"] == got[5]["p"] and got[4]["tokens"] == 0 and got[3]["tokens"] == 200_000
