@@ -126,7 +126,7 @@ def _bucket_pairs(prints: np.ndarray, key: int, bits: int, radius: int, most: in
     return pairs // max(len(prints), 1), pairs % max(len(prints), 1)
 
 
-def bucket_links(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 8_000_000) -> np.ndarray:
+def bucket_links(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 2_000_000) -> np.ndarray:
     """Pairs (print, least print of its group) of distinct prints that meet at a value with the leading `bits` bits `key`."""
     prints = np.sort(prints)
     root = _stars(len(prints), *_bucket_pairs(prints, key, bits, radius, most))
@@ -134,7 +134,7 @@ def bucket_links(prints: np.ndarray, key: int, bits: int, radius: int, most: int
     return np.stack([prints[own], prints[root[own]]])
 
 
-def bucket_candidates(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 8_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_candidates(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As bucket_links, but with what a check of the texts needs: (print, other, kind). Kind 0 is the nearest print that it
     meets; kind 1 is its group's middle, the print nearest to the majority of the group's bits."""
     prints = np.sort(prints)
