@@ -6,8 +6,11 @@ quotes and escapes is split at C speed; only records with either go through the
 
 from __future__ import annotations
 
+import base64
 import io
+import quopri
 import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any, BinaryIO
@@ -28,7 +31,8 @@ class DelimitedError(ValueError):
 
 @dataclass(frozen=True)
 class DelimitedOptions:
-    """double_quotes is accepted and has no effect: a doubled enclosure within quotes always stands for one."""
+    """double_quotes is accepted and has no effect: a doubled enclosure within quotes always stands for one. stream_filter is
+    what the bytes pass through before anything else: convert.iconv.FROM/TO, a name of STREAM_FILTERS, or a function of bytes."""
 
     strict: bool = True
     encoding: str | None = None
@@ -40,7 +44,7 @@ class DelimitedOptions:
     skip_empty_lines: bool = False
     comment_prefix: str = ""
     allow_binary: bool = False
-    stream_filter: str | None = None
+    stream_filter: str | Callable[[bytes], bytes] | None = None
 
     @classmethod
     def of(cls, options: dict[str, Any] | None = None) -> DelimitedOptions:
@@ -59,6 +63,30 @@ class DelimitedOptions:
         return cls(**given)
 
 
+#: Filters of a stream by name.
+STREAM_FILTERS: dict[str, Callable[[bytes], bytes]] = {
+    "zlib.inflate": lambda data: zlib.decompress(data, -15),
+    "gzip": lambda data: zlib.decompress(data, 31),
+    "convert.base64-decode": base64.b64decode,
+    "convert.quoted-printable-decode": quopri.decodestring,
+}
+
+
+def filtered(stream: BinaryIO, options: DelimitedOptions) -> tuple[BinaryIO, DelimitedOptions]:
+    """The stream behind the options' filter, and the options with the encoding that it leaves."""
+    wanted = options.stream_filter
+    if wanted is None:
+        return stream, options
+    if isinstance(wanted, str) and (m := re.fullmatch(r"convert\.iconv\.([^/]+?)[/.]([A-Za-z0-9_-]+)", wanted)):
+        if codec_of(m[1]) is None or codec_of(m[2]) is None:
+            raise DelimitedError(ERR_OTHER, f"Filter {wanted} is not supported", 0, 0)
+        return stream, replace(options, encoding=m[1])
+    give = STREAM_FILTERS.get(wanted) if isinstance(wanted, str) else wanted
+    if give is None:
+        raise DelimitedError(ERR_OTHER, f"Filter {wanted} is not supported", 0, 0)
+    return io.BytesIO(give(stream.read())), options
+
+
 def resolve(sample: bytes, options: DelimitedOptions) -> DelimitedOptions:
     """The options with encoding and delimiter settled by a sample of the file's start."""
     encoding = options.encoding
@@ -71,6 +99,8 @@ def resolve(sample: bytes, options: DelimitedOptions) -> DelimitedOptions:
     delimiter = options.delimiter
     if delimiter is None:
         text = sample[bom_size(sample) :].decode(codec_of(encoding), "replace")
+        if len(sample) >= SAMPLE_BYTES:  # the last record is cut
+            text = text[: max(text.rfind("\n"), text.rfind("\r")) + 1] or text
         best, confidence = detect_delimiter(text)
         delimiter = best if confidence >= 0.6 else ","
     return replace(options, encoding=encoding, delimiter=delimiter)
@@ -84,6 +114,11 @@ class RecordParser:
         self.o, self.on_error = options, on_error
         special = re.escape(options.enclosure) + (re.escape(options.escape) if options.escape else "")
         self._special = re.compile(f"[{special}]") if special else None
+        self._piece = None
+        if options.enclosure and not options.escape and len(options.delimiter or "") == 1:
+            q, d = re.escape(options.enclosure), re.escape(options.delimiter)
+            blanks = "[ \\t]*" if options.trim_fields else ""
+            self._piece = re.compile(rf"{q}((?:[^{q}]++|{q}{q})*+){q}{blanks}({d}|\Z)|([^{q}{d}]*+)({d}|\Z)")
         self.record, self.errors = 0, []
 
     def records(self, chunks: Iterable[str]) -> Iterator[tuple[int, str, list[str]]]:
@@ -166,6 +201,8 @@ class RecordParser:
                 if len(line) == len(body):
                     fields[-1] = last  # cut by the end of the file, not by a line end
             return fields
+        if self._piece and (found := self._well_formed(body, len(line) == len(body))) is not None:
+            return found
         self.errors = []
         fields, unclosed = self._scan(line if self._open(body) else body, True, len(line) == len(body))
         if unclosed:
@@ -177,6 +214,22 @@ class RecordParser:
                 self.on_error(e)
         return fields
 
+    def _well_formed(self, body: str, at_end: bool) -> list[str] | None:
+        """The fields of a record whose quotes are all in their place, None for another, which is for _scan."""
+        out, at, n, q = [], 0, len(body), self.o.enclosure
+        while m := self._piece.match(body, at):
+            quoted, last = m[1] is not None, not (m[2] or m[4])
+            value = m[1].replace(q + q, q) if quoted else m[3]
+            if self.o.trim_fields and not quoted and not (last and at_end):
+                value = value.strip(" \t\n\r\0\x0b")
+            out.append(value)
+            at = m.end()
+            if last:
+                return out
+            if at == n:
+                return [*out, ""]
+        return None
+
     def _error(self, code: int, message: str, column: int) -> None:
         self.errors.append(DelimitedError(code, message, self.record, column))
 
@@ -261,8 +314,10 @@ class DelimitedReader:
     """A file's records, and rows the way the low-level engine gives them: columns from 0, rows by record number."""
 
     def __init__(self, source: bytes | BinaryIO, options: DelimitedOptions | dict | None = None, on_error: Callable[[DelimitedError], None] | None = None):
-        self.stream = io.BytesIO(source) if isinstance(source, bytes) else source
         asked = options if isinstance(options, DelimitedOptions) else DelimitedOptions.of(options)
+        self.stream, asked = filtered(io.BytesIO(source) if isinstance(source, bytes) else source, asked)
+        self.line_no = 0
+        self._raw: Iterator[tuple[int, list[str]]] | None = None
         self.options, self.on_error = resolve(self.stream.read(SAMPLE_BYTES), asked), on_error
         self.header: bool = False
         self.names: list[str] = []
@@ -289,8 +344,20 @@ class DelimitedReader:
                 continue
             if self.options.comment_prefix and line.startswith(self.options.comment_prefix):
                 continue
+            self.line_no = number
             yield number, fields
 
+    def next_raw_row(self) -> list[str] | None:
+        """The fields of the next record, comments left out, None at the end; line_no is its number, which counts empty and
+        comment lines too."""
+        if self._raw is None:
+            self._raw = self.records()
+        found = next(self._raw, None)
+        if found is None:
+            self._raw = None
+            return None
+        return found[1]
+
     def rows(self, keys: dict | list | bool | None = None, mode: int = 0, limit: int = 0) -> Iterator[tuple[int, dict[Any, str]]]:
         """(row key, column key to value). The header is a header only as record 1; longer rows get further keys; a one-based
         row key is the record number plus 1."""

@@ -97,49 +97,52 @@ def looks_binary(sample: bytes, share: float = 0.3) -> bool:
     return b"\0" in sample or sum(b < 32 and b not in (9, 10, 13) or b == 127 for b in sample) > share * len(sample)
 
 
-def logical_lines(text: str, most: int = 80) -> list[str]:
-    """The first lines, where line ends within double quotes don't count."""
-    out, at, quoted = [], 0, False
-    for m in re.finditer(r'"|\r\n|\n|\r', text):
-        if m[0] == '"':
-            quoted = not quoted  # a doubled quote turns it twice
-        elif not quoted:
-            out.append(text[at : m.start()])
-            at = m.end()
-            if len(out) == most:
-                return out
-    return out + [text[at:]] if at < len(text) else out
-
-
-def _outside_quotes(line: str, delimiter: str) -> int:
-    return sum(part.count(delimiter) for part in line.split('"')[::2])
-
-
-def detect_delimiter(text: str, locale_guess: str = ",") -> tuple[str, float]:
-    """(delimiter, confidence). A steady number of fields counts most; under 0.6 the guess by locale is better."""
-    lines = [x for x in logical_lines(text) if x.strip()]
-    if len(logical_lines(text)) < 3 or len(lines) < 3:
-        first = lines[0] if lines else ""
-        best = max(CANDIDATES, key=lambda d: _outside_quotes(first, d))
-        return (best, 0.4) if _outside_quotes(first, best) else (locale_guess, 0.0)
-    commas = min(20, sum(len(re.findall(r"(?<=[0-9]),(?=[0-9])", x)) for x in lines))
-    tabs = min(20, sum(x.count("\t") for x in lines))
-    found = []
-    for place, d in enumerate(CANDIDATES):
-        fields = [_outside_quotes(x, d) + 1 for x in lines]
-        mode, times = Counter(fields).most_common(1)[0]
-        if mode < 2:
-            continue
-        steady, mean = times / len(fields), sum(fields) / len(fields)
-        spread = math.sqrt(sum((f - mean) ** 2 for f in fields) / (len(fields) - 1))
-        score = 100 * steady + min(mode, 20) - 5 * spread - (20 if sum(fields) - len(fields) < 5 else 0)
-        score += {";": min(10, commas), ",": -min(10, commas), "\t": min(10, tabs)}.get(d, 0)
-        found.append((score, -place, steady, d))
-    if not found:
-        return locale_guess, 0.0
-    found.sort(reverse=True)
-    score, _, steady, best = found[0]
-    if score <= 0:
-        return best, 0.0
-    gap = score - found[1][0] if len(found) > 1 else 999.0
-    return best, min(1.0, max(0.0, 0.5 + gap / 50)) * min(1.0, max(0.0, (steady - 0.5) / 0.5))
+#: A record: quoted parts, which may hold line ends, and anything else up to a line end.
+_RECORD = re.compile(r'((?:"[^"]*"?|[^"\r\n])*)(?:\r\n|\r|\n|\Z)')
+_QUOTED = re.compile(r'"[^"]*"?')
+#: Marks that stand within values: decimal commas, times, and the colon of a URL.
+_INNER = {",": re.compile(r"(?<=[0-9]),(?=[0-9])"), ":": re.compile(r"(?<=[0-9]):(?=[0-9])|:(?=//)")}
+#: How often a record of a table has the usual number of fields, and how much rarer each field more or less is.
+_USUAL, _RARER = 0.9, 0.5
+
+
+def sample_records(text: str) -> list[str]:
+    """The records of a sample that aren't blank, with what is in quotes taken out."""
+    found = (_QUOTED.sub("", m[1]) for m in _RECORD.finditer(text))
+    return [r for r in found if r.strip()]
+
+
+def _evidence(counts: list[int]) -> float:
+    """The log likelihood ratio of two models of how often a mark occurs in each record: as the delimiter of a table, nearly
+    always the same number of times; or at random, at its mean rate."""
+    usual, times = Counter(counts).most_common(1)[0]
+    usual = max(c for c, n in Counter(counts).items() if n == times)
+    if not usual:
+        return -math.inf
+    rate = sum(counts) / len(counts)
+
+    def ratio(n: int) -> float:
+        table = math.log(_USUAL) if n == usual else math.log(1 - _USUAL) + abs(n - usual) * math.log(_RARER)
+        return table - (n * math.log(rate) - rate - math.lgamma(n + 1))
+
+    return sum(map(ratio, counts))
+
+
+def detect_delimiter(text: str, guess: str = ",") -> tuple[str, float]:
+    """(delimiter, its probability among the candidates and no delimiter at all), by the evidence of a sample's records. Marks
+    that all stand within values count half as likely in records that another candidate splits too. Fewer than three records
+    tell nothing: probability 0."""
+    records = sample_records(text)
+    counts = {d: [r.count(d) for r in records] for d in CANDIDATES}
+    scores = {}
+    for d, own in counts.items():
+        if any(own):
+            scores[d] = _evidence(own)
+            if d in _INNER:
+                others = [any(counts[e][k] for e in CANDIDATES if e != d) for k in range(len(records))]
+                scores[d] -= math.log(2) * sum(n > 0 and o and len(_INNER[d].findall(r)) == n for n, o, r in zip(own, others, records, strict=True))
+    best = max(scores, key=scores.get, default=None)
+    if best is None or scores[best] == -math.inf:
+        return guess, 0.0
+    weights = [math.exp(min(s, 700) - min(scores[best], 700)) for s in scores.values()] + [math.exp(-min(scores[best], 700))]
+    return best, 1 / sum(weights) if len(records) >= 3 else 0.0
