@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH_SERIAL = 25569  # 1970-01-01
@@ -49,29 +49,80 @@ BUILTIN_FORMATS: dict[int, tuple[str, str]] = {
 #: Builtin ids that stand for dates, localized ones among them (fixed values).
 DATE_IDS = ((14, 22), (27, 36), (45, 47), (50, 58), (71, 81))
 
-#: Short date, long date, times and date-time of builtin ids 14 to 22 by locale (fixed values).
-LOCALE_FORMATS: dict[str, dict[int, str]] = {
-    "en_US": {14: "m/d/yy", 15: "mmm d, yyyy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm AM/PM", 21: "h:mm:ss AM/PM", 22: "m/d/yy, h:mm AM/PM"},
-    "en_GB": {14: "dd/mm/yyyy", 15: "d mmm yyyy", 18: "hh:mm", 19: "hh:mm:ss", 20: "hh:mm", 21: "hh:mm:ss", 22: "dd/mm/yyyy, hh:mm"},
-    "de_DE": {14: "dd.mm.yy", 15: "dd.mm.yyyy", 18: "hh:mm", 19: "hh:mm:ss", 20: "hh:mm", 21: "hh:mm:ss", 22: "dd.mm.yy, hh:mm"},
-    "fr_FR": {14: "dd/mm/yyyy", 15: "d mmm yyyy", 18: "hh:mm", 19: "hh:mm:ss", 20: "hh:mm", 21: "hh:mm:ss", 22: "dd/mm/yyyy hh:mm"},
-    "ru_RU": {14: "dd.mm.yyyy", 15: "d mmm yyyy", 18: "hh:mm", 19: "hh:mm:ss", 20: "hh:mm", 21: "hh:mm:ss", 22: "dd.mm.yyyy, hh:mm"},
-}
+#: Builtin ids that a locale writes its own way (fixed values): short date, day with month and year, times, date with time.
+LOCALE_IDS = (14, 15, 16, 17, 20, 21, 22)
+
+#: A part of a number format: quoted text, an escaped character, brackets, a half-day mark, a run of a date letter, anything else.
+_PART = re.compile(r'"([^"]*)"?|\\(.)|\[([^\]]*)\]|(AM/PM|am/pm|A/P)|([ymdhsYMDHS])\5*|(.)', re.S)
+
 
-_LOCALE_MASK = re.compile(r"^\[\$-[0-9A-F]{3,4}\].+")
-_DATE_MASK = re.compile(r"yy|mm|dd|h|MM|ss|[/.][dm](;.+)?")
-_NUMBER_MASK = re.compile(r"0+(\.0+)?")
-_TEXT_DATE = re.compile(r"[\d.\-/:\s]+")
+def _parts(code: str) -> list[tuple[str, str]]:
+    """(kind, text) of the parts of a format: text, mark (an escaped or plain character), bracket, ampm, or a date letter with
+    its run."""
+    out = []
+    for m in _PART.finditer(code):
+        quoted, escaped, bracket, half, letter, other = m.groups()
+        if quoted is not None:
+            out.append(("text", quoted))
+        elif bracket is not None:
+            out.append(("bracket", bracket))
+        elif half:
+            out.append(("ampm", half))
+        elif letter:
+            out.append((letter, m[0]))
+        else:
+            out.append(("mark", escaped if escaped is not None else other or ""))
+    return out
 
 
 def is_date_format(code: str, format_id: int | None = None) -> bool:
+    """By a date id, by a locale in front, or by a part that only dates have: two letters for year, month, day or second, any
+    hour, a half-day mark, elapsed time in brackets, or a single day or month after a slash or point."""
     if format_id and any(a <= format_id <= b for a, b in DATE_IDS):
         return True
-    return bool(code) and bool(_LOCALE_MASK.match(code) or _DATE_MASK.search(code))
+    parts = _parts(code or "")
+    if len(parts) > 1 and parts[0][0] == "bracket" and _is_locale(parts[0][1]):
+        return True
+    for (before, mark), (kind, run) in zip([("", ""), *parts], parts, strict=False):
+        if kind == "h" or kind in ("y", "m", "d", "s", "M") and len(run) > 1 or kind == "ampm":
+            return True
+        if kind == "bracket" and run and set(run.lower()) <= set("hms") and len(set(run.lower())) == 1:
+            return True
+        if kind in ("d", "m") and before == "mark" and mark in ("/", "."):
+            return True
+    return False
+
+
+def _is_locale(text: str) -> bool:
+    """$-409 and the like: three or four hexadecimal digits."""
+    return text.startswith("$-") and len(text) in (5, 6) and set(text[2:]) <= set("0123456789ABCDEF")
 
 
 def is_number_format(code: str) -> bool:
-    return bool(_NUMBER_MASK.fullmatch(code))
+    """Zeros, and perhaps a point with zeros after it."""
+    whole, point, part = code.partition(".")
+    return bool(whole) and set(whole) == {"0"} and (not point or set(part) == {"0"})
+
+
+def locale_codes(spark: SparkSession, locale: str) -> dict[str, str]:
+    """date_format patterns of the builtin codes LOCALE_IDS as a locale (ru_RU) writes them, from the JVM's own tables. Short
+    dates have four digits of the year where the locale doesn't say two, hours no leading zero; day and month names go with the
+    separator of the short date."""
+    time, util = spark._jvm.java.time, spark._jvm.java.util
+    of = util.Locale.forLanguageTag(locale.replace("_", "-"))
+    if of.getLanguage() not in set(util.Locale.getISOLanguages()):
+        raise ValueError(f"no formats for locale {locale}")
+    style, iso = time.format.FormatStyle, time.chrono.IsoChronology.INSTANCE
+
+    def pattern(date, clock) -> str:
+        return time.format.DateTimeFormatterBuilder.getLocalizedDateTimePattern(date, clock, iso, of)
+
+    day = re.sub(r"(?<!y)y(?!y)", "yyyy", pattern(style.SHORT, None))
+    mark = next((c for c in day if not c.isalpha()), "-")
+    mark = "''" if mark == "'" else mark
+    short, medium = (re.sub("HH", "H", pattern(None, s)).replace("B", "a") for s in (style.SHORT, style.MEDIUM))
+    shown = (day, f"d{mark}MMM{mark}yy", f"d{mark}MMM", f"MMM{mark}yy", short, medium, f"{day} {short}")
+    return {BUILTIN_FORMATS[k][0]: p for k, p in zip(LOCALE_IDS, shown, strict=True)}
 
 
 def format_category(code: str, format_id: int, from_xls: bool = False) -> str:
@@ -99,14 +150,47 @@ def serial_seconds(serial: Column, date1904: Column | bool = False) -> Column:
     return F.when(day == 0, part).otherwise((day - EPOCH_SERIAL) * 86400 + part).cast("long")
 
 
-#: Text dates that are read (fixed values), tried in this order.
-TEXT_PATTERNS = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy", "d.M.yyyy H:m:s", "d.M.yyyy H:m", "d.M.yyyy", "d-M-yyyy H:m:s", "d-M-yyyy", "yyyy/M/d H:m:s", "yyyy/M/d")
+#: How each form of a text date is put as year-month-day, in order: pattern and replacement. YEAR and DAY stand for today's.
+_FORMS = (
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?= |$)", "$1-$2-$3"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})(?= |$)", "$3-$1-$2"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})(?= |$)", "YEAR-$1-$2"),
+    (r"^([0-9]{1,2})[.-]([0-9]{1,2})[.-]([0-9]{4})(?= |$)", "$3-$2-$1"),
+    (r"^([0-9]{1,2})\.([0-9]{1,2})\.(6[1-9]|[7-9][0-9])(?= |$)", "$3-$2-$1"),
+    (r"^([0-9]{1,2}[:.][0-9]{2}(?:[:.][0-9]{2}(?:[:.][0-9]+)?)?)$", "DAY $1"),
+    (r"^([0-9]{4}-[0-9]{1,2})(?= |$)", "$1-1"),
+    (r"^([0-6][0-9])-", "20$1-"),
+    (r"^([7-9][0-9])-", "19$1-"),
+)
+_DATE_TIME = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?: +([0-9]{1,2})[:.]([0-9]{2})(?:[:.]([0-9]{2})(?:[:.][0-9]+)?)?)?$"
 
 
 def text_seconds(text: Column) -> Column:
-    """Unix seconds of a date written with digits and separators; 0 for other text."""
-    found = F.coalesce(*(F.unix_timestamp(F.try_to_timestamp(F.trim(text), F.lit(p))) for p in TEXT_PATTERNS), F.lit(0))
-    return F.when(F.trim(text).rlike(r"^[0-9.\-/:\s]+$"), found).otherwise(F.lit(0)).cast("long")
+    """Unix seconds of a date or time written with digits and separators: year first with hyphens or slashes, month first with
+    slashes, day first with points or hyphens, each perhaps with a time after it. Years of two digits are 1970 to 2069; a year
+    that isn't said is this one, a time alone is today's, a day beyond the month's end is in the next month. 0 for other text."""
+    plain = F.trim(F.translate(text, "\t\n\r\x0b\f", "     "))
+    today = F.current_date()
+    for pattern, to in _FORMS:
+        if "YEAR" in to or "DAY" in to:
+            word = "YEAR" if "YEAR" in to else "DAY"
+            now = F.year(today).cast("string") if word == "YEAR" else today.cast("string")
+            plain = F.regexp_replace(plain, F.lit(pattern), F.concat(now, F.lit(to[len(word) :])))
+        else:
+            plain = F.regexp_replace(plain, pattern, to)
+
+    def seconds(written: Column) -> Column:
+        parts = F.transform(F.split(F.regexp_replace(written, _DATE_TIME, "$1,$2,$3,$4,$5,$6"), ","), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+        return F.transform(F.array(parts), of_parts)[0]
+
+    def of_parts(p: Column) -> Column:
+        year, month, day, hour, minute, second = (F.get(p, k) for k in range(6))
+        good = month.between(1, 12) & day.between(1, 31) & (hour <= 24) & (minute < 60) & (second < 60)
+        start = F.unix_date(F.make_date(year, F.when(good, month).otherwise(1), F.lit(1))) + day - 1
+        return F.when(good, start.cast("long") * 86400 + hour * 3600 + minute * 60 + second).otherwise(F.lit(0).cast("long"))
+
+    found = F.transform(F.array(plain), lambda w: F.when(w.rlike(_DATE_TIME), seconds(w)).otherwise(F.lit(0).cast("long")))[0]
+    return F.when(F.trim(text).rlike(r"^[0-9.\-/:\s]+$"), found).otherwise(F.lit(0).cast("long"))
 
 
 @lru_cache(4096)
@@ -115,17 +199,18 @@ def spark_pattern(code: str) -> str | None:
     else a month; colours, conditions, elapsed-time brackets and sections after the first are left out."""
     if not is_date_format(code):
         return None
-    body = re.sub(r"\[(\$[^\]]*|[A-Za-z]+\d*|[<>=][^\]]*)\]", lambda m: m[1] if re.fullmatch("[hHmMsS]+", m[1]) else "", code).split(";")[0]
     parts: list[tuple[str, str]] = []
-    for m in re.finditer(r'"([^"]*)"|\\(.)|(AM/PM|am/pm|A/P)|([ymdhsYMDHS])\4*|(.)', body):
-        if m[1] is not None or m[2] is not None:
-            parts.append(("text", m[1] if m[1] is not None else m[2]))
-        elif m[3]:
-            parts.append(("ampm", m[3]))
-        elif m[4]:
-            parts.append((m[4].lower(), m[0].lower()))
-        elif m[5] not in "*_@":
-            parts.append(("text", m[5]))
+    for kind, text in _parts(code):
+        if kind == "mark" and text == ";":
+            break  # sections after the first are for other signs
+        if kind == "bracket":
+            if text and set(text.lower()) <= set("hms"):  # elapsed time
+                parts.append((text[0].lower(), text.lower()))
+        elif kind == "mark":
+            if text not in "*_@":
+                parts.append(("text", text))
+        else:
+            parts.append((kind.lower(), text if kind in ("text", "ampm") else text.lower()))
     kinds = [k for k, _ in parts]
     half = "ampm" in kinds
     out = []
