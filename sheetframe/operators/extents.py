@@ -24,18 +24,18 @@ def _extent() -> list[Column]:
     ]
 
 
-def actual_dimension(cells: DataFrame) -> DataFrame:
-    """min_row, max_row, count_rows, min_col, max_col, count_columns and dimension (A1:C3) of the cells that are there; a
-    sheet without cells has counts of 0 and no dimension."""
-    found = cells.agg(*_extent())
+def actual_dimension(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """min_row, max_row, count_rows, min_col, max_col, count_columns and dimension (A1:C3) of the cells that are there, for each
+    value of the columns `by`; without such columns, a sheet that has no cell has counts of 0 and no dimension."""
+    found = cells.groupBy(*by).agg(*_extent())
     first = F.concat(col_letter_expr(F.col("min_col")), F.col("min_row").cast("string"))
     last = F.concat(col_letter_expr(F.col("max_col")), F.col("max_row").cast("string"))
     return found.withColumn("dimension", F.when(first == last, first).otherwise(F.concat_ws(":", first, last)))
 
 
-def stat(cells: DataFrame) -> DataFrame:
-    """The extent with cells_total and cells_filled (those whose value isn't null)."""
-    return cells.agg(*_extent(), F.count("*").alias("cells_total"), F.count(F.when(_filled(), 1)).alias("cells_filled"))
+def stat(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The extent with cells_total and cells_filled (those whose value isn't null), for each value of the columns `by`."""
+    return cells.groupBy(*by).agg(*_extent(), F.count("*").alias("cells_total"), F.count(F.when(_filled(), 1)).alias("cells_filled"))
 
 
 def book_stat(cells: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Merged ranges: which range a cell belongs to.
 
 Ranges of a sheet don't overlap, but nothing bounds how many there are, so the lookup is an equi-join on a block of rows and
-not a nested loop: a range stands under every block that it reaches, a cell under its own.
+not a nested loop: the ranges that reach a block stand together under it, and a cell meets those of its own block once.
 """
 
 from __future__ import annotations
@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def merged_lookup(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """cells (row, col, ...) with merged boolean and range string (null outside). ranges: row1, col1, row2, col2, ref. Of
-    ranges that overlap the first by position counts. Rows of cells stay as often as they are there, so give them a key of
-    their own if they repeat."""
-    by_block = ranges.select(
-        F.col("row1").alias("_r1"), F.col("col1").alias("_c1"), F.col("row2").alias("_r2"), F.col("col2").alias("_c2"), F.col("ref").alias("_ref"), F.col("position").alias("_place"),
-        F.explode(F.sequence(F.floor(F.col("row1") / BLOCK), F.floor(F.col("row2") / BLOCK))).alias("_block"),
-    )
-    inside = (F.floor(cells["row"] / BLOCK) == by_block["_block"]) & cells["row"].between(by_block["_r1"], by_block["_r2"]) & cells["col"].between(by_block["_c1"], by_block["_c2"])
-    joined = cells.join(by_block, inside, "left")
-    best = joined.groupBy(*(cells[c] for c in cells.columns)).agg(F.min(F.struct("_place", "_ref")).alias("_m"))
-    return best.select(*cells.columns, F.col("_m._ref").isNotNull().alias("merged"), F.col("_m._ref").alias("range"))
+def merged_lookup(cells: DataFrame, ranges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """cells (row, col, ...) with merged boolean and range string (null outside). ranges: row1, col1, row2, col2, ref, position;
+    both have the columns `by`, such as the file, if any. Of ranges that overlap the first by position counts. Rows of cells
+    stay as often as they are there."""
+    box = F.struct(F.col("position"), "row1", "col1", "row2", "col2", "ref")
+    block = F.explode(F.sequence(F.floor(F.col("row1") / BLOCK), F.floor(F.col("row2") / BLOCK))).alias("_block")
+    own = [F.col(k).alias(f"_by{n}") for n, k in enumerate(by)]
+    boxes = ranges.select(*own, box.alias("_box"), block).groupBy("_block", *(f"_by{n}" for n in range(len(by)))).agg(F.array_sort(F.collect_list("_box")).alias("_boxes"))
+    on = F.floor(cells["row"] / BLOCK) == boxes["_block"]
+    for n, k in enumerate(by):
+        on &= cells[k].eqNullSafe(boxes[f"_by{n}"])
+    joined = cells.join(boxes, on, "left")
+    row, col = cells["row"], cells["col"]
+    found = F.get(F.filter(boxes["_boxes"], lambda b: row.between(b["row1"], b["row2"]) & col.between(b["col1"], b["col2"])), 0)
+    ref = found["ref"]
+    return joined.select(*(cells[c] for c in cells.columns), ref.isNotNull().alias("merged"), ref.alias("range"))

@@ -1,11 +1,13 @@
 """Workbooks: the facade over sources and operators.
 
-A Book is a lazy description of one file; its catalogue (sheets, names) is read once when asked for. Everything else is a
-DataFrame.
+A Book is a lazy description of a file, or of many files that are read alike: a sheet then stands for the sheets of that name,
+the first sheet for that of each file. Its catalogue (sheets, names) is read once when asked for. Everything else is a
+DataFrame; those of many files can carry the file, and headers and row numbers are each file's own.
 """
 
 from __future__ import annotations
 
+import os
 from dataclasses import replace
 from functools import cached_property
 from typing import Any, BinaryIO
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.addressing import Area, range_stats, split_sheet_ref
-from ..functions.dates import LOCALE_FORMATS, letters_pattern, spark_pattern
+from ..functions.dates import letters_pattern, locale_codes, spark_pattern
 from ..functions.typing_rules import DateMode, typed_cell
 from ..operators import extents, merged, styles
 from ..operators.grid import Cursor, Grid
@@ -23,10 +25,11 @@ from ..sources.workbook import ScanOptions, bytes_frame, files_of, is_xls, is_xl
 
 
 class Sheet:
-    """One sheet: a grid and the metadata relations that belong to it."""
+    """One sheet: a grid and the metadata relations that belong to it. ref says which it is in each file: its name, or None for
+    the first."""
 
-    def __init__(self, book: Book, sheet_id: int, name: str, state: str, dimension: str, path: str):
-        self.book, self.id, self.name, self.state, self.declared, self.path = book, sheet_id, name, state, dimension or "", path
+    def __init__(self, book: Book, sheet_id: int, name: str, state: str, dimension: str, path: str, ref: str | None):
+        self.book, self.id, self.name, self._state, self.declared, self.path, self.ref = book, sheet_id, name, state, dimension or "", path, ref
 
     @property
     def active(self) -> bool:
@@ -36,6 +39,15 @@ class Sheet:
     def is_name(self, name: str) -> bool:
         return self.name.lower() == name.lower()
 
+    @property
+    def state(self) -> str:
+        return self._state
+
+    def set_state(self, state: str) -> Sheet:
+        """visible, hidden or veryHidden, from now on in this book; the file stays as it is."""
+        self._state = state
+        return self
+
     @property
     def visible(self) -> bool:
         return self.state == "visible"
@@ -52,11 +64,12 @@ class Sheet:
                     return area
         return None
 
-    def grid(self) -> Grid:
-        options = replace(self.book.options, sheet=self.id)
+    def _options(self) -> ScanOptions:
+        return replace(self.book.options, sheet=self.ref, missing_ok=True)
 
+    def grid(self) -> Grid:
         def scan(area: Area, row_limit: int, row_mode: bool) -> DataFrame:
-            return scan_rows(self.book.files, replace(options, area=area, row_limit=row_limit, row_mode=row_mode)).select("row", "attrs", "cells")
+            return scan_rows(self.book.files, replace(self._options(), area=area, row_limit=row_limit, row_mode=row_mode)).drop("sheet_id", "sheet")
 
         return Grid(scan, dates=self.book.dates, resolve_name=self._resolve)
 
@@ -89,10 +102,10 @@ class Sheet:
 
     def read_cells_with_styles(self, key: str | None = None, area: str | None = None) -> DataFrame:
         grid = self.set_read_area(area) if area else self.grid()
-        return styles.with_styles(grid.cells(), self.book.styles(), key)
+        return styles.with_styles(grid.cells(book_name="book"), self.book.styles(), key)
 
     def read_cell_styles(self, flat: bool = False, part: str | None = None) -> DataFrame:
-        return styles.with_styles(self.grid().cells().select("address", "row", "col", "s"), self.book.styles(), None, part, flat)
+        return styles.with_styles(self.grid().cells(book_name="book").select("book", "address", "row", "col", "s"), self.book.styles(), None, part, flat)
 
     def read_rows_with_styles(self, *args: Any, **kw: Any) -> DataFrame:
         return styles.with_styles(self.grid().row_styles(*args, **kw), self.book.styles())
@@ -115,7 +128,7 @@ class Sheet:
         return self.from_cell(cell).first_row_cells()
 
     def read_first_row_with_styles(self, cell: str = "A1") -> DataFrame:
-        return styles.with_styles(self.from_cell(cell).first_row_cells(), self.book.styles())
+        return styles.with_styles(self.from_cell(cell).first_row_cells(book_name="book"), self.book.styles())
 
     def read_rows_with_styles_from(self, cell: str, first_row_keys: bool = False, **kw: Any) -> DataFrame:
         return styles.with_styles(self.from_cell(cell, first_row_keys).row_styles(**kw), self.book.styles())
@@ -139,23 +152,24 @@ class Sheet:
     def dimension_stats(self, text: str | None = None) -> dict[str, int]:
         return range_stats(self.declared if text is None else text)
 
-    def actual_dimension(self) -> DataFrame:
-        return extents.actual_dimension(self.grid().cell_relation())
+    def actual_dimension(self, by: tuple[str, ...] = ()) -> DataFrame:
+        """by=("book",) gives one for each file."""
+        return extents.actual_dimension(self.grid().cell_relation(), by)
 
-    def stat(self) -> DataFrame:
-        return extents.stat(self.grid().cell_relation())
+    def stat(self, by: tuple[str, ...] = ()) -> DataFrame:
+        return extents.stat(self.grid().cell_relation(), by)
 
     # Metadata
 
     def _own(self, part: str) -> DataFrame:
-        return self.book.part(part).where(F.col("sheet_id") == self.id)
+        return scan_part(self.book.files, part, self._options())
 
     def merged_cells(self) -> DataFrame:
         return self._own("merged_cells")
 
     def merged_lookup(self, cells: DataFrame) -> DataFrame:
-        """cells (row, col, ...) with merged and range."""
-        return merged.merged_lookup(cells, self.merged_cells())
+        """cells (row, col, ..., and book where there are many files) with merged and range."""
+        return merged.merged_lookup(cells, self.merged_cells(), ("book",) if "book" in cells.columns else ())
 
     def is_merged(self, row: int, col: int) -> bool:
         return self.merged_range(row, col) is not None
@@ -177,7 +191,7 @@ class Sheet:
         return self._own("columns")
 
     def column_styles(self) -> DataFrame:
-        return self._own("columns").join(self.book.styles().withColumnRenamed("s", "style"), "style", "left")
+        return self._own("columns").join(self.book.styles().withColumnRenamed("s", "style"), ["book", "style"], "left")
 
     def column_width(self, col: int) -> float | None:
         found = self._own("columns").where(F.col("col") == col).first()
@@ -187,7 +201,7 @@ class Sheet:
         return self._own("row_attrs")
 
     def row_styles(self) -> DataFrame:
-        return self._own("row_attrs").join(self.book.styles().withColumnRenamed("s", "style"), "style", "left")
+        return self._own("row_attrs").join(self.book.styles().withColumnRenamed("s", "style"), ["book", "style"], "left")
 
     def row_height(self, row: int, default: float | None = None) -> float | None:
         """A row's height; for a row without one of its own the sheet's default, or the default given."""
@@ -218,8 +232,13 @@ class Sheet:
         """The picture at a cell: name, file_name, mime and content; None if there is none."""
         return self.images().where((F.col("row") == row) & (F.col("col") == col)).first()
 
+    def image_path(self, row: int, col: int) -> str | None:
+        """The file and, after a #, the part of the package that holds the picture at a cell."""
+        found = self.image(row, col)
+        return f"{found['book']}#{found['part']}" if found is not None and found["part"] else None
+
     def save_image(self, row: int, col: int, path: str) -> bool:
-        """Writes the picture at a cell to a local file."""
+        """Writes the picture at a cell to a file of the driver: a pull of one value. For many pictures read images()."""
         found = self.image(row, col)
         if found is None or found["content"] is None:
             return False
@@ -227,6 +246,14 @@ class Sheet:
             f.write(found["content"])
         return True
 
+    def save_image_to(self, row: int, col: int, folder: str) -> str | None:
+        """save_image() under the picture's own file name; the path, or None if there is no picture."""
+        found = self.image(row, col)
+        if found is None or not found["file_name"]:
+            return None
+        path = os.path.join(folder, found["file_name"])
+        return path if self.save_image(row, col, path) else None
+
 
 class Book:
     def __init__(self, spark: SparkSession, files: DataFrame, options: ScanOptions = ScanOptions()):
@@ -235,14 +262,17 @@ class Book:
         self._format: str | None = None
 
     def part(self, name: str) -> DataFrame:
-        return scan_part(self.files, name, self.options)
+        """A metadata relation, of all sheets."""
+        return scan_part(self.files, name, replace(self.options, sheet="*"))
 
     @cached_property
     def catalog(self) -> list[Sheet]:
-        found = self.part("sheets").orderBy("position").collect()
+        """A Sheet for each name, in order of their places; of many files the first by path tells id, state and dimension."""
+        first = F.min_by(F.struct("sheet_id", "sheet", "state", "dimension", "path"), F.struct("book", "position"))
+        found = self.part("sheets").groupBy(F.lower("sheet").alias("name")).agg(F.min("position").alias("position"), first.alias("s")).orderBy("position", "name").collect()
         if not found:
             raise SheetError("the book has no sheet")
-        return [Sheet(self, r["sheet_id"], r["sheet"], r["state"], r["dimension"], r["path"]) for r in found]
+        return [Sheet(self, *(r["s"][k] for k in ("sheet_id", "sheet", "state", "dimension", "path")), r["s"]["sheet"]) for r in found]
 
     @cached_property
     def defined_names(self) -> dict[str, str]:
@@ -267,7 +297,7 @@ class Book:
 
     def sheet(self, name: str | None = None) -> Sheet | None:
         """The sheet of that name, without regard to case; the first one without a name."""
-        return self.catalog[0] if name is None else next((s for s in self.catalog if s.is_name(name)), None)
+        return self.first_sheet() if name is None else next((s for s in self.catalog if s.is_name(name)), None)
 
     def sheet_exists(self, name: str) -> bool:
         return self.sheet(name) is not None
@@ -285,7 +315,9 @@ class Book:
         return found
 
     def first_sheet(self) -> Sheet:
-        return self.catalog[0]
+        """The first sheet of each file, whatever its name."""
+        first = self.catalog[0]
+        return Sheet(self, first.id, first.name, first.state, first.declared, first.path, None)
 
     def set_read_area(self, text: str, first_row_keys: bool = False) -> Grid:
         """A range of the first sheet, or a defined name, on whichever sheet it lies."""
@@ -303,6 +335,9 @@ class Book:
     def read_columns(self, *args: Any, **kw: Any) -> DataFrame:
         return self.first_sheet().read_columns(*args, **kw)
 
+    def read_columns_with_styles(self, *args: Any, **kw: Any) -> DataFrame:
+        return self.first_sheet().read_columns_with_styles(*args, **kw)
+
     def read_cells(self, *args: Any, **kw: Any) -> DataFrame:
         return self.first_sheet().read_cells(*args, **kw)
 
@@ -337,16 +372,12 @@ class Book:
         elif formatter is False:
             self.dates = DateMode("plain")
         elif formatter is True:
-            own = LOCALE_FORMATS.get(locale or "", {})
             codes: dict[str, str] = {}
             for r in self.part("style_types").where("category = 'date'").select("code").distinct().collect():
                 pattern = spark_pattern(r["code"])
                 if pattern:
                     codes[r["code"]] = pattern
-            if own:
-                from ..functions.dates import BUILTIN_FORMATS
-
-                codes |= {BUILTIN_FORMATS[k][0]: spark_pattern(code) or "" for k, code in own.items()}
+            codes |= locale_codes(self.spark, locale) if locale else {}
             self.dates = DateMode("own", letters_pattern(self._format) if self._format else None, codes=codes)
         elif isinstance(formatter, str):
             self.set_date_format(formatter)
@@ -355,9 +386,7 @@ class Book:
         return self
 
     def use_locale_formats(self, locale: str) -> Book:
-        """Builtin date codes as that locale writes them; a code that the file declares itself stays."""
-        if locale not in LOCALE_FORMATS:
-            raise ValueError(f"no formats for locale {locale}")
+        """Builtin date codes as that locale writes them, any that the JVM knows; other codes stay."""
         return self.date_formatter(True, locale)
 
     # Styles, statistics, metadata
@@ -391,7 +420,7 @@ class Book:
 
     def extra_images(self) -> DataFrame:
         """Media of the package that no cell shows."""
-        return self.part("media").join(self.images().select("part"), "part", "left_anti")
+        return self.part("media").join(self.images().select("book", "part"), ["book", "part"], "left_anti")
 
     def entries(self) -> DataFrame:
         return self.part("entries")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import cached_property
 from typing import Any
 
-from ..functions.addressing import MAX_COL, Area, Box, col_letter
+from ..functions.addressing import Area, Box
 from ..functions.dates import format_category, format_code
 from . import escher
 from .formula import ERRORS, decompile, number_text
@@ -23,11 +23,18 @@ FONT, FORMAT, XF, PALETTE, DRAWING_GROUP, DRAWING, EXTERNSHEET = 0x0031, 0x041E,
 DIMENSIONS, ROW, MERGED, LABELSST, LABEL, RSTRING = 0x0200, 0x0208, 0x00E5, 0x00FD, 0x0204, 0x00D6
 NUMBER, RK, MULRK, BLANK, MULBLANK, BOOLERR, FORMULA, STRING, SHRFMLA = 0x0203, 0x027E, 0x00BD, 0x0201, 0x00BE, 0x0205, 0x0006, 0x0207, 0x04BC
 
+#: Underline codes, fill patterns, border styles and alignments of the format by number (fixed values).
 UNDERLINES = {0x01: 1, 0x02: 2, 0x21: 1, 0x22: 2}
-PATTERNS = "none solid mediumGray darkGray lightGray darkHorizontal darkVertical darkDown darkUp darkGrid darkTrellis lightHorizontal lightVertical lightDown lightUp lightGrid lightTrellis gray125 gray0625".split()
-BORDERS = "none thin medium dashed dotted thick double hair mediumDashed dashDot mediumDashDot dashDotDot mediumDashDotDot slantDashDot".split()
+PATTERNS = [
+    "none", "solid", "mediumGray", "darkGray", "lightGray", "darkHorizontal", "darkVertical", "darkDown", "darkUp", "darkGrid",
+    "darkTrellis", "lightHorizontal", "lightVertical", "lightDown", "lightUp", "lightGrid", "lightTrellis", "gray125", "gray0625",
+]
+BORDERS = [
+    "none", "thin", "medium", "dashed", "dotted", "thick", "double", "hair", "mediumDashed", "dashDot", "mediumDashDot",
+    "dashDotDot", "mediumDashDotDot", "slantDashDot",
+]
 HORIZONTAL = [None, "left", "center", "right", "fill", "justify", "centerContinuous", "distributed"]
-VERTICAL = ["top", "center", "bottom", "justify", "distributed"]
+VERTICAL = ["top", "center", None, "justify", "distributed"]  # bottom is the default
 
 
 def decode_rk(value: int) -> float | int:
@@ -358,22 +365,22 @@ class XlsBook:
         borders: list[dict[str, Any]] = []
         xfs = []
         for body in self.xfs:
-            font, fmt, _, align, rotation = struct.unpack_from("<HHHBB", body)
+            font, fmt, _, align = struct.unpack_from("<HHHB", body)
             line1, line2, colors = struct.unpack_from("<IIH", body, 10)
             pattern = line2 >> 26 & 0x3F
             fill = {"fill-pattern": PATTERNS[pattern] if pattern < len(PATTERNS) else "none"}
             if pattern and (c := self.color(colors & 0x7F)):
                 fill["fill-color"] = c
             border: dict[str, Any] = {}
-            for side, style, color in (("left", line1 & 15, line1 >> 16 & 0x7F), ("right", line1 >> 4 & 15, line1 >> 23 & 0x7F), ("top", line1 >> 8 & 15, line2 & 0x7F), ("bottom", line1 >> 12 & 15, line2 >> 7 & 0x7F)):
+            for side, style, color in (("left", line1 & 15, line1 >> 16 & 0x7F), ("right", line1 >> 4 & 15, line1 >> 23 & 0x7F), ("top", line1 >> 8 & 15, line2 & 0x7F), ("bottom", line1 >> 12 & 15, line2 >> 7 & 0x7F), ("diagonal", line2 >> 21 & 15, line2 >> 14 & 0x7F)):
                 if style and style < len(BORDERS):
                     border |= {f"border-{side}-style": BORDERS[style], f"border-{side}-color": self.color(color) or "#000000"}
             for table, item in ((fills, fill), (borders, border)):
                 if item not in table:
                     table.append(item)
-            align_row = {"text-align": HORIZONTAL[align & 7], "vertical-align": VERTICAL[align >> 4 & 7] if align >> 4 & 7 < len(VERTICAL) else None, "text-wrap": 1 if align & 8 else None, "text-rotation": rotation or None}
+            align_row = {"format-align-horizontal": HORIZONTAL[align & 7], "format-align-vertical": VERTICAL[align >> 4 & 7] if (align >> 4 & 7) < len(VERTICAL) else None, "format-wrap-text": 1 if align & 8 else None}
             xfs.append({"numFmtId": fmt, "fontId": font - (font > 4), "fillId": fills.index(fill), "borderId": borders.index(border), "xfId": None, "align": align_row})
-        formats = [{"format-num-id": k, "format-pattern": v} for k, v in self.formats.items()]
+        formats = [{"format-num-id": k, "format-pattern": v, "format-category": format_category(v, k, True)} for k, v in self.formats.items()]
         return {"formats": formats, "fonts": fonts, "fills": fills, "borders": borders, "cellStyleXfs": [], "cellXfs": xfs}
 
     @cached_property
@@ -388,8 +395,3 @@ class XlsBook:
 
     def media(self) -> list[str]:
         return [f"image{k}.{extension}" for k, (extension, _) in enumerate(self.blips, 1)]
-
-
-def last_column() -> str:
-    """The last column that the format can hold."""
-    return col_letter(min(256, MAX_COL))

@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 from xml.parsers import expat
 
 from ..functions.addressing import MAX_COL, MAX_ROW, Area, col_letter, col_number, parse_box
-from ..functions.dates import format_category, format_code
+from ..functions.dates import format_category, format_code, is_date_format
 from ..functions.typing_rules import unescape
 
 _BLOCK = 1 << 16
@@ -25,16 +25,16 @@ _REF = re.compile(r"(\$?)([A-Z]{1,3})(\$?)([0-9]+)(?![0-9A-Za-z_(!.])")
 _TEXT = re.compile(r"\"[^\"]*\"|'[^']*'")
 
 #: Legacy indexed colours 0 to 63 (fixed values): eight basic ones, twice, then the default palette.
-INDEXED_COLORS = (
-    "000000 FFFFFF FF0000 00FF00 0000FF FFFF00 FF00FF 00FFFF "
-    "000000 FFFFFF FF0000 00FF00 0000FF FFFF00 FF00FF 00FFFF "
-    "800000 008000 000080 808000 800080 008080 C0C0C0 808080 "
-    "9999FF 993366 FFFFCC CCFFFF 660066 FF8080 0066CC CCCCFF "
-    "000080 FF00FF FFFF00 00FFFF 800080 800000 008080 0000FF "
-    "00CCFF CCFFFF CCFFCC FFFF99 99CCFF FF99CC CC99FF FFCC99 "
-    "3366FF 33CCCC 99CC00 FFCC00 FF9900 FF6600 666699 969696 "
-    "003366 339966 003300 333300 993300 993366 333399 333333"
-).split()
+INDEXED_COLORS = [
+    "000000", "FFFFFF", "FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF",
+    "000000", "FFFFFF", "FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF",
+    "800000", "008000", "000080", "808000", "800080", "008080", "C0C0C0", "808080",
+    "9999FF", "993366", "FFFFCC", "CCFFFF", "660066", "FF8080", "0066CC", "CCCCFF",
+    "000080", "FF00FF", "FFFF00", "00FFFF", "800080", "800000", "008080", "0000FF",
+    "00CCFF", "CCFFFF", "CCFFCC", "FFFF99", "99CCFF", "FF99CC", "CC99FF", "FFCC99",
+    "3366FF", "33CCCC", "99CC00", "FFCC00", "FF9900", "FF6600", "666699", "969696",
+    "003366", "339966", "003300", "333300", "993300", "993366", "333399", "333333",
+]
 
 #: System colours of a theme as they are reported (fixed values).
 SYSTEM_COLORS = {"windowText": "#ffffff", "window": "#202020"}
@@ -456,9 +456,9 @@ class XlsxBook:
             for xf in self._styles.get(kind, ()):
                 align = child(xf, "alignment")
                 row = {k: int(xf.get(k)) if xf.get(k) is not None else None for k in ("numFmtId", "fontId", "fillId", "borderId", "xfId")}
-                row["align"] = {} if align is None else {"text-align": align.get("horizontal"), "vertical-align": align.get("vertical"), "text-rotation": align.get("textRotation"), "text-wrap": 1 if align.get("wrapText") in ("1", "true") else None}
+                row["align"] = {} if align is None else {"format-align-horizontal": align.get("horizontal"), "format-align-vertical": align.get("vertical"), "format-wrap-text": 1 if align.get("wrapText") in ("1", "true") else None}
                 records[kind].append(row)
-        formats = [{"format-num-id": k, "format-pattern": v} for k, v in self.number_formats.items()]
+        formats = [{"format-num-id": k, "format-pattern": v, "format-category": "date" if is_date_format(v) else ""} for k, v in self.number_formats.items()]
         return {"formats": formats, "fonts": fonts, "fills": fills, "borders": borders, **records}
 
     def properties(self) -> dict[str, str]:

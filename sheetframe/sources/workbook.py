@@ -9,10 +9,12 @@ parallelism.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
@@ -42,7 +44,7 @@ def is_xlsx(head: bytes) -> bool:
 @dataclass(frozen=True)
 class ScanOptions:
     """What a scan reads. kind: auto (by the first bytes, never by the name), xlsx, xls or csv. sheet: a name, without regard
-    to case, an id, None for the first, or * for all."""
+    to case, an id, None for the first, or * for all; a file without it is an error, or gives nothing if missing_ok."""
 
     kind: str = "auto"
     sheet: str | int | None = None
@@ -51,6 +53,7 @@ class ScanOptions:
     row_mode: bool = False
     prefixed: bool = False
     csv: dict[str, Any] = field(default_factory=dict)
+    missing_ok: bool = False
 
 
 def open_content(content: bytes, options: ScanOptions = ScanOptions()):
@@ -67,7 +70,7 @@ def open_content(content: bytes, options: ScanOptions = ScanOptions()):
     return DelimitedBook(content, options.csv)
 
 
-def chosen_sheets(book, sheet: str | int | None) -> list:
+def chosen_sheets(book, sheet: str | int | None, missing_ok: bool = False) -> list:
     if sheet == "*":
         return list(book.sheets)
     if sheet is None:
@@ -76,23 +79,60 @@ def chosen_sheets(book, sheet: str | int | None) -> list:
         found = [s for s in book.sheets if s.id == sheet]
     else:
         found = [s for s in book.sheets if s.name.lower() == sheet.lower()][:1]
-    if not found:
+    if not found and not missing_ok:
         raise SheetError(f"no sheet {sheet!r}")
     return found
 
 
-ROWS = f"book string, sheet_id int, sheet string, row int, attrs map<string,string>, cells array<{RAW_CELL}>"
+#: A row of a sheet. first_row and first_col are the number of the first row that the scan gives of the sheet and its first
+#: column (null without cells), head a hash of that row's cells: what a plan needs to know of each file's header.
+ROWS = f"book string, sheet_id int, sheet string, row int, first_row int, first_col int, head long, attrs map<string,string>, cells array<{RAW_CELL}>"
 _CELL_NAMES = ("col", "t", "s", "raw", "f", "text", "fmt", "code", "base1904")
-
-
-def _row_dicts(path: str, book, options: ScanOptions) -> Iterator[dict[str, Any]]:
-    for sheet in chosen_sheets(book, options.sheet):
+_BATCH_CELLS = 20_000
+
+
+def _row_batches(path: str, book, options: ScanOptions, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """ROWS in batches, put together column by column."""
+    cell_type = schema.field("cells").type.value_type
+    for sheet in chosen_sheets(book, options.sheet, options.missing_ok):
+        held: list[tuple[int, dict[str, str], list[dict[str, Any]]]] = []
+        first: tuple[int, int | None, int] | None = None
+
+        def give() -> pa.RecordBatch:
+            flat = [c for _, _, cells in held for c in cells]
+            fields = [pa.array([c[k] for c in flat], cell_type.field(k).type) for k in _CELL_NAMES]
+            ends = list(accumulate((len(cells) for _, _, cells in held), initial=0))
+            n = len(held)
+            columns = {
+                "book": pa.array([path] * n, pa.string()),
+                "sheet_id": pa.array([sheet.id] * n, pa.int32()),
+                "sheet": pa.array([sheet.name] * n, pa.string()),
+                "row": pa.array([row for row, _, _ in held], pa.int32()),
+                "first_row": pa.array([first[0]] * n, pa.int32()),
+                "first_col": pa.array([first[1]] * n, pa.int32()),
+                "head": pa.array([first[2]] * n, pa.int64()),
+                "attrs": pa.array([list(attrs.items()) for _, attrs, _ in held], schema.field("attrs").type),
+                "cells": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=[cell_type.field(k) for k in _CELL_NAMES])),
+            }
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        size = 0
         for row, attrs, cells in sheet.rows(options.area, options.row_limit, options.row_mode):
-            yield {"book": path, "sheet_id": sheet.id, "sheet": sheet.name, "row": row, "attrs": list(attrs.items()), "cells": [{k: c[k] for k in _CELL_NAMES} for c in cells]}
+            if first is None:
+                of = repr([(c["col"], c["t"], c["raw"], c["f"], c["text"], c["fmt"]) for c in cells]).encode("utf-8", "surrogatepass")
+                first = row, min((c["col"] for c in cells), default=None), int.from_bytes(hashlib.blake2b(of, digest_size=8).digest(), "little", signed=True)
+            held.append((row, attrs, cells))
+            size += len(cells) + 1
+            if size >= _BATCH_CELLS:
+                yield give()
+                held, size = [], 0
+        if held:
+            yield give()
 
 
-#: Metadata relations: their columns after book, and what gives them. A format that lacks one gives no rows.
-PARTS: dict[str, tuple[str, Callable[[Any], Iterable[dict[str, Any]]]]] = {}
+#: Metadata relations: their columns after book, and what gives them, of a book and the sheets asked for. A format that lacks
+#: one gives no rows.
+PARTS: dict[str, tuple[str, Callable[[Any, list], Iterable[dict[str, Any]]]]] = {}
 
 
 def _part(name: str, schema: str):
@@ -103,33 +143,35 @@ def _part(name: str, schema: str):
     return add
 
 
-def _per_sheet(book, method: str) -> Iterator[tuple[Any, Any]]:
-    for s in book.sheets:
+def _per_sheet(sheets: list, method: str) -> Iterator[tuple[Any, Any]]:
+    for s in sheets:
         if (found := getattr(s, method, None)) is not None:
             yield s, found() if callable(found) else found
 
 
 @_part("sheets", "sheet_id int, sheet string, position int, state string, path string, dimension string, active boolean")
-def _sheets(book):
+def _sheets(book, sheets):
     for k, s in enumerate(book.sheets):
+        if s not in sheets:
+            continue
         yield {"sheet_id": s.id, "sheet": s.name, "position": k, "state": s.state, "path": s.path, "dimension": getattr(s, "dimension", ""), "active": bool(getattr(s, "active", k == 0))}
 
 
 @_part("defined_names", "name string, ref string")
-def _names(book):
+def _names(book, sheets):
     return ({"name": k, "ref": v} for k, v in book.defined_names.items())
 
 
 @_part("properties", "key string, value string")
-def _properties(book):
+def _properties(book, sheets):
     return ({"key": k, "value": v} for k, v in (book.properties() if hasattr(book, "properties") else {}).items())
 
 
 @_part("merged_cells", "sheet_id int, sheet string, ref string, row1 int, col1 int, row2 int, col2 int, position int")
-def _merged(book):
+def _merged(book, sheets):
     from ..functions.addressing import parse_box
 
-    for s, refs in _per_sheet(book, "merged_cells"):
+    for s, refs in _per_sheet(sheets, "merged_cells"):
         for k, ref in enumerate(refs):
             box = parse_box(ref)
             if box:
@@ -137,28 +179,28 @@ def _merged(book):
 
 
 @_part("hyperlinks", "sheet_id int, sheet string, ref string, link string, location string, display string, tooltip string")
-def _hyperlinks(book):
-    return ({"sheet_id": s.id, "sheet": s.name, **h} for s, found in _per_sheet(book, "hyperlinks") for h in found)
+def _hyperlinks(book, sheets):
+    return ({"sheet_id": s.id, "sheet": s.name, **h} for s, found in _per_sheet(sheets, "hyperlinks") for h in found)
 
 
 @_part("validations", "sheet_id int, sheet string, type string, sqref string, formula1 string, formula2 string")
-def _validations(book):
-    return ({"sheet_id": s.id, "sheet": s.name, **v} for s, found in _per_sheet(book, "validations") for v in found)
+def _validations(book, sheets):
+    return ({"sheet_id": s.id, "sheet": s.name, **v} for s, found in _per_sheet(sheets, "validations") for v in found)
 
 
 @_part("conditional_formats", "sheet_id int, sheet string, type string, sqref string, attributes map<string,string>")
-def _conditional(book):
-    return ({"sheet_id": s.id, "sheet": s.name, **c, "attributes": list(c["attributes"].items())} for s, found in _per_sheet(book, "conditional_formats") for c in found)
+def _conditional(book, sheets):
+    return ({"sheet_id": s.id, "sheet": s.name, **c, "attributes": list(c["attributes"].items())} for s, found in _per_sheet(sheets, "conditional_formats") for c in found)
 
 
 @_part("columns", "sheet_id int, sheet string, col int, width double, style int, attributes map<string,string>")
-def _columns(book):
-    return ({"sheet_id": s.id, "sheet": s.name, **c, "attributes": list(c["attributes"].items())} for s, found in _per_sheet(book, "columns") for c in found)
+def _columns(book, sheets):
+    return ({"sheet_id": s.id, "sheet": s.name, **c, "attributes": list(c["attributes"].items())} for s, found in _per_sheet(sheets, "columns") for c in found)
 
 
 @_part("row_attrs", "sheet_id int, sheet string, row int, height double, style int, attributes map<string,string>")
-def _row_attrs(book):
-    for s in book.sheets:
+def _row_attrs(book, sheets):
+    for s in sheets:
         if s.kind == "csv":
             continue
         default = getattr(s, "default_height", 15.0)
@@ -167,8 +209,8 @@ def _row_attrs(book):
 
 
 @_part("sheet_view", "sheet_id int, sheet string, x_split int, y_split int, top_left string, tab_rgb string, tab_theme int, tab_tint double, default_height double")
-def _view(book):
-    for s in book.sheets:
+def _view(book, sheets):
+    for s in sheets:
         if not hasattr(s, "freeze_pane"):
             continue
         pane, tab = s.freeze_pane() or {}, s.tab_color() or {}
@@ -176,32 +218,32 @@ def _view(book):
 
 
 @_part("images", "sheet_id int, sheet string, row int, col int, name string, file_name string, part string, mime string, content binary")
-def _images(book):
-    return ({"sheet_id": s.id, "sheet": s.name, **i} for s, found in _per_sheet(book, "images") for i in found)
+def _images(book, sheets):
+    return ({"sheet_id": s.id, "sheet": s.name, **i} for s, found in _per_sheet(sheets, "images") for i in found)
 
 
 @_part("media", "part string")
-def _media(book):
+def _media(book, sheets):
     return ({"part": m} for m in (book.media() if hasattr(book, "media") else ()))
 
 
 @_part("entries", "entry string, size bigint")
-def _entries(book):
+def _entries(book, sheets):
     return book.entries() if hasattr(book, "entries") else ()
 
 
 @_part("validate", "entry string, ok boolean, message string")
-def _validate(book):
+def _validate(book, sheets):
     return book.validate() if hasattr(book, "validate") else ()
 
 
 @_part("style_types", "s int, category string, code string")
-def _style_types(book):
+def _style_types(book, sheets):
     return ({"s": k, "category": kind, "code": code} for k, (kind, code) in enumerate(getattr(book, "style_types", ())))
 
 
 @_part("style_tables", "kind string, idx int, num_fmt int, font int, fill int, border int, xf int, own map<string,string>")
-def _style_tables(book):
+def _style_tables(book, sheets):
     """One relation of all style tables: formats, fonts, fills and borders as maps, xf records with their ids."""
     for kind, rows in (book.style_tables() if hasattr(book, "style_tables") else {}).items():
         for k, row in enumerate(rows):
@@ -211,7 +253,7 @@ def _style_tables(book):
 
 
 @_part("records", "row int, fields array<string>, errors array<struct<code:int,message:string,record:int,column:int>>")
-def _records(book):
+def _records(book, sheets):
     """Records of delimited text as the low-level engine numbers them, with the errors of each instead of a failure."""
     from .delimited import DelimitedReader
 
@@ -235,16 +277,16 @@ def _batches(rows: Iterable[dict[str, Any]], schema: pa.Schema, size: int = 2048
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _scan(files: DataFrame, schema: str, give: Callable[[str, bytes], Iterable[dict[str, Any]]]) -> DataFrame:
+def _scan(files: DataFrame, schema: str, give: Callable[[str, bytes, pa.Schema], Iterable[pa.RecordBatch]]) -> DataFrame:
     kind: StructType = _parse_datatype_string(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kind)
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                yield from _batches(give(path.as_py(), content.as_py()), arrow)
+                yield from give(path.as_py(), content.as_py(), arrow)
 
-    return files.mapInArrow(run, kind)
+    return files.select("path", "content").mapInArrow(run, kind)
 
 
 def files_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -254,13 +296,18 @@ def files_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def scan_rows(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """files (path string, content binary) to ROWS: a row of a sheet with its cells as raw structs, in order of column."""
-    return _scan(files, ROWS, lambda path, content: _row_dicts(path, open_content(content, options), options))
+    return _scan(files, ROWS, lambda path, content, schema: _row_batches(path, open_content(content, options), options, schema))
 
 
 def scan_part(files: DataFrame, part: str, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """files to a metadata relation: book and the columns of PARTS[part]."""
+    """files to a metadata relation: book and the columns of PARTS[part], of the sheets that options.sheet names."""
     schema, fn = PARTS[part]
-    return _scan(files, "book string, " + schema, lambda path, content: ({"book": path, **r} for r in fn(open_content(content, options))))
+
+    def give(path: str, content: bytes, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        book = open_content(content, options)
+        return _batches(({"book": path, **r} for r in fn(book, chosen_sheets(book, options.sheet, options.missing_ok))), arrow)
+
+    return _scan(files, "book string, " + schema, give)
 
 
 # The Python Data Source
@@ -331,7 +378,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
         book = open_content(_read_file(partition.path), self.options)
         if self.part != "cells":
-            rows = ({"book": partition.path, **r} for r in PARTS[self.part][1](book))
+            rows = ({"book": partition.path, **r} for r in PARTS[self.part][1](book, list(book.sheets)))
         else:
             sheet = next(s for s in book.sheets if s.id == partition.sheet_id)
             rows = (
@@ -367,12 +414,11 @@ def engine_rows(files: DataFrame, csv: dict[str, Any] | None = None, keys: Any =
     and rows by record number, or as mode says."""
     from .delimited import DelimitedReader
 
-    def give(path: str, content: bytes) -> Iterator[dict[str, Any]]:
+    def give(path: str, content: bytes, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
         reader = DelimitedReader(content, csv).from_row(from_row).from_col(from_col)
         if header:
             reader.with_header(header if isinstance(header, list) else None)
-        for row, cells in reader.rows(keys, mode, limit):
-            yield {"book": path, "row": row, "cells": [(str(k), v) for k, v in cells.items()]}
+        yield from _batches(({"book": path, "row": row, "cells": [(str(k), v) for k, v in cells.items()]} for row, cells in reader.rows(keys, mode, limit)), arrow)
 
     return _scan(files, "book string, row int, cells map<string,string>", give)
 
