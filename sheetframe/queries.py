@@ -1,7 +1,8 @@
 """Driver queries over the reference's operators, and the SQL that says the same.
 
 Two families: tables that go through real files (written as XLSX, XLS or delimited bytes by the executors, a workbook per
-bucket of rows, and read back by the scanners), and the grid algebra on a table seen as a sheet.
+range of the key, and read back by the scanners), and the grid algebra on a table seen as a sheet. What goes by row number or
+address goes by workbook too, so the queries hold at any size. More queries over files are in file_queries.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .testing.xlsx_writer import BookSpec, Cell, SheetSpec, style_sheet, write_x
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Rows of a workbook on average, far under the 65,536 of an XLS sheet.
+#: Keys of a workbook, far under the 65,536 rows of an XLS sheet.
 BOOK_ROWS = 4000
 
 
@@ -48,9 +49,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_files(df: DataFrame, key: str, build: Callable[[list[tuple]], bytes], rows: int | None = None) -> DataFrame:
-    """(path, content): a workbook for each bucket of rows, its rows in order of key, made once on the executors."""
-    buckets = max(1, -(-df.count() // (rows or BOOK_ROWS)))
+def as_files(df: DataFrame, key: str, build: Callable[[list[tuple]], bytes], rows: int = BOOK_ROWS) -> DataFrame:
+    """(path, content): a workbook for each `rows` values of a whole-number key, bucket-<key // rows>, its rows in order of the
+    key, made once on the executors."""
     names = df.columns
 
     def make(table: pa.Table) -> pa.Table:
@@ -58,7 +59,7 @@ def as_files(df: DataFrame, key: str, build: Callable[[list[tuple]], bytes], row
         bucket = table.column("_bucket")[0].as_py()
         return pa.table({"path": [f"bucket-{bucket}"], "content": pa.array([build(list(zip(*(table.column(n).to_pylist() for n in names), strict=True)))], pa.binary())})
 
-    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).groupBy("_bucket").applyInArrow(make, "path string, content binary").persist()
+    return df.withColumn("_bucket", F.floor(F.col(key) / rows)).groupBy("_bucket").applyInArrow(make, "path string, content binary").persist()
 
 
 def _xlsx(header: list[str] | None, start_row: int = 1, start_col: int = 1, **kw: Any) -> Callable[[list[tuple]], bytes]:
@@ -110,12 +111,12 @@ def xlsx_typed_inference(spark, sf_dir):
     return _book(as_files(df, "o_orderkey", _xlsx(df.columns))).first_sheet().with_header().rows(types="infer").drop("row")
 
 
-@query("SELECT (row_number() OVER (ORDER BY c_custkey) + 1)::BIGINT AS r, c_name AS \"B\", c_acctbal AS \"C\" FROM customer QUALIFY r BETWEEN 3 AND 8")
+@query("SELECT 'bucket-' || (c_custkey // 4000) AS book, (row_number() OVER (PARTITION BY c_custkey // 4000 ORDER BY c_custkey) + 1)::BIGINT AS r, c_name AS \"B\", c_acctbal AS \"C\" FROM customer QUALIFY r BETWEEN 3 AND 8")
 def xlsx_area(spark, sf_dir):
+    """An area, of every workbook."""
     df = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    files = as_files(df, "c_custkey", _xlsx(df.columns), rows=1_000_000)
-    rows = _book(files).first_sheet().set_read_area("B3:C8").rows(types={"C": "double"})
-    return rows.select(F.col("row").cast("bigint").alias("r"), "B", "C")
+    rows = _book(as_files(df, "c_custkey", _xlsx(df.columns))).first_sheet().set_read_area("B3:C8").rows(types={"C": "double"}, book_name="book")
+    return rows.select("book", F.col("row").cast("bigint").alias("r"), "B", "C")
 
 
 @query("SELECT p_name AS \"B\", p_brand AS \"C\", p_type AS \"D\" FROM part")
@@ -167,7 +168,7 @@ def sheets_select(spark, sf_dir):
     def build(found: list[tuple]) -> bytes:
         return write_xlsx([SheetSpec(name, {1: [key]}, state=("visible", "hidden", "veryHidden")[key % 3]) for key, name in found])
 
-    book = _book(as_files(rows, "r_regionkey", build, 1_000_000))
+    book = _book(as_files(rows, "r_regionkey", build))
     cells = book.cells().select("sheet", F.col("i").alias("key"))
     sheets = book.part("sheets").select(F.col("sheet").alias("name"), "state")
     return sheets.join(cells, sheets["name"] == cells["sheet"]).select("name", "state", "key")
@@ -181,12 +182,12 @@ def hyperlinks_join(spark, sf_dir):
     def build(rows: list[tuple]) -> bytes:
         return write_xlsx([SheetSpec("Data", {k: [key] for k, (key, _) in enumerate(rows, 1)}, links=[(f"A{k}", url, None) for k, (_, url) in enumerate(rows, 1)])])
 
-    book = _book(as_files(df, "page_id", build, 1_000_000))
-    cells = book.first_sheet().grid().cells().select("address", F.col("i").alias("page_id"))
-    return cells.join(book.first_sheet().hyperlinks(), F.col("address") == F.col("ref")).select("page_id", F.col("link").alias("url"))
+    book = _book(as_files(df, "page_id", build))
+    cells = book.first_sheet().grid().cells(book_name="book").select("book", F.col("address").alias("ref"), F.col("i").alias("page_id"))
+    return cells.join(book.first_sheet().hyperlinks(), ["book", "ref"]).select("page_id", F.col("link").alias("url"))
 
 
-@query("SELECT o_orderkey, CASE WHEN r = 2 THEN '=A2*2+LOG10($A$1)' ELSE '=A' || r || '*2+LOG10($A$1)' END AS formula FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS r FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN r = 2 THEN '=A2*2+LOG10($A$1)' ELSE '=A' || r || '*2+LOG10($A$1)' END AS formula FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) + 1 AS r FROM orders)")
 def formula_shift(spark, sf_dir):
     """A shared formula over all rows: the first has its text, the others only its number."""
     df = _table(spark, sf_dir, "orders").select("o_orderkey")
@@ -198,9 +199,9 @@ def formula_shift(spark, sf_dir):
             lines[k] = [key, Cell(formula="A2*2+LOG10($A$1)" if k == 2 else "", formula_attrs=f' t="shared" si="0" ref="B2:B{last}"' if k == 2 else ' t="shared" si="0"', raw="1")]
         return write_xlsx([SheetSpec("Data", lines)])
 
-    cells = _book(as_files(df, "o_orderkey", build, 1_000_000)).first_sheet().set_read_area("A2").cells()
-    keys, formulas = cells.where("col = 1").select("row", F.col("i").alias("o_orderkey")), cells.where("col = 2").select(F.col("row").alias("at"), F.col("f").alias("formula"))
-    return keys.join(formulas, F.col("row") == F.col("at")).select("o_orderkey", "formula")
+    cells = _book(as_files(df, "o_orderkey", build)).first_sheet().set_read_area("A2").cells(book_name="book")
+    keys, formulas = cells.where("col = 1").select("book", "row", F.col("i").alias("o_orderkey")), cells.where("col = 2").select("book", "row", F.col("f").alias("formula"))
+    return keys.join(formulas, ["book", "row"]).select("o_orderkey", "formula")
 
 
 @query("SELECT p_partkey, p_name, p_retailprice, p_size::BIGINT AS p_size FROM part")
@@ -234,19 +235,23 @@ def xls_rk_and_formulas(spark, sf_dir):
 
 @query("SELECT doc_id, text FROM documents")
 def xls_sst_continue(spark, sf_dir):
-    """Long texts in a shared string table that spreads over continuation records."""
+    """Long texts in a shared string table that spreads over continuation records. A string holds 65,535 characters at most and
+    a row 256 cells, so a text takes as many cells and rows as it needs."""
     df = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def build(rows: list[tuple]) -> bytes:
-        lines = {}
-        for k, (key, text) in enumerate(rows, 1):  # a string holds 65,535 characters at most
+        lines: dict[int, list[Any]] = {}
+        for key, text in rows:
             parts = [text[i : i + 30_000] for i in range(0, len(text), 30_000)] or [""]
-            lines[k] = [float(key), *parts]
+            for at in range(0, len(parts), 200):
+                lines[len(lines) + 1] = [float(key), float(at), *parts[at : at + 200]]
         return write_xls([XlsSheetSpec("Data", lines)])
 
     rows = _book(as_files(df, "doc_id", build, 200)).first_sheet().grid().typed_rows()
-    parts = F.transform(F.slice("cells", 2, 1000), lambda c: c["x"])
-    return rows.select(F.col("cells")[0]["i"].alias("doc_id"), F.concat_ws("", parts).alias("text"))
+    parts = F.concat_ws("", F.transform(F.slice("cells", F.lit(3), F.size("cells")), lambda c: c["x"]))
+    lines = rows.select(F.col("cells")[0]["i"].alias("doc_id"), F.struct(F.col("cells")[1]["i"].alias("at"), parts.alias("text")).alias("line"))
+    whole = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return whole.select("doc_id", F.concat_ws("", "lines.text").alias("text"))
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -258,7 +263,7 @@ def csv_roundtrip(spark, sf_dir):
 @query("SELECT doc_id, text FROM documents")
 def csv_quoted_multiline(spark, sf_dir):
     df = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _book(as_files(df, "doc_id", _csv(df.columns)), kind="csv", csv={"delimiter": ","}).first_sheet().with_header().rows(types={"doc_id": "long"}).drop("row")
+    return _book(as_files(df, "doc_id", _csv(df.columns), 500), kind="csv", csv={"delimiter": ","}).first_sheet().with_header().rows(types={"doc_id": "long"}).drop("row")
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -270,20 +275,20 @@ def csv_tsv_sniff(spark, sf_dir):
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, 'Страна ' || lower(n_name) || ', столица и города' AS name FROM nation")
 def csv_cp1251(spark, sf_dir):
     df = _table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Страна "), F.lower("n_name"), F.lit(", столица и города")).alias("name"))
-    return _book(as_files(df, "n_nationkey", _csv(df.columns, ";", "cp1251"), 1_000_000), csv={"delimiter": ";"}).first_sheet().with_header().rows(types={"n_nationkey": "long"}).drop("row")
+    return _book(as_files(df, "n_nationkey", _csv(df.columns, ";", "cp1251")), csv={"delimiter": ";"}).first_sheet().with_header().rows(types={"n_nationkey": "long"}).drop("row")
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 0")
 def csv_comment_skip(spark, sf_dir):
-    df = _table(spark, sf_dir, "nation").select(F.concat(F.when(F.col("n_nationkey") % 5 == 0, "#").otherwise(""), F.col("n_nationkey").cast("string")).alias("n_nationkey"), "n_name")
-    files = as_files(df, "n_name", _csv(df.columns), 1_000_000)
-    return _book(files, csv={"comment_prefix": "#", "delimiter": ","}).first_sheet().with_header().rows(types={"n_nationkey": "long"}).drop("row")
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    build = lambda rows: "".join(["n_nationkey,n_name\n", *(f"{'#' * (key % 5 == 0)}{key},{name}\n" for key, name in rows)]).encode()
+    return _book(as_files(df, "n_nationkey", build), csv={"comment_prefix": "#", "delimiter": ","}).first_sheet().with_header().rows(types={"n_nationkey": "long"}).drop("row")
 
 
 @query("SELECT (row_number() OVER (ORDER BY n_nationkey) + 1)::BIGINT AS r, n_name AS \"B\" FROM nation QUALIFY r >= 4")
 def csv_from_row_col(spark, sf_dir):
     df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = _book(as_files(df, "n_nationkey", _csv(df.columns), 1_000_000), csv={"delimiter": ","}).first_sheet().from_cell("B4").rows()
+    rows = _book(as_files(df, "n_nationkey", _csv(df.columns)), csv={"delimiter": ","}).first_sheet().from_cell("B4").rows()
     return rows.select(F.col("row").cast("bigint").alias("r"), "B")
 
 
@@ -298,7 +303,7 @@ def file_signatures(spark, sf_dir):
 def csv_keys_excel(spark, sf_dir):
     """The engine's own keys: letters for columns."""
     df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = engine_rows(as_files(df, "n_nationkey", _csv(df.columns), 1_000_000), {"delimiter": ","}, None, 128, from_row=2)
+    rows = engine_rows(as_files(df, "n_nationkey", _csv(df.columns)), {"delimiter": ","}, None, 128, from_row=2)
     return rows.select(F.col("row").cast("bigint").alias("r"), F.element_at("cells", "A").alias("a"), F.element_at("cells", "B").alias("b"))
 
 
@@ -306,7 +311,7 @@ def csv_keys_excel(spark, sf_dir):
 def csv_keys_one_based(spark, sf_dir):
     """The engine's one-based row key is the record number plus one."""
     df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = engine_rows(as_files(df, "n_nationkey", _csv(df.columns), 1_000_000), {"delimiter": ","}, None, 8 | 16, from_row=2)
+    rows = engine_rows(as_files(df, "n_nationkey", _csv(df.columns)), {"delimiter": ","}, None, 8 | 16, from_row=2)
     return rows.select(F.col("row").cast("bigint").alias("r"), F.element_at("cells", "1").alias("a"), F.element_at("cells", "2").alias("b"))
 
 
@@ -327,9 +332,9 @@ def images_by_cell(spark, sf_dir):
     def build(rows: list[tuple]) -> bytes:
         return write_xlsx([SheetSpec("Data", {key + 2: [key] for (key,) in rows}, images=[(key + 2, 1, f"image{key}.png", b"\x89PNG" + bytes([key])) for (key,) in rows])])
 
-    book = _book(as_files(df, "r_regionkey", build, 1_000_000))
-    cells = book.first_sheet().grid().cells().select(F.col("row").alias("at"), F.col("i").alias("key"))
-    return book.images().join(cells, F.col("row") == F.col("at")).select("key", "file_name", "mime", F.col("row").cast("bigint").alias("r"))
+    book = _book(as_files(df, "r_regionkey", build))
+    cells = book.first_sheet().grid().cells(book_name="book").select("book", "row", F.col("i").alias("key"))
+    return book.images().join(cells, ["book", "row"]).select("key", "file_name", "mime", F.col("row").cast("bigint").alias("r"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%m-%d-%y') AS shown, (epoch(o_orderdate)::BIGINT // 86400 + 25569)::VARCHAR AS original FROM orders")
@@ -384,24 +389,25 @@ def read_cells(spark, sf_dir):
     return grid.set_read_area_columns("B:C").cells().select("address", "value")
 
 
-@query("SELECT 'A' AS col, string_agg(r || ':' || c_mktsegment, '|' ORDER BY r) AS cells FROM (SELECT c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS r FROM customer)")
+@query("SELECT 'A' AS col, row_number() OVER (ORDER BY c_custkey)::BIGINT AS r, c_mktsegment AS value FROM customer")
 def read_columns(spark, sf_dir):
-    turned = _sheet_of(_table(spark, sf_dir, "customer"), ["c_custkey"], ["c_mktsegment"]).columns()
-    return turned.select("col", F.array_join(F.transform("values", lambda x: F.concat(x["row"].cast("string"), F.lit(":"), x["value"])), "|").alias("cells"))
+    """Columns in the long form, which has no bound."""
+    turned = _sheet_of(_table(spark, sf_dir, "customer"), ["c_custkey"], ["c_mktsegment"]).long_rows()
+    return turned.select("col", F.col("row").cast("bigint").alias("r"), "value")
 
 
 @query("SELECT r_name AS name, (r_regionkey + 1)::BIGINT AS r FROM region")
 def key_first_row(spark, sf_dir):
     """The first row names the columns by mode, and rows count from 1 after it."""
     df = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    grid = _book(as_files(df, "r_regionkey", _xlsx(df.columns), 1_000_000)).first_sheet().grid()
+    grid = _book(as_files(df, "r_regionkey", _xlsx(df.columns))).first_sheet().grid()
     return grid.rows(mode=g.KEYS_FIRST_ROW | g.KEYS_ROW_ONE_BASED).select(F.col("r_name").alias("name"), F.col("row").cast("bigint").alias("r"))
 
 
 @query("SELECT n_nationkey::VARCHAR AS key, n_name FROM nation")
 def header_names_short(spark, sf_dir):
     df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return _book(as_files(df, "n_nationkey", _xlsx(df.columns), 1_000_000)).first_sheet().with_header(["key"]).rows().select("key", "n_name")
+    return _book(as_files(df, "n_nationkey", _xlsx(df.columns))).first_sheet().with_header(["key"]).rows().select("key", "n_name")
 
 
 @query("SELECT 'A' || 3 AS address, o_orderkey::VARCHAR AS value FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 2) UNION ALL SELECT 'B' || 3, o_orderstatus FROM (SELECT o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 2)")
@@ -417,7 +423,7 @@ def result_mode_row(spark, sf_dir):
     def build(rows: list[tuple]) -> bytes:
         return write_xlsx([SheetSpec("Data", {k: [name] for k, (_, name) in enumerate(rows, 1)}, row_attrs={k: f'ht="{key + 10.5}"' for k, (key, _) in enumerate(rows, 1)})])
 
-    rows = _book(as_files(df, "n_nationkey", build, 1_000_000)).first_sheet().grid().rows(mode=g.RESULT_MODE_ROW)
+    rows = _book(as_files(df, "n_nationkey", build)).first_sheet().grid().rows(mode=g.RESULT_MODE_ROW)
     return rows.select(F.col("A").alias("name"), F.element_at("__row", "ht").cast("double").alias("height"))
 
 
@@ -510,7 +516,8 @@ def typing_numbers(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
     none = F.lit(None).cast("string")
     cell = lambda k, c: F.struct(F.lit(k).alias("col"), F.lit("").alias("t"), F.lit(0).alias("s"), c.cast("string").alias("raw"), none.alias("f"), none.alias("text"), F.lit("").alias("fmt"), F.lit("").alias("code"), F.lit(False).alias("base1904"))
-    rows = df.select(F.lit(1).alias("row"), F.create_map().cast("map<string,string>").alias("attrs"), F.array(*(cell(k, df[c]) for k, c in enumerate(df.columns, 1))).alias("cells"))
+    one = F.lit(1)
+    rows = df.select(F.lit("").alias("book"), one.alias("row"), one.alias("first_row"), one.alias("first_col"), F.lit(0).cast("long").alias("head"), F.create_map().cast("map<string,string>").alias("attrs"), F.array(*(cell(k, df[c]) for k, c in enumerate(df.columns, 1))).alias("cells"))
     grid = Grid(lambda area, limit, mode: rows).set_read_area("A:C")
     return grid.rows(types={"A": "long", "B": "double", "C": "double"}).toDF("row", *df.columns).drop("row")
 
@@ -538,7 +545,7 @@ def style_compose(spark, sf_dir):
     def build(rows: list[tuple]) -> bytes:
         return write_xlsx(BookSpec([SheetSpec("Data", {k: [Cell(key, style=key % 2)] for k, (key,) in enumerate(rows, 1)})], styles=styles))
 
-    cells = _book(as_files(df, "r_regionkey", build, 1_000_000)).first_sheet().read_cells_with_styles()
+    cells = _book(as_files(df, "r_regionkey", build)).first_sheet().read_cells_with_styles()
     return cells.select(F.col("i").alias("key"), F.element_at("fill", "fill-color").alias("fill"), F.element_at("format", "format-pattern").alias("pattern"))
 
 

@@ -23,7 +23,8 @@ class XlsSheetSpec:
     rows: dict[int, list[Any]] = field(default_factory=dict)
     state: int = 0
     merges: list[tuple[int, int, int, int]] = field(default_factory=list)  # row1, row2, col1, col2 from 0
-    extra: bytes = b""  # further records
+    extra: bytes = b""  # further records after the cells
+    before: bytes = b""  # and before them
 
 
 def record(kind: int, body: bytes = b"") -> bytes:
@@ -121,7 +122,7 @@ def write_xls(sheets: list[XlsSheetSpec], formats: dict[int, str] | None = None,
         wide = max((len(r) for r in s.rows.values()), default=0)
         dimension = struct.pack("<IIHHH", min(s.rows, default=1) - 1, max(s.rows, default=0), 0, wide, 0)
         merged = record(0x00E5, struct.pack("<H", len(s.merges)) + b"".join(struct.pack("<HHHH", *m) for m in s.merges)) if s.merges else b""
-        bodies.append(record(0x0809, struct.pack("<HHHHII", 0x0600, 0x0010, 0, 0, 0, 0)) + record(0x0200, dimension) + _cells(s, strings) + s.extra + merged + record(0x000A))
+        bodies.append(record(0x0809, struct.pack("<HHHHII", 0x0600, 0x0010, 0, 0, 0, 0)) + record(0x0200, dimension) + s.before + _cells(s, strings) + s.extra + merged + record(0x000A))
     font = record(0x0031, struct.pack("<HHHHHBBBB", 200, 0, 0x7FFF, 400, 0, 0, 0, 0, 0) + _text("Arial", False))
     xfs = b"".join(record(0x00E0, struct.pack("<HHHBB", 0, k, 0, 0x20, 0) + b"\0" * 2 + struct.pack("<IIH", 0, 0, 0x20C0)) for k in [0] * 15 + (xf_formats or [0]))
     head = record(0x0809, struct.pack("<HHHHII", 0x0600, 0x0005, 0, 0, 0, 0)) + record(0x0022, struct.pack("<H", date1904)) + font * 4

@@ -1,6 +1,7 @@
 """The driver's entry points, and queries against their SQL."""
 
 import importlib
+import importlib.util
 import os
 import sys
 
@@ -50,3 +51,15 @@ def test_entry_without_the_pipeline_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(own.QUERIES)
     assert set(entry.oracle_sql()) == set(own.ORACLE_SQL)
+
+
+def test_entry_hides_no_other_broken_import(monkeypatch):
+    """What the subpackage itself fails to import is an error, not an absence."""
+    if importlib.util.find_spec("sheetframe.llm") is None:
+        pytest.skip("no pipeline operators")
+    for name in [n for n in sys.modules if n.startswith("sheetframe.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    entry = importlib.import_module("__spark_entry__")
+    with pytest.raises(ModuleNotFoundError, match="ahocorasick"):
+        entry.queries()

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 
 from sheetframe.functions import addressing as a
-from sheetframe.functions.dates import format_category, letters_pattern, spark_pattern
+from sheetframe.functions.dates import format_category, is_date_format, is_number_format, letters_pattern, spark_pattern
 from sheetframe.functions.typing_rules import unescape
 from sheetframe.sources import escher
 from sheetframe.sources.biff import XlsBook, decode_rk, shared_strings
@@ -49,6 +49,13 @@ def test_number_format_categories():
     assert format_category("@", 164) == "" and format_category("@", 164, True) == "string"
 
 
+def test_date_and_number_formats():
+    dates = ["yy", "mm:ss", "h", "dd", "d/m", "d.m.", "d\\.m", "[h]", "[mm]:ss", "[$-409]general", "[$-FC19]0", "0 AM/PM", "[Red]yyyy", "MM", 'd"/"m/d']
+    others = ["", "0", "0.00", "General", "@", "#,##0", "[Red]0", '"days"0', '0" h"', "[$-409]", "[$€-407] 0", "d-m", "m", "s", "\\h0", "# ?/?"]
+    assert [c for c in dates if not is_date_format(c)] == [] and [c for c in others if is_date_format(c)] == []
+    assert [is_number_format(c) for c in ("0", "000", "0.00", "0.", "", ".0", "#0", "0.0.0", "0%")] == [True, True, True, False, False, False, False, False, False]
+
+
 def test_date_patterns():
     cases = {"mm-dd-yy": "MM-dd-yy", "d-mmm-yy": "d-MMM-yy", "h:mm AM/PM": "h:mm a", "h:mm:ss": "H:mm:ss", "mm:ss": "mm:ss", "m/d/yy h:mm": "M/d/yy H:mm", "[$-419]dd\\.mm\\.yyyy;@": "dd.MM.yyyy", "dddd, mmmm d": "EEEE, MMMM d", "[h]:mm:ss": "H:mm:ss", "yyyy-mm-dd hh:mm": "yyyy-MM-dd HH:mm"}
     assert {c: spark_pattern(c) for c in cases} == cases
@@ -163,13 +170,60 @@ def test_named_encodings(codec):
 
 def test_delimiters():
     assert detect_delimiter("a;b\n1;2,5\n2;3,5\n3;4,5\n")[0] == ";"
-    assert detect_delimiter("a\tb\n1\t2\n2\t3\n") [0] == "\t"
-    assert detect_delimiter('a|b|c\n1|"x|y"|2\n2|3|4\n3|4|5\n') == ("|", 1.0)
-    assert detect_delimiter("a;b\n1;2\n") == (";", 0.4)
+    assert detect_delimiter("a\tb\n1\t2\n2\t3\n")[0] == "\t"
+    assert detect_delimiter('a|b|c\n1|"x|y"|2\n2|3|4\n3|4|5\n')[0] == "|"
+    assert detect_delimiter("a;b\n1;2\n") == (";", 0.0)
     assert detect_delimiter("plain\ntext\nonly\n") == (",", 0.0)
     assert DelimitedReader(b"ID;Name;City\n").options.delimiter == ","  # too short to tell
 
 
+@pytest.mark.parametrize("mark", [",", ";", "\t", "|", ":"])
+def test_delimiters_of_tables(mark):
+    """Ragged rows, line ends in quotes, prose with commas, decimal commas, times and URLs beside the true delimiter."""
+    other = "; " if mark == "," else ", "
+    rows = [["id", "note", "when"], ["1", f'"one{mark} two\nthree{mark}"', "ten"], ["2", f"plain{other}prose", "six"], ["3", "", "two", "more"], ["4", "text", "one"], ["5", "x", "y"]]
+    text = "\r\n".join(mark.join(r) for r in rows)
+    assert detect_delimiter(text)[0] == mark and detect_delimiter(text)[1] >= 0.6
+    if mark not in ",:":
+        assert detect_delimiter("\n".join(f"{k},5{mark}1{k}:30{mark}http://h{k}/" for k in range(5)))[0] == mark
+    assert DelimitedReader(text.encode()).options.delimiter == mark
+
+
+def test_prose_has_no_delimiter():
+    text = "One line here.\nAnother, with a comma, or two, or three.\nNone here: just this.\nAnd the end.\nOf it all\n"
+    assert detect_delimiter(text)[1] < 0.6
+
+
+def test_stream_filters_and_raw_rows():
+    import base64
+    import zlib
+
+    plain = b"a,b\n\n#no\n1,2\n"
+    raw = zlib.compressobj(wbits=-15)
+    for data, name in ((raw.compress(plain) + raw.flush(), "zlib.inflate"), (base64.b64encode(plain), "convert.base64-decode"), (plain[::-1], lambda d: d[::-1]), (plain.decode().encode("utf-16-le"), "convert.iconv.UTF-16LE/UTF-8")):
+        reader = DelimitedReader(data, {"delimiter": ",", "streamFilter": name, "comment_prefix": "#", "skip_empty_lines": True})
+        assert [(reader.next_raw_row(), reader.line_no) for _ in range(3)] == [(["a", "b"], 1), (["1", "2"], 4), (None, 4)]
+        assert reader.next_raw_row() == ["a", "b"]
+    with pytest.raises(DelimitedError):
+        DelimitedReader(plain, {"stream_filter": "no.such"})
+
+
+def test_well_formed_records_take_the_short_way():
+    """The pattern for well-formed records and the character by character scan agree."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(4000):
+        body = "".join(rng.choice(['"', '""', ",", "a", " ", "b c", "\t", "'"]) for _ in range(rng.randrange(1, 12)))
+        for trim in (True, False):
+            parser = RecordParser(DelimitedOptions(strict=False, delimiter=",", trim_fields=trim))
+            for at_end in (True, False):
+                short = parser._well_formed(body, at_end)
+                if short is not None:
+                    strict = RecordParser(DelimitedOptions(delimiter=",", trim_fields=trim))
+                    assert (short, False) == strict._scan(body, True, at_end) and not strict.errors, body
+
+
 def test_binary_is_rejected():
     assert looks_binary(b"ab\0c") and looks_binary(bytes(range(1, 9))) and not looks_binary("é\t\n".encode())
     with pytest.raises(DelimitedError):
@@ -183,7 +237,7 @@ def test_binary_is_rejected():
 
 
 def book(**kw):
-    rows = {1: ["#", "name", "birthday", "random_int"], 2: [1, "James Bond", Cell(45, style=1), 4573], 3: [2, "Ellen Louise Ripley", Cell(102128, style=1), 982630], 5: []}
+    rows = {1: ["#", "name", "birthday", "random_int"], 2: [1, "Ada Novak", Cell(45, style=1), 4573], 3: [2, "Lena Marie Ostrom", Cell(102128, style=1), 982630], 5: []}
     return BookSpec([SheetSpec("Sheet1", rows, merges=["A1:B1"]), SheetSpec("Other", {1: ["x"]}, state="hidden", sheet_id=7)], styles=style_sheet(["dd.mm.yyyy"]), names={"Head": "Sheet1!$A$1:$D$1"}, **kw)
 
 
@@ -194,7 +248,7 @@ def test_xlsx_catalogue_and_rows(shared):
     assert b.defined_names == {"Head": "Sheet1!$A$1:$D$1"}
     rows = list(b.sheets[0].rows())
     assert [r for r, _, _ in rows] == [1, 2, 3]
-    assert [c["raw"] if c["text"] is None else c["text"] for c in rows[1][2]] == ["1", "James Bond", "45", "4573"]
+    assert [c["raw"] if c["text"] is None else c["text"] for c in rows[1][2]] == ["1", "Ada Novak", "45", "4573"]
     assert [r for r, _, _ in b.sheets[0].rows(row_mode=True)] == [1, 2, 3, 5]
     assert [c["col"] for _, _, cells in b.sheets[0].rows(a.parse_area("B2:C2")) for c in cells] == [2, 3]
     assert len(list(b.sheets[0].rows(row_limit=2))) == 2
@@ -280,7 +334,7 @@ def xls_book():
     tokens, shared = bytes.fromhex("1E02001E030005"), bytes.fromhex("01") + struct.pack("<HH", 6, 0)
     rows = {
         1: ["id", "имя", "when", "ok"],
-        2: [1, "James", XlsCell(45, style=1), True],
+        2: [1, "Ada", XlsCell(45, style=1), True],
         4: [2.5, XlsCell(None), XlsCell(30681.222951388889, style=1), "#ERR:07"],
         5: [XlsCell(6, tokens=tokens), XlsCell("text", tokens=tokens), XlsCell(43, style=2), XlsCell(43, style=3)],
         7: [XlsCell(1, tokens=shared)],
@@ -294,7 +348,7 @@ def test_xls_cells():
     assert [(s.name, s.state, s.dimension) for s in b.sheets] == [("First", "visible", "A1:D7"), ("Hid", "hidden", "A1")]
     rows = {r: [(c["t"], c["raw"], c["fmt"], c["f"]) for c in cells] for r, _, cells in b.sheets[0].rows()}
     assert rows[1][1] == ("s", "имя", "", None)
-    assert rows[2] == [("n", "1", "", None), ("s", "James", "", None), ("n", "45", "date", None), ("b", "1", "", None)]
+    assert rows[2] == [("n", "1", "", None), ("s", "Ada", "", None), ("n", "45", "date", None), ("b", "1", "", None)]
     assert rows[4] == [("n", "2.5", "", None), ("", None, "", None), ("n", "30681.22295138889", "date", None), ("e", "#DIV/0!", "", None)]
     assert rows[5] == [("n", "6", "", "=2*3"), ("s", "text", "", "=2*3"), ("n", "43", "number", None), ("n", "43", "string", None)]
     assert rows[7][0][3] == "=A6"
@@ -316,6 +370,19 @@ def test_decompile(tokens, text):
     assert decompile(bytes.fromhex(tokens)) == text
 
 
+def test_function_names_by_index():
+    from sheetframe.sources.formula import _ARGUMENTS, FUNCTIONS
+
+    assert len(FUNCTIONS) == len(set(FUNCTIONS.values())) == 247 and set(_ARGUMENTS) <= set(FUNCTIONS)
+    spots = {0: "COUNT", 74: "NOW", 102: "VLOOKUP", 169: "COUNTA", 211: "LENB", 277: "CONFIDENCE", 293: "NORMDIST", 300: "POISSON", 308: "COVAR", 309: "FORECAST", 310: "FTEST", 311: "INTERCEPT", 312: "PEARSON", 313: "RSQ", 315: "SLOPE", 329: "PERCENTRANK", 351: "DATEDIF", 367: "VARA"}
+    assert {k: FUNCTIONS[k] for k in spots} == spots
+    for k, name in FUNCTIONS.items():
+        n = _ARGUMENTS.get(k, 2)
+        numbers = b"".join(b"\x1e" + struct.pack("<H", i) for i in range(n))
+        token = b"\x21" + struct.pack("<H", k) if k in _ARGUMENTS else b"\x22" + struct.pack("<BH", n, k)
+        assert decompile(numbers + token) == f"{name}({','.join(map(str, range(n)))})"
+
+
 def test_decompile_functions_and_references():
     area = b"\x25" + struct.pack("<HHHH", 1, 1, 0xC000, 0xC003)
     assert decompile(area + b"\x19\x10\x00\x00") == "SUM(A2:D2)"

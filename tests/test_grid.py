@@ -17,11 +17,11 @@ from sheetframe.testing.xlsx_writer import BookSpec, Cell, SheetSpec, style_shee
 
 PEOPLE = {
     1: ["#", "name", "birthday", "random_int"],
-    2: [1, "James Bond", Cell(45, style=1), 4573],
-    3: [2, "Ellen Louise Ripley", Cell(102128, style=1), 982630],
-    4: [3, "Captain Jack Sparrow", Cell(-53682, style=1), 7239],
+    2: [1, "Ada Novak", Cell(45, style=1), 4573],
+    3: [2, "Lena Marie Ostrom", Cell(102128, style=1), 982630],
+    4: [3, "Otto van Halm", Cell(-53682, style=1), 7239],
 }
-OFFSET = {2: [None, "Title"], 4: [None, "Name", "Date", "Color"], 5: [None, "Giovanni", Cell(25781, style=1), "Red"], 7: [None, "Evan", Cell(24031, style=1), "Purple"]}
+OFFSET = {2: [None, "Title"], 4: [None, "Name", "Date", "Color"], 5: [None, "Marta", Cell(25781, style=1), "Red"], 7: [None, "Jonas", Cell(24031, style=1), "Purple"]}
 RAGGED = {2: ["aaa", "bbb", "ccc", "ddd"], 5: ["e", None, "", "  f "], 6: [6]}
 
 
@@ -61,14 +61,14 @@ def test_catalogue(book):
 def test_key_modes_on_an_anchored_sheet(book):
     grid = book.sheet("People").grid()
     plain = pulled(grid)
-    assert plain[2] == {"A": 1, "B": "James Bond", "C": -2205187200, "D": 4573}
+    assert plain[2] == {"A": 1, "B": "Ada Novak", "C": -2205187200, "D": 4573}
     assert plain[3]["C"] == 6614697600 and list(plain) == [1, 2, 3, 4]
     assert pulled(grid, (), g.KEYS_RELATIVE) == plain
     assert list(pulled(grid, (), g.KEYS_ROW_ZERO_BASED)) == [0, 1, 2, 3]
-    assert pulled(grid, (), g.KEYS_ZERO_BASED)[1] == {0: 1, 1: "James Bond", 2: -2205187200, 3: 4573}
-    assert pulled(grid, (), g.KEYS_ONE_BASED)[2] == {1: 1, 2: "James Bond", 3: -2205187200, 4: 4573}
+    assert pulled(grid, (), g.KEYS_ZERO_BASED)[1] == {0: 1, 1: "Ada Novak", 2: -2205187200, 3: 4573}
+    assert pulled(grid, (), g.KEYS_ONE_BASED)[2] == {1: 1, 2: "Ada Novak", 3: -2205187200, 4: 4573}
     first = pulled(grid, (), g.KEYS_FIRST_ROW)
-    assert list(first) == [2, 3, 4] and first[2]["name"] == "James Bond"
+    assert list(first) == [2, 3, 4] and first[2]["name"] == "Ada Novak"
     assert list(pulled(grid, (), g.KEYS_FIRST_ROW | g.KEYS_ROW_ZERO_BASED)) == [0, 1, 2]
     assert list(pulled(grid, (), g.KEYS_FIRST_ROW | g.KEYS_ROW_ONE_BASED)) == [1, 2, 3]
 
@@ -77,9 +77,9 @@ def test_key_modes_on_an_offset_sheet(book):
     grid = book.sheet("Offset").from_cell("B4")
     assert list(pulled(grid)) == [4, 5, 7]
     assert list(pulled(grid, (), g.KEYS_ROW_ZERO_BASED)) == [0, 1, 3]  # gaps stay
-    assert pulled(grid, (), g.KEYS_COL_ZERO_BASED)[5] == {0: "Giovanni", 1: 18316800, 2: "Red"}
+    assert pulled(grid, (), g.KEYS_COL_ZERO_BASED)[5] == {0: "Marta", 1: 18316800, 2: "Red"}
     bounded = book.sheet("Offset").set_read_area("A4:D7")
-    assert pulled(bounded, (), g.KEYS_COL_ONE_BASED)[5] == {1: None, 2: "Giovanni", 3: 18316800, 4: "Red"}
+    assert pulled(bounded, (), g.KEYS_COL_ONE_BASED)[5] == {1: None, 2: "Marta", 3: 18316800, 4: "Red"}
 
 
 def test_header_precedence(book):
@@ -103,7 +103,7 @@ def test_wide_rows_and_types(book):
     rows = book.sheet("People").with_header().rows(types="infer")
     assert dict(rows.dtypes) == {"row": "int", "#": "bigint", "name": "string", "birthday": "timestamp", "random_int": "bigint"}
     plain = book.sheet("People").set_read_area("B2:C3").rows()
-    assert [tuple(r) for r in plain.orderBy("row").collect()] == [(2, "James Bond", "-2205187200"), (3, "Ellen Louise Ripley", "6614697600")]
+    assert [tuple(r) for r in plain.orderBy("row").collect()] == [(2, "Ada Novak", "-2205187200"), (3, "Lena Marie Ostrom", "6614697600")]
     renamed = book.sheet("People").grid().rows({"A": "row", "B": "who"})
     assert renamed.columns == ["_row", "row", "who", "C", "D"]
 
@@ -123,7 +123,7 @@ def test_areas(book, spark):
     assert pulled(ragged.set_read_area("B5"))[5] == {"C": "", "D": "  f "}
     assert list(pulled(ragged.grid().limit(2))) == [2, 5]
     assert pulled(book.set_read_area("values"), None) == pulled(book.sheet("Offset").set_read_area("Values"))
-    assert pulled(book.set_read_area("Values"))[7]["B"] == "Evan"
+    assert pulled(book.set_read_area("Values"))[7]["B"] == "Jonas"
     for bad in (lambda: ragged.set_read_area("no such"), lambda: ragged.from_cell("A1:B2")):
         with pytest.raises((AddressError, ValueError)):
             bad()
@@ -147,7 +147,7 @@ def test_row_mode(spark):
 
 def test_columns_cells_and_first_rows(book):
     turned = {r["col"]: {x["row"]: x["value"] for x in r["values"]} for r in book.sheet("Offset").from_cell("B4").columns().collect()}
-    assert turned["B"] == {4: "Name", 5: "Giovanni", 7: "Evan"} and turned["D"] == {4: "Color", 5: "Red", 7: "Purple"}
+    assert turned["B"] == {4: "Name", 5: "Marta", 7: "Jonas"} and turned["D"] == {4: "Color", 5: "Red", 7: "Purple"}
     headed = {r["col"]: [x["row"] for x in r["values"]] for r in book.sheet("People").grid().columns(True).collect()}
     assert headed == {k: [2, 3, 4] for k in ("#", "name", "birthday", "random_int")}
     cells = {r["address"]: r["value"] for r in book.sheet("Offset").grid().cells().collect()}
@@ -160,10 +160,10 @@ def test_columns_cells_and_first_rows(book):
 
 def test_verbs_from_a_cell(book):
     sheet = book.sheet("Offset")
-    assert sorted(r["Name"] for r in sheet.read_rows_from("B4", True).collect()) == ["Evan", "Giovanni"]
+    assert sorted(r["Name"] for r in sheet.read_rows_from("B4", True).collect()) == ["Jonas", "Marta"]
     assert {r["col"] for r in sheet.read_columns_from("B4", True).collect()} == {"Name", "Date", "Color"}
     assert sheet.read_cells_from("C5").count() == 4
-    assert sheet.read_first_row_from("B5").first()["B"] == "Giovanni"
+    assert sheet.read_first_row_from("B5").first()["B"] == "Marta"
     assert [r["address"] for r in sheet.read_first_row_cells_from("B5").orderBy("col").collect()] == ["B5", "C5", "D5"]
     styled = {r["address"]: r["format"]["format-pattern"] for r in sheet.read_first_row_with_styles("B5").collect()}
     assert styled == {"B5": "General", "C5": "yyyy-mm-dd", "D5": "General"}
@@ -173,10 +173,10 @@ def test_verbs_from_a_cell(book):
 
 def test_cursor_and_callback(book):
     cursor = book.sheet("Offset").from_cell("B4").cursor(True)
-    assert cursor.read_next_row()["Name"] == "Giovanni" and cursor.row_number == 5
+    assert cursor.read_next_row()["Name"] == "Marta" and cursor.row_number == 5
     cursor.reset()
     assert cursor.row_number == 5
-    assert [cursor.read_next_row()["Name"], cursor.read_next_row()["Name"], cursor.read_next_row()] == ["Giovanni", "Evan", None]
+    assert [cursor.read_next_row()["Name"], cursor.read_next_row()["Name"], cursor.read_next_row()] == ["Marta", "Jonas", None]
     one, two = book.sheet("People").grid().next_row(), book.sheet("People").grid().next_row()
     assert next(one) == next(two) and next(one)[0] == 2 and next(two)[0] == 2
     seen = []
@@ -277,7 +277,7 @@ def test_styles(spark):
     assert found[1]["fill"] == {"fill-pattern": "solid", "fill-color": "#9FC63C"}
     assert found[1]["border"] == {"border-left-style": "thick", "border-left-color": "#FF0000", "border-bottom-style": "thin", "border-bottom-color": "#000000"}
     assert found[1]["font"] == {"font-size": "14", "font-name": "Calibri", "font-style-bold": "1", "font-style-italic": "1", "font-style-underline": "2", "font-color": "#202020"}
-    assert found[1]["format"] == {"format-num-id": "164", "format-pattern": "dd.mm.yyyy", "text-align": "center", "text-wrap": "1"}
+    assert found[1]["format"] == {"format-num-id": "164", "format-pattern": "dd.mm.yyyy", "format-category": "date", "format-align-horizontal": "center", "format-wrap-text": "1"}
     keyed = {r["address"]: r["style"] for r in b.read_cells_with_styles("fill-color").collect()}
     assert keyed["B1"] == "#9FC63C" and keyed["A1"].startswith("{")
     parts = {r["address"]: r["style"] for r in b.read_cell_styles(part="border").collect()}
@@ -288,6 +288,94 @@ def test_styles(spark):
     assert rows["B"]["fill-color"] == "#9FC63C"
 
 
+def test_text_dates(spark):
+    cases = {
+        "1985-12-31": 504835200, "1985-12-31 05:21": 504854460, "1985-12-31  05.21.03": 504854463, "1985/12/31": 504835200, "12/31/1985": 504835200, "12/31/85": 504835200,
+        "31.12.1985": 504835200, "31-12-1985 5:21:03.5": 504854463, "31.12.85": 504835200, "85-12-31": 504835200, "1985-12": 502243200, "1985-02-31": 478656000, "1985-13-01": 0, "31.12.22 5:00": 0, "1985-12-32": 0, "text": 0, "1.2.3.4": 0, "": 0,
+    }
+    from sheetframe.functions.dates import text_seconds
+
+    got = {r["t"]: r["s"] for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", text_seconds(F.col("t")).alias("s")).collect()}
+    assert got == cases
+    today = spark.range(1).select(F.unix_date(F.current_date()).alias("d"), text_seconds(F.lit("5:21")).alias("clock"), text_seconds(F.lit("12/31")).alias("day"), F.unix_date(F.make_date(F.year(F.current_date()), F.lit(12), F.lit(31))).alias("last")).first()
+    assert (today["clock"], today["day"]) == (today["d"] * 86400 + 19260, today["last"] * 86400)
+
+
+def test_locales(spark):
+    from sheetframe.functions.dates import locale_codes
+
+    assert [locale_codes(spark, name)["mm-dd-yy"] for name in ("ru_RU", "de_DE", "en_US", "fr_FR", "pl_PL", "ja_JP")] == ["dd.MM.yyyy", "dd.MM.yy", "M/d/yy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy/MM/dd"]
+    assert locale_codes(spark, "de_DE")["d-mmm-yy"] == "d.MMM.yy" and locale_codes(spark, "de_DE")["h:mm"] == "H:mm"
+    with pytest.raises(ValueError, match="no formats"):
+        locale_codes(spark, "zz_ZZ")
+    codes = spark.range(1).select(*(F.date_format(F.timestamp_seconds(F.lit(504854463)), p).alias(f"{name}{k}") for name in ("sv_SE", "en_US", "ar_EG", "zh_TW", "fr_CA", "hi_IN") for k, p in enumerate(locale_codes(spark, name).values())))
+    assert all(codes.first())
+
+
+def test_turned_rows(book):
+    grid = book.sheet("Offset").from_cell("B4")
+    turned = {r["col"]: [tuple(x) for x in r["values"]] for r in grid.rows(mode=g.KEYS_SWAP | g.KEYS_ROW_ZERO_BASED | g.KEYS_COL_ONE_BASED).collect()}
+    assert turned == {"1": [(0, "Name"), (1, "Marta"), (3, "Jonas")], "2": [(0, "Date"), (1, "18316800"), (3, "-132883200")], "3": [(0, "Color"), (1, "Red"), (3, "Purple")]}
+    headed = {r["col"]: len(r["values"]) for r in grid.rows(mode=g.KEYS_SWAP | g.KEYS_FIRST_ROW).collect()}
+    assert headed == {"Name": 2, "Date": 2, "Color": 2}
+    assert grid.long_rows().count() == 9
+
+
+def test_a_book_of_files(spark):
+    """Headers in another order, in another row, with other names; sheets under other ids; styles of their own."""
+    one = write_xlsx(BookSpec([SheetSpec("Data", {1: ["id", "name"], 2: [1, "a"], 3: [2, "b"]})], styles=style_sheet(["0.00"])))
+    two = write_xlsx(BookSpec([SheetSpec("Other", {1: ["x"]}), SheetSpec("data", {4: ["name", "id", "more"], 5: ["c", 3, "m"], 6: ["d", Cell(4, style=1), None]}, merges=["A5:B5"])], styles=style_sheet(["yyyy"])))
+    three = b"id,name\n5,e\n"
+    from sheetframe.plans.book import Book
+    from sheetframe.sources.workbook import bytes_frame
+
+    b = Book(spark, bytes_frame(spark, {"one": one, "two": two, "three": three}))
+    assert sorted(b.sheet_names()) == ["CSV", "Data", "Other"]
+    rows = b.sheet("DATA").with_header().rows(types="infer", book_name="book", mode=g.KEYS_ROW_ONE_BASED)
+    assert rows.columns == ["book", "row", "id", "name", "more"] and dict(rows.dtypes)["id"] == "bigint" and dict(rows.dtypes)["name"] == "string"
+    rows = b.sheet("DATA").with_header().rows(types={"id": "long"}, book_name="book", mode=g.KEYS_ROW_ONE_BASED)
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([("one", 1, 1, "a", None), ("one", 2, 2, "b", None), ("two", 1, 3, "c", "m"), ("two", 2, -2208729600, "d", None)], key=str)
+    firsts = b.first_sheet().grid().first_row_number(book_name="book").collect()
+    assert sorted(map(tuple, firsts)) == [("one", 1, "A"), ("three", 1, "A"), ("two", 1, "A")]
+    assert {r["book"]: r["dimension"] for r in b.sheet("data").actual_dimension(("book",)).collect()} == {"one": "A1:B3", "two": "A4:C6"}
+    assert [r["book"] for r in b.sheet("Data").merged_cells().collect()] == ["two"]
+    found = b.sheet("Data").merged_lookup(b.sheet("Data").grid().cells(book_name="book").select("book", "row", "col")).where("merged").collect()
+    assert sorted(map(tuple, found)) == [("two", 5, 1, True, "A5:B5"), ("two", 5, 2, True, "A5:B5")]
+    patterns = {(r["book"], r["s"]): r["format"]["format-pattern"] for r in b.styles().collect()}
+    assert patterns == {("one", 0): "General", ("one", 1): "0.00", ("two", 0): "General", ("two", 1): "yyyy"}
+    assert dict(b.sheet("Data").grid().columns(True, book_name="book").groupBy("book").count().collect()) == {"one": 2, "two": 3}
+    pulled_rows = list(b.sheet("Data").with_header().next_row())
+    assert [(k, list(r)) for k, r in pulled_rows] == [(2, ["id", "name"]), (3, ["id", "name"]), (5, ["name", "id", "more"]), (6, ["name", "id"])]
+
+
+def test_sheet_state_and_image_paths(spark, tmp_path):
+    b = open_bytes(spark, write_xlsx([SheetSpec("S", {1: ["x"]}, images=[(2, 3, "image1.png", b"\x89PNG")])]))
+    s = b.first_sheet()
+    assert s.visible and s.set_state("hidden").hidden and s.state == "hidden"
+    assert s.image_path(2, 3) == "bytes#xl/media/image1.png" and s.image_path(1, 1) is None
+    assert s.save_image_to(2, 3, str(tmp_path)) == str(tmp_path / "image1.png") and s.save_image_to(9, 9, str(tmp_path)) is None
+    assert b.read_columns_with_styles().count() == 1
+
+
+def test_numbered_rows(spark):
+    from sheetframe.operators.grid import numbered
+
+    for n, parts in ((0, 4), (3, 4), (5000, 7)):
+        df = spark.range(n).select((F.col("id") * 37 % max(n, 1)).alias("a"), F.lit("x").alias("b")).repartition(5)
+        for order in (["a"], ["b", "a"]):
+            got = sorted((r["a"], r["row"]) for r in numbered(df, order, parts=parts).collect())
+            assert got == [(k, k + 1) for k in range(n)]
+
+
+def test_overlapping_merges(spark):
+    from sheetframe.operators.merged import merged_lookup
+
+    cells = spark.createDataFrame([(r, c) for r in (1, 2, 300, 700) for c in (1, 2)] + [(1, 1)], "row int, col int")
+    ranges = spark.createDataFrame([(1, 1, 600, 1, "A1:A600", 1), (1, 1, 2, 2, "A1:B2", 0)], "row1 int, col1 int, row2 int, col2 int, ref string, position int")
+    got = sorted((r["row"], r["col"], r["range"] or "") for r in merged_lookup(cells, ranges).collect())
+    assert got == [(1, 1, "A1:B2"), (1, 1, "A1:B2"), (1, 2, "A1:B2"), (2, 1, "A1:B2"), (2, 2, "A1:B2"), (300, 1, "A1:A600"), (300, 2, ""), (700, 1, ""), (700, 2, "")]
+
+
 def test_xls_styles_and_dates(spark):
     content = write_xls([XlsSheetSpec("S", {1: [XlsCell(45, style=1), XlsCell(1234.5, style=2), XlsCell(43, style=3)]})], {52: "dd.mm.yyyy", 57: '#,##0.00" pcs"', 58: "000"}, [0, 52, 57, 58])
     b = open_bytes(spark, content)
