@@ -562,3 +562,5 @@ def formula_columns(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shifted, pa.string()), pa.array(tokens, pa.string())], names=["o_orderkey", "shifted", "tokens"])
 
     return df.mapInArrow(both, "o_orderkey long, shifted string, tokens string")
+
+from . import file_queries  # noqa: E402, F401  (registers its queries)
