@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any, BinaryIO
 
-from ..functions.addressing import col_letter
+from ..functions.addressing import Area, col_letter
 from .sniff import SAMPLE_BYTES, bom_size, codec_of, detect_bom, detect_delimiter, detect_encoding, looks_binary
 
 ERR_UNEXPECTED_QUOTES, ERR_UNEXPECTED_CHAR, ERR_UNEXPECTED_EOF, ERR_OTHER = 1001, 1003, 1002, 1004
@@ -298,7 +298,7 @@ class RecordParser:
                 return out, False
 
 
-def decoded(stream: BinaryIO, options: DelimitedOptions, block: int = 1 << 20) -> Iterator[str]:
+def decoded(stream: BinaryIO, options: DelimitedOptions, block: int = 1 << 17) -> Iterator[str]:
     """The text of a stream without its byte order mark."""
     import codecs
 
@@ -397,7 +397,7 @@ class DelimitedSheet:
     def __init__(self, reader: DelimitedReader):
         self.reader = reader
 
-    def rows(self, area, row_limit: int = 0, row_mode: bool = False) -> Iterator[tuple[int, dict[str, str], list[dict[str, Any]]]]:
+    def rows(self, area: Area = Area(), row_limit: int = 0, row_mode: bool = False) -> Iterator[tuple[int, dict[str, str], list[dict[str, Any]]]]:
         given = 0
         for number, fields in self.reader.records():
             if number > area.row_max:

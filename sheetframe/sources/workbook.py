@@ -425,7 +425,7 @@ def engine_rows(files: DataFrame, csv: dict[str, Any] | None = None, keys: Any =
 
 def bytes_frame(spark: SparkSession, named: dict[str, bytes]) -> DataFrame:
     """(path, content) of contents at hand, such as a stream that has been read."""
-    return spark.createDataFrame([(k, bytearray(v)) for k, v in named.items()], "path string, content binary")
+    return spark.createDataFrame([(k, bytearray(v)) for k, v in named.items()], "path string, content binary").coalesce(max(1, len(named)))
 
 
 def read_stream(stream: io.RawIOBase) -> bytes:
