@@ -1,11 +1,11 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, plus-digit pairs, digit pairs, dotted digits, URL schemes and
-credential cues. A deterministic parser expands each anchor to its span and validates it, so a text without anchors costs
+One Aho-Corasick pass over a text finds anchors: at-signs, plus-digit pairs, digit pairs, dotted digits, URL schemes, account
+countries and credential cues. A deterministic parser expands each anchor to its span and validates it, so a text without anchors costs
 one automaton walk and nothing else. Rows are independent: no shuffle, whole texts, bounded memory per batch.
 
 Base kinds, leftmost and non-overlapping within a kind: email, ip, card, phone. Added kinds: url (scheme anchors), account
-(IBAN cue with a valid check number), secret (key, password and token cues). A null text counts as empty and has no spans.
+(IBANs with a valid check number, after a cue or by their country), secret (key, password and token cues). A null text counts as empty and has no spans.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ _BLANKS = frozenset(" \t")
 _ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _HEXISH = frozenset(string.ascii_letters + string.digits + "+/_-.~")
 #: Cue, in any case, and the least length of the value after it; between them blanks, a colon or equals sign, and quotes.
-SECRET_CUES = {"password": 6, "passwd": 6, "token": 16, "api_key": 12, "secret": 12}
+SECRET_CUES = {"password": 6, "passwd": 6, "token": 16, "api_key": 12, "api-key": 12, "apikey": 12, "access_key": 12, "secret": 12, "bearer": 16}
+#: Cues that need neither colon nor equals sign.
+OPEN_CUES = {"bearer"}
 ACCOUNT_CUE = "iban"
 KEY_CUES = {"AKIA": 20, "ASIA": 20}
 
@@ -65,6 +67,9 @@ def _anchors() -> ahocorasick.Automaton:
     for cue in KEY_CUES:
         found.add_word(cue.lower(), ("key", len(cue)))
     found.add_word(ACCOUNT_CUE, ("account", len(ACCOUNT_CUE)))
+    for country in IBAN_LENGTHS:
+        for a in "0123456789":
+            found.add_word(country.lower() + a, ("iban", 3))
     found.make_automaton()
     return found
 
@@ -228,6 +233,10 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             if last + 1 >= free["account"] and (span := _iban(text, _after_cue(text, last + 1)[0])):
                 free["account"] = span[1]
                 out.append((span[0], 5, span[1]))
+        elif what == "iban":
+            if at >= free["account"] and (at == 0 or text[at - 1] not in _ALNUM) and (span := _iban(text, at)):
+                free["account"] = span[1]
+                out.append((span[0], 5, span[1]))
         else:
             if at < free["secret"]:
                 continue
@@ -238,7 +247,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             else:
                 start, marked = _after_cue(text, last + 1)
                 end = _run(text, start, _HEXISH)
-                span = (start, end) if marked and end - start >= SECRET_CUES[_lower(text[at : last + 1])] else None
+                span = (start, end) if (marked or _lower(text[at : last + 1]) in OPEN_CUES) and end - start >= SECRET_CUES[_lower(text[at : last + 1])] else None
             if span:
                 free["secret"] = span[1]
                 out.append((span[0], 6, span[1]))

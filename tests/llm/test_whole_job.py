@@ -82,4 +82,7 @@ def test_accounts_and_secrets_in_every_form():
     key = "abcd1234efgh5678"
     for text in (f'token="{key}"', f"token: {key}", f'token = "{key}"', f"TOKEN={key}", f'{{"token": "{key}"}}', f"Password={key}", f"İ Secret : {key}"):
         assert spans(text) == [("secret", key)], text
-    assert spans("the token of a password, secret to all") == []
+    for text in (f"Authorization: Bearer {key}", f"api-key: {key}", f"apiKey={key}", f"ACCESS_KEY = '{key}'"):
+        assert spans(text) == [("secret", key)], text
+    assert spans(f"pay to {iban}, or {grouped}; not x{iban} or {iban.lower()}") == [("account", iban), ("account", grouped)]
+    assert spans("the token of a password, secret to all, bearer of news") == []
