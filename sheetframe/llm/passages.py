@@ -17,6 +17,7 @@ work grows with the recurring text. Shuffle files of a finished step are let go
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -81,11 +82,11 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return map_arrow(docs, scan, "a long, doc long, at long")
 
 
-def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs (doc, text; no null ids) to (a, doc, at) of anchors that occur more than once, and of those at the edge of a
-    partition, which might; at is first window << _MORE | further windows."""
-    n = shuffle_partitions(docs.sparkSession)
-    placed = _anchor_rows(docs, window, gram).repartitionByRange(n, "a", "doc", "at").sortWithinPartitions("a", "doc", "at")
+def recurring_anchors(rows: DataFrame) -> DataFrame:
+    """Anchors (a, doc, at; a written table, since splitters are sampled from it) to those that occur more than once, and those
+    at the edge of a partition, which might; at is first window << _MORE | further windows."""
+    n = shuffle_partitions(rows.sparkSession)
+    placed = rows.repartitionByRange(n, "a", "doc", "at").sortWithinPartitions("a", "doc", "at")
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head = None, None  # the last row so far, and whether it equals the one before
@@ -192,34 +193,44 @@ def _emit(rows: Iterable[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]
         yield give()
 
 
+def _splitters(found: DataFrame, n: int) -> list[tuple[int, int, int]]:
+    """Keys (a, document, first window) that part the anchors into n ranges of about equal size, from a sample of some dozens
+    for each range."""
+    total = found.count()
+    sample = sorted((r["a"], r["doc"], r["at"] >> _MORE) for r in found.sample(fraction=min(1.0, 50.0 * n / max(total, 1)), seed=5).collect())
+    return sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
+
+
 def locate(docs: DataFrame, found: DataFrame, window: int = WINDOW, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """docs (doc, text) and their recurring anchors to _FOUND rows, as Shard.run() gives them."""
+    """docs (doc, text) and their recurring anchors, a written table, to _FOUND rows, as Shard.run() gives them. Segments are
+    placed by splitters taken from the anchors, so that the texts are cut once."""
     n = shuffle_partitions(docs.sparkSession)
+    edges = _splitters(found, n)
     lists = found.groupBy(F.col("doc").alias("of")).agg(F.collect_set(F.struct("a", "at")).alias("anchors"))
     joined = docs.join(lists, docs["doc"] == lists["of"]).select("doc", "text", F.col("anchors.a").alias("a"), F.col("anchors.at").alias("at"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], [], [], []]
 
         def give() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "doc", "first", "words"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "a", "doc", "first", "words"])
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = row[1].encode("utf-8", "surrogatepass").split()
                 for a, at in zip(row[2], row[3], strict=True):
                     first, more = at >> _MORE, at & ((1 << _MORE) - 1)
-                    for to, value in zip(cols, (a, row[0], first, b" ".join(words[first : first + more + window]).decode("utf-8", "surrogatepass")), strict=True):
+                    for to, value in zip(cols, (bisect_right(edges, (a, row[0], first)), a, row[0], first, b" ".join(words[first : first + more + window]).decode("utf-8", "surrogatepass")), strict=True):
                         to.append(value)
                 if len(cols[0]) >= 20_000:
                     yield give()
-                    cols = [[], [], [], []]
+                    cols = [[], [], [], [], []]
         if cols[0]:
             yield give()
 
-    segments = joined.mapInArrow(cut, "a long, doc long, first long, words string")
-    placed = segments.repartitionByRange(n, "a", "doc", "first").sortWithinPartitions("a", "doc", "first")
+    segments = joined.mapInArrow(cut, "part int, a long, doc long, first long, words string")
+    placed = segments.repartitionById(n, F.col("part")).sortWithinPartitions("a", "doc", "first").select("a", "doc", "first", "words")
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         rows: list[tuple] = []  # whole groups, then the current one, which began at `begun`
@@ -255,7 +266,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     if not 0 < gram <= window <= 1 << _MORE:
         raise ValueError(f"a window of 1 to {1 << _MORE} words and an anchor of no more are asked for")
     own = docs.select(docs[id_col].cast("long").alias("doc"), text_of(docs, text_col).alias("text")).where("doc is not null")
-    found = saved(recurring_anchors(own, window, gram))
+    rows = saved(_anchor_rows(own, window, gram))
+    found = saved(recurring_anchors(rows))
+    release(rows)
     collect_garbage(docs.sparkSession)
     located = saved(locate(own, found, window))
     release(found)
