@@ -21,6 +21,7 @@ from ..functions.typing_rules import DateMode, typed_cell
 from ..operators import extents, merged, styles
 from ..operators.grid import Cursor, Grid
 from ..sources.ooxml import SheetError
+from ..sources.split_text import records_scan, split_records
 from ..sources.workbook import ScanOptions, bytes_frame, files_of, is_xls, is_xlsx, scan_part, scan_rows
 
 
@@ -454,9 +455,14 @@ def open_csv(spark: SparkSession, path: str, **csv: Any) -> Book:
     return open_book(spark, path, kind="csv", csv=csv)
 
 
+def split_csv(spark: SparkSession, path: str, **csv: Any) -> Grid:
+    """Delimited files of any size as a grid: files are cut into splits, where open_csv reads each file in one task."""
+    return Grid(records_scan(split_records(spark, path, csv)))
+
+
 def file_kinds(files: DataFrame) -> DataFrame:
     """files (path, content) with is_xls and is_xlsx, by signature."""
     return files.withColumn("is_xls", F.coalesce(F.substring("content", 1, 8) == F.unhex(F.lit("D0CF11E0A1B11AE1")), F.lit(False))).withColumn("is_xlsx", F.coalesce(F.substring("content", 1, 4) == F.unhex(F.lit("504B0304")), F.lit(False)))
 
 
-__all__ = ["Book", "Sheet", "file_kinds", "is_xls", "is_xlsx", "open_book", "open_bytes", "open_csv", "open_stream", "open_xls"]
+__all__ = ["Book", "Sheet", "file_kinds", "is_xls", "is_xlsx", "open_book", "open_bytes", "open_csv", "open_stream", "open_xls", "split_csv"]

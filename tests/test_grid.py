@@ -348,6 +348,42 @@ def test_a_book_of_files(spark):
     assert [(k, list(r)) for k, r in pulled_rows] == [(2, ["id", "name"]), (3, ["id", "name"]), (5, ["name", "id", "more"]), (6, ["name", "id"])]
 
 
+def test_split_text_equals_the_reader(spark, tmp_path):
+    """Files cut into splits of a few bytes: quoted line ends over many splits, carriage returns, comments, empty lines."""
+    import random
+
+    from sheetframe.plans.book import split_csv
+    from sheetframe.sources.delimited import DelimitedReader
+    from sheetframe.sources.split_text import split_records
+
+    rng = random.Random(6)
+    want = {}
+    options = {"delimiter": ",", "encoding": "UTF-8", "comment_prefix": "#", "mode": "tolerant"}
+    for n in range(6):
+        fields = ["", "a", "é", "x y", '"q, ""r"" "', '"two\nlines"', '"' + "many\r\nlines,\n" * 30 + '"', 'st"ray', "\r"]
+        ends = ["\n", "\r\n", "\n\n", "\n#no,\n"]
+        text = ("\ufeff" if n % 2 else "") + "".join(",".join(rng.choice(fields[: 8 + n // 5]) for _ in range(rng.randrange(1, 5))) + rng.choice(ends) for _ in range(40))
+        (tmp_path / f"{n}.csv").write_bytes(text.encode())
+        want[f"{n}.csv"] = list(DelimitedReader(text.encode(), options).records())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in (97, 1000, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        try:
+            got = {}
+            for r in split_records(spark, str(tmp_path), options).collect():
+                got.setdefault(r["book"].rsplit("/", 1)[1], []).append((r["row"], r["fields"]))
+            assert {k: sorted(v) for k, v in got.items()} == {k: [(a, list(b)) for a, b in v] for k, v in want.items()}
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "t.csv").write_bytes(b"id;name\n1;a\n2;b\n")
+    rows = split_csv(spark, str(tmp_path / "sub")).with_header().rows(types="infer")
+    assert rows.columns == ["row", "id", "name"] and sorted(map(tuple, rows.collect())) == [(2, "1", "a"), (3, "2", "b")]
+    assert split_csv(spark, str(tmp_path / "sub")).limit(1).cells().count() == 2
+
+
 def test_sheet_state_and_image_paths(spark, tmp_path):
     b = open_bytes(spark, write_xlsx([SheetSpec("S", {1: ["x"]}, images=[(2, 3, "image1.png", b"\x89PNG")])]))
     s = b.first_sheet()
