@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.addressing import range_stats_expr
 from .functions.dates import serial_seconds, text_seconds
 from .operators import grid as g
 from .plans.book import open_bytes, open_stream
@@ -54,6 +55,14 @@ def package_entries(spark, sf_dir):
     return _book(as_files(df, "r_regionkey", _xlsx(None), 1)).entries().select("book", "entry")
 
 
+@query("SELECT 'bucket-' || r_regionkey AS book, 'S' || r_regionkey AS sheet FROM region")
+def package_contents(spark, sf_dir):
+    """A file within the package, read as it is."""
+    df = _table(spark, sf_dir, "region").select("r_regionkey")
+    book = _book(as_files(df, "r_regionkey", lambda rows: write_xlsx([SheetSpec(f"S{rows[0][0]}", {1: [1]})]), 1))
+    return book.contents("xl/workbook.xml").select("book", F.regexp_extract(F.col("content").cast("string"), '<sheet name="([^"]*)"', 1).alias("sheet"))
+
+
 @query("SELECT 'bucket-' || r_regionkey AS book, r_regionkey % 2 = 0 AS ok FROM region")
 def package_validate(spark, sf_dir):
     """Every other package has a part that isn't well formed."""
@@ -335,6 +344,14 @@ def dimension_declared(spark, sf_dir):
     return declared.join(book.first_sheet().actual_dimension(("book",)).select("book", "dimension"), "book")
 
 
+@query("SELECT 'bucket-' || n_nationkey AS book, (n_nationkey + 2)::INTEGER AS count_rows, (n_nationkey % 3 + 2)::INTEGER AS count_columns, 2::INTEGER AS min_row, (n_nationkey + 3)::INTEGER AS max_row, 2::INTEGER AS min_column, (n_nationkey % 3 + 3)::INTEGER AS max_column FROM nation")
+def range_counts(spark, sf_dir):
+    """Counts and bounds of declared dimensions."""
+    df = _table(spark, sf_dir, "nation").select("n_nationkey")
+    build = lambda rows: write_xlsx([SheetSpec("S", {1: [1]}, dimension=f"B2:{'CDE'[rows[0][0] % 3]}{rows[0][0] + 3}")])
+    return _book(as_files(df, "n_nationkey", build, 1)).part("sheets").select("book", range_stats_expr(F.col("dimension")).alias("s")).select("book", "s.*")
+
+
 @query("SELECT 'bucket-' || (c_custkey // 500) AS book, count(*)::BIGINT AS rows, 3::BIGINT AS columns, 'A1:C' || count(*) AS dimension FROM customer GROUP BY c_custkey // 500")
 def csv_extents(spark, sf_dir):
     df = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
@@ -355,7 +372,7 @@ def stat_of_a_book(spark, sf_dir):
     return _book(as_files(df, "n_nationkey", build)).stat().select("sheet", "cells_total", "cells_filled")
 
 
-@query("SELECT 'bucket-' || r_regionkey AS book, r_regionkey + 1 AS sheets, r_regionkey::BIGINT AS images FROM region")
+@query("SELECT 'bucket-' || r_regionkey AS book, (r_regionkey + 1)::BIGINT AS sheets, r_regionkey::BIGINT AS images FROM region")
 def sheets_and_images_counted(spark, sf_dir):
     df = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"))
     build = lambda rows: write_xlsx([SheetSpec(f"s{k}", {1: [k]}, images=[(1, 1, f"i{k}.png", b"\x89PNG" + bytes([k]))] * (k > 0)) for k in range(rows[0][0] + 1)])

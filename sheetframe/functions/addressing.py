@@ -121,6 +121,17 @@ def range_stats(text: str) -> dict[str, int]:
     return {"count_rows": box.row2 - box.row1 + 1, "count_columns": box.col2 - box.col1 + 1, "min_row": box.row1, "max_row": box.row2, "min_column": box.col1, "max_column": box.col2}
 
 
+def range_stats_expr(text: Column) -> Column:
+    """range_stats() as a struct, of a column of range texts."""
+    pattern = r"^\s*\$?([A-Za-z]{1,3})\$?([0-9]+)(?::\$?([A-Za-z]{1,3})\$?([0-9]+))?\s*$"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    either = lambda k, other: F.when(part(k) != "", part(k)).otherwise(part(other))
+    row1, row2 = part(2).try_cast("int"), either(4, 2).try_cast("int")
+    col1, col2 = col_number_expr(part(1)).cast("int"), col_number_expr(either(3, 1)).cast("int")
+    found = {"count_rows": row2 - row1 + 1, "count_columns": col2 - col1 + 1, "min_row": row1, "max_row": row2, "min_column": col1, "max_column": col2}
+    return F.struct(*(F.coalesce(v, F.lit(0)).alias(k) for k, v in found.items()))
+
+
 def split_sheet_ref(text: str) -> tuple[str | None, str]:
     """'My sheet'!$A$1:$B$2 to (My sheet, $A$1:$B$2); the sheet is None where none is named."""
     if "!" not in text:

@@ -426,6 +426,11 @@ class Book:
     def entries(self) -> DataFrame:
         return self.part("entries")
 
+    def contents(self, entry: str | None = None) -> DataFrame:
+        """The files within the package, or the one of that name."""
+        found = self.part("contents")
+        return found if entry is None else found.where(F.col("entry") == entry)
+
     def validate(self) -> DataFrame:
         """entry, ok, message for each XML part of the package."""
         return self.part("validate")

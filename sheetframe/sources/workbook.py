@@ -232,6 +232,12 @@ def _entries(book, sheets):
     return book.entries() if hasattr(book, "entries") else ()
 
 
+@_part("contents", "entry string, content binary")
+def _contents(book, sheets):
+    """The files within a package, as they are: what no other relation covers can be read from here."""
+    return ({"entry": n, "content": book.open(n).read()} for n in book.names) if book.kind == "xlsx" else ()
+
+
 @_part("validate", "entry string, ok boolean, message string")
 def _validate(book, sheets):
     return book.validate() if hasattr(book, "validate") else ()

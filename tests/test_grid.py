@@ -393,6 +393,14 @@ def test_sheet_state_and_image_paths(spark, tmp_path):
     assert b.read_columns_with_styles().count() == 1
 
 
+def test_range_stats_of_columns(spark):
+    from sheetframe.functions.addressing import range_stats, range_stats_expr
+
+    texts = ["A1:D4", "$B$2:$XFD$1048576", "C7", "", "x", "A:B", None, "aa1:ab2"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", range_stats_expr(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"].asDict() for r in got} == {t: range_stats(t or "") for t in texts}
+
+
 def test_numbered_rows(spark):
     from sheetframe.operators.grid import numbered
 
