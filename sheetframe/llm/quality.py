@@ -15,6 +15,7 @@ exactly by radix selection: a few counts by 16 bits each; nothing is sorted.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, release, saved, text_of, without
 from .ngrams import SIZE, WORDS, buckets_of, model_counts, presence_counts, word_hashes, words_in
 
-#: Labelled rows at most that the cut is fitted on, those with the least hash of their id.
+#: Labelled rows at most that the cut is fitted on, those with the least hash of id and scores.
 LABELLED_SAMPLE = 50_000
 #: Prior observations of a bucket, at the raw text's rate.
 PRIOR = 10.0
@@ -112,6 +113,20 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[int, int]:
     return (prefix ^ 2**63) - (2**64 if prefix ^ 2**63 >= 2**63 else 0), above
 
 
+def labelled_sample(rows: DataFrame, most: int = LABELLED_SAMPLE) -> pd.DataFrame:
+    """ratio, clean, quality, toxic of the `most` rows with the least hash of id and scores, or of all rows if they are fewer.
+    Rows of one hash are alike, so that it doesn't matter which of them are taken. The hash up to which rows are taken is
+    found by counts; no more than the sample itself reaches the driver, and nothing is sorted."""
+    kept = saved(rows.select("ratio", "clean", "quality", "toxic", F.bitwise_not(F.xxhash64("doc_id", "ratio", "clean")).alias("rank")))
+    taken = kept
+    if kept.count() > most:
+        value, above = kth_largest(kept, "rank", most)
+        taken = kept.where(F.col("rank") > value).union(kept.where(F.col("rank") == value).limit(most - above))
+    out = taken.select("ratio", "clean", "quality", "toxic").toPandas()
+    release(kept)
+    return out
+
+
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     """The weight between good and bad with the least sum of the two error rates; of the widest gap with that sum, its middle.
     With none of either, minus infinity: nothing is rejected."""
@@ -140,7 +155,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     either = F.when(F.col("toxic") == 1, 1).when(good, 0)
     seen = presence_counts(own.join(slim, own["doc_id"] == slim["marked"]).select("text", either.alias("class")).where("class is not null"), 2)
     found = saved(weights(own, log_ratios(counts[0], counts[1]), toxic_ratios(seen)))
-    fit = found.join(slim.where("quality in (0, 1) or toxic = 1"), found["doc_id"] == slim["marked"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_SAMPLE).select("ratio", "clean", "quality", "toxic").toPandas()
+    fit = labelled_sample(found.join(slim.where("quality in (0, 1) or toxic = 1"), found["doc_id"] == slim["marked"]))
     is_good, is_toxic = (fit["quality"] == 1) & (fit["toxic"] == 0), fit["toxic"] == 1
     cut = best_cut(fit["ratio"][is_good].to_numpy(), fit["ratio"][fit["quality"] == 0].to_numpy())
     clean_cut = best_cut(fit["clean"][is_good].to_numpy(), fit["clean"][is_toxic].to_numpy())

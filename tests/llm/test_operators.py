@@ -610,6 +610,19 @@ def test_quality_on_held_out_rows(spark):
     assert sum(got[d] == bool(q) for d, q, _ in held) >= 0.97 * len(held)
 
 
+def test_labelled_sample_is_bounded_and_the_same_whatever_the_partitions(spark):
+    """More rows than the bound, among them one row very often; fewer rows than the bound; none."""
+    rows = [(k, k / 8, 0.0, k % 2, 0) for k in range(300)] + [(7, 9.5, 1.0, 1, 1)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, ratio double, clean double, quality int, toxic int")
+    as_set = lambda found: sorted(found.itertuples(index=False, name=None))
+    for most in (1, 120, 499):
+        found = as_set(quality.labelled_sample(df.repartition(3), most))
+        assert len(found) == most
+        assert found == as_set(quality.labelled_sample(df.repartition(11), most))
+    assert as_set(quality.labelled_sample(df, 500)) == sorted(r[1:] for r in rows)
+    assert not len(quality.labelled_sample(df.limit(0), 5))
+
+
 def test_gumbel_top_k_equals_a_sort(spark):
     rows, labels = quality_rows()
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
