@@ -11,7 +11,8 @@ forming pairs; a task gives back a star per group it has found. Equal fingerprin
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -134,9 +135,9 @@ def bucket_links(prints: np.ndarray, key: int, bits: int, radius: int, most: int
     return np.stack([prints[own], prints[root[own]]])
 
 
-def bucket_candidates(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As bucket_links, but with what a check of the texts needs: (print, other, kind). Kind 0 is the nearest print that it
-    meets; kind 1 is its group's middle, the print nearest to the majority of the group's bits."""
+def bucket_candidates(prints: np.ndarray, key: int, bits: int, radius: int, most: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As bucket_links, but with what a check of the texts needs, for each print that meets another: (print, least print of its
+    group, nearest print that it meets, its group's middle: the print nearest to the majority of the group's bits)."""
     prints = np.sort(prints)
     a, b = _bucket_pairs(prints, key, bits, radius, most)
     group = _stars(len(prints), a, b)
@@ -152,9 +153,7 @@ def bucket_candidates(prints: np.ndarray, key: int, bits: int, radius: int, most
     middle = np.zeros(len(prints), np.int64)
     start = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]) if len(order) else np.zeros(0, np.int64)
     middle[group[order[start]]] = order[start]
-    hub = middle[group[own]]
-    far = hub != own
-    return np.concatenate([prints[own], prints[own[far]]]), np.concatenate([prints[near], prints[hub[far]]]), np.repeat([0, 1], [len(own), far.sum()])
+    return prints[own], prints[group[own]], prints[near], prints[middle[group[own]]]
 
 
 def leading_bits(n: int) -> int:
@@ -204,17 +203,26 @@ def _sent(prints: DataFrame, radius: int, most: int = MOST_PRINTS) -> DataFrame:
 
 
 def ball_candidates(prints: DataFrame, radius: int = 4, most: int = MOST_PRINTS) -> DataFrame:
-    """table, a, b: for each print that has others within radius, those of bucket_candidates; of several buckets' the nearest
-    of either kind, so two for a print and table. prints as for ball_links."""
+    """table, bits, key, root, a, near, hub: for each print that has others within radius, and each leading pattern (key, of so
+    many bits) under which it meets one, its group's least print, and the nearest and the middle of bucket_candidates. Any two
+    prints within radius are in one group under some pattern. prints as for ball_links."""
     sent = _sent(prints, radius, most)
 
     def meet(group: pa.Table) -> pa.Table:
-        a, b, kind = bucket_candidates(group.column("fp").to_numpy().view(np.uint64), group.column("key")[0].as_py(), group.column("bits")[0].as_py(), radius)
-        table = np.full(len(a), group.column("table")[0].as_py(), np.int32)
-        return pa.table({"table": table, "a": a.view(np.int64), "b": b.view(np.int64), "kind": kind.astype(np.int32), "bits": np.bitwise_count(a ^ b).astype(np.int32)})
+        table, bits, key = (group.column(c)[0].as_py() for c in ("table", "bits", "key"))
+        found = bucket_candidates(group.column("fp").to_numpy().view(np.uint64), key, bits, radius)
+        n = len(found[0])
+        of = {"table": np.full(n, table, np.int32), "bits": np.full(n, bits, np.int32), "key": np.full(n, key, np.int64)}
+        return pa.table(of | {name: x.view(np.int64) for name, x in zip(("root", "a", "near", "hub"), (found[1], found[0], *found[2:]), strict=True)})
 
-    found = sent.groupBy("table", "bits", "key").applyInArrow(meet, "table int, a long, b long, kind int, bits int")
-    return found.groupBy("table", "a", "kind").agg(F.min(F.struct("bits", "b")).alias("best")).select("table", "a", F.col("best.b").alias("b")).distinct()
+    return sent.groupBy("table", "bits", "key").applyInArrow(meet, "table int, bits int, key long, root long, a long, near long, hub long")
+
+
+def _proposals(found: DataFrame) -> DataFrame:
+    """table, a, b: of several patterns' the nearest of either kind of ball_candidates, so two for a print and table."""
+    best = lambda b: F.min(F.when(F.col("a") != F.col(b), F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col(b))).alias("bits"), F.col(b).alias("b"))))
+    ends = found.groupBy("table", "a").agg(best("near").alias("near"), best("hub").alias("hub"))
+    return ends.select("table", "a", F.explode(F.array("near.b", "hub.b")).alias("b")).where("b is not null").distinct()
 
 
 def ball_links(prints: DataFrame, radius: int = 4, most: int = MOST_PRINTS) -> DataFrame:
@@ -278,6 +286,96 @@ def _shingles(text: str, words: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(tokens[k:] for k in range(words)), strict=False))
 
 
+#: Bits of a text's sketch: each bit says whether an odd number of the text's distinct shingles hash to it.
+SKETCH = 1024
+#: Texts of a group that are compared with each other in one task; those of a larger group are compared block by block.
+MOST_COMPARED = 8192
+
+
+def sketch(text: str, words: int = 5) -> tuple[int, bytes]:
+    """How many distinct shingles a text has, and the parities of their hashes. Two texts' sketches differ in no more bits than
+    there are shingles that only one of them has."""
+    shingles = _shingles(text, words)
+    places = np.array([xxhash.xxh64_intdigest(b" ".join(s)) % SKETCH for s in shingles], np.int64)
+    return len(shingles), np.packbits(np.bincount(places, minlength=SKETCH) & 1, bitorder="little").tobytes()
+
+
+def crossing_pairs(group: dict[str, np.ndarray], key: int, bits: int, radius: int, least: float, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (by place) of a group's texts with other labels and prints (fp) within radius, whose similarity can be least or more
+    by their sizes and sketches, which are bounds; if there are blocks, those within the one block or across the two. bits 0:
+    all prints are equal. Else equal prints are left to such a group, and of the patterns that two prints have in common only
+    that of one value between them gives their pair. About `most` pairs are looked at a time."""
+    order = np.argsort(group["fp"], kind="stable")
+    fp, label, block, size = (group[c][order] for c in ("fp", "label", "block", "size"))
+    sketches, across = group["sketch"][order], len(np.unique(block)) > 1
+    step = max(1, most // max(len(fp), 1))
+    for k in range(0, len(fp), step):
+        x = slice(k, k + step)
+        other = label[x, None] != label[None, k:]
+        if across:
+            other &= block[x, None] != block[None, k:]
+        if bits:
+            other &= np.bitwise_count(fp[x, None] ^ fp[None, k:]) <= radius
+        a, b = np.nonzero(np.triu(other, 1))  # row k and column k are the same text
+        a, b = a + k, b + k
+        if bits:
+            differing = fp[a] ^ fp[b]
+            value, rest = fp[a].copy(), differing.copy()
+            for _ in range(radius // 2):
+                lowest = rest & (~rest + np.uint64(1))
+                value ^= lowest
+                rest ^= lowest
+            good = (differing != 0) & (value >> np.uint64(64 - bits) == np.uint64(key % 2**64))
+            a, b = a[good], b[good]
+        good = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-6
+        a, b = a[good], b[good]
+        for j in range(0, len(a), 20_000):  # the similarity is (s - d) / (s + d): s shingles in both texts, d in one only
+            one, two = a[j : j + 20_000], b[j : j + 20_000]
+            apart = np.bitwise_count(sketches[one] ^ sketches[two]).sum(1, dtype=np.int64)
+            good = apart * (1 + least) <= (size[one] + size[two]) * (1 - least) + 1e-6
+            yield order[one[good]], order[two[good]]
+
+
+def _crossings(met: DataFrame, held: DataFrame, labels: DataFrame, texts: DataFrame, radius: int, least: float, most: int = MOST_COMPARED) -> DataFrame | None:
+    """Pairs a < b of nodes with prints within radius in a table that labels (node, label; a node without one is its own) keep
+    apart and that can be alike; none if there is no group with several labels. met: groups (table, bits, key, root) and their
+    prints a; held: table, fp, node; all written tables."""
+    group = ["table", "bits", "key", "root"]
+    parts = labels.select(F.col("node").alias("_node"), "label")
+    tagged = saved(held.join(parts, held["node"] == F.col("_node"), "left").select("table", "fp", "node", F.coalesce("label", "node").alias("label")))
+    spans = tagged.groupBy(F.col("table").alias("_table"), F.col("fp").alias("_fp")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    each = met.join(spans, (F.col("table") == F.col("_table")) & (F.col("a") == F.col("_fp")))
+    mixed = saved(each.groupBy(*group).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low <> high").select(*group, F.ceil(F.col("n") / most).cast("int").alias("blocks")))
+    if mixed.isEmpty():
+        release(tagged, mixed)
+        return None
+    prints = saved(met.select(*group, F.col("a").alias("fp")).join(mixed, group))
+    nodes = saved(prints.join(tagged, ["table", "fp"]))
+    wanted = nodes.select("node").distinct()
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sketch(t) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "size", "sketch"])
+
+    sketches = saved(map_arrow(texts.join(wanted, "node", "left_semi").select("node", "text"), scan, "node long, size long, sketch binary"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = nodes.join(sketches, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(*group, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "fp", "node", "label", "block", "size", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        own = {c: rows.column(c).to_numpy() for c in ("node", "label", "block", "size")}
+        own["fp"] = rows.column("fp").to_numpy().view(np.uint64)
+        own["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
+        for a, b in crossing_pairs(own, rows.column("key")[0].as_py(), rows.column("bits")[0].as_py(), radius, least):
+            one, two = own["node"][a], own["node"][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    out = saved(rows.groupBy(*group, "one", "two").applyInArrow(compare, "a long, b long").distinct())
+    release(tagged, mixed, prints, nodes, sketches)
+    return out
+
+
 def _alike(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Of links (a, b) between texts (node, text), both written tables, those with a five-word similarity of least or more.
     Both joins read written tables, so that adaptive execution can split the partition of a node with very many links."""
@@ -295,9 +393,10 @@ def _alike(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def alike_documents(docs: DataFrame, words: int = 2, radius: int = 4, tables: int = 12, least: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, component_id (the least doc_id of all documents reachable by links). Fingerprints
-    within radius bits in any table propose links; a link counts if the texts' five-word similarity is least or more. For each
-    fingerprint and table the nearest one met and its group's middle are compared, by a text of each, and the texts of equal
-    fingerprints with one of them. Nulls are as in near_duplicates."""
+    within radius bits in any table propose links; a link counts if the texts' five-word similarity is least or more. First, for
+    each fingerprint and table, the nearest one met and its group's middle are compared, by a text of each, and the texts of
+    equal fingerprints with one of them; then all further pairs of texts within radius that these links leave in different
+    components, so that no link is lost. Nulls are as in near_duplicates."""
     text = text_of(docs, text_col)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
@@ -307,29 +406,40 @@ def alike_documents(docs: DataFrame, words: int = 2, radius: int = 4, tables: in
 
     each = saved(map_arrow(own, scan, "doc_id long, node long, fps array<long>"))
     nodes = saved(each.groupBy("node").agg(F.min("doc_id").alias("least")))
-    parts = []
+    parts, met, held = [], [], []  # met: groups and their prints; held: the texts that have these
     for first in range(0, tables, 4):  # a few tables at a time, so that their shuffles needn't be on disk together
         some = F.slice("fps", first + 1, 4)
         members = saved(each.select("node", F.posexplode(some).alias("table", "fp")).distinct())
-        stands = saved(members.groupBy("table", "fp").agg(F.min("node").alias("stand")))
+        stands = saved(members.groupBy("table", "fp").agg(F.min("node").alias("stand"), F.count("*").alias("n")))
         found = saved(ball_candidates(stands.select("table", "fp"), radius))
-        same = members.join(stands, ["table", "fp"]).select(F.col("node").alias("a"), F.col("stand").alias("b"))
+        same = members.join(stands.drop("n"), ["table", "fp"]).select(F.col("node").alias("a"), F.col("stand").alias("b"))
         of = lambda end: stands.select(F.col("table").alias("_table"), F.col("fp").alias("_fp"), F.col("stand").alias(f"{end}_node"))
-        ends = found
+        ends = _proposals(found)
         for end in ("a", "b"):
             ends = ends.join(of(end), (F.col("table") == F.col("_table")) & (F.col(end) == F.col("_fp"))).drop("_table", "_fp")
         pairs = same.union(ends.select("a_node", "b_node")).where("a <> b")
         parts.append(saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        equal = stands.where("n > 1").select("table", F.lit(0).alias("bits"), *(F.col("fp").alias(c) for c in ("key", "root", "a")))
+        groups = found.select(*equal.columns).union(equal)
+        own_table = (F.col("table") + first).alias("table")
+        near = members.join(groups.select("table", F.col("a").alias("fp")).distinct(), ["table", "fp"], "left_semi")
+        held.append(saved(near.select(own_table, "fp", "node")))
+        met.append(saved(groups.select(own_table, "bits", "key", "root", "a")))
         release(members, stands, found)
         collect_garbage(docs.sparkSession)
-    links = parts[0]
-    for part in parts[1:]:
-        links = links.union(part)
-    links = saved(links.distinct())
+    links = saved(reduce(DataFrame.union, parts).distinct())
     ends = saved(links.select(F.explode(F.array("a", "b")).alias("end")).distinct())
     texts = saved(own.join(ends, own["node"] == ends["end"], "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     edges = _alike(links, texts, least)
-    release(*parts, links, ends, texts)
+    release(*parts, ends)
+    labels = connected_components(edges)
+    crossings = _crossings(reduce(DataFrame.union, met), reduce(DataFrame.union, held), labels, texts, radius, least)
+    if crossings is not None:  # whatever has groups or equal prints has been an end of a link, so its text is in texts
+        further = saved(crossings.join(links, ["a", "b"], "left_anti"))
+        more = _alike(further, texts, least)
+        first, edges = edges, saved(edges.union(more))
+        release(crossings, further, more, first)
+    release(*met, *held, labels, links, texts)
     collect_garbage(docs.sparkSession)
     out = _named(each, nodes, edges)
     release(nodes, edges)

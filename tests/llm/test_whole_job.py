@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sheetframe.llm import mixing, pii, quality, simhash
 
@@ -86,3 +87,54 @@ def test_accounts_and_secrets_in_every_form():
         assert spans(text) == [("secret", key)], text
     assert spans(f"pay to {iban}, or {grouped}; not x{iban} or {iban.lower()}") == [("account", iban), ("account", grouped)]
     assert spans("the token of a password, secret to all, bearer of news") == []
+
+
+def families(rng, equal, n=8):
+    """Rows (id, text) in pairs that are alike, 2k and 2k + 1, of texts that all have the same two-word shingles or, if not
+    equal, nearly the same, since each has two words of its own: short pieces between one and the same word, in any order."""
+    pieces = [f"a{k} b{k} c{k}" for k in range(120)]
+    rows = []
+    for _ in range(n):
+        rng.shuffle(pieces)
+        for _ in range(2):
+            at = rng.randrange(len(pieces) - 1)
+            own = list(pieces)
+            own[at], own[at + 1] = own[at + 1], own[at]
+            words = " pivot ".join(["", *own, ""]).split()
+            rows.append((len(rows), " ".join(words) if equal else edited(rng, words, 2)))
+    return rows
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_near_stage_loses_no_pair_of_a_large_group(spark, equal):
+    rows = families(random.Random(5), equal, 8 if equal else 40)
+    alike = {(a, b) for a, x in rows for b, y in rows if a < b and simhash.shingle_similarity(x, y) >= 0.8}
+    assert alike == {(k, k + 1) for k in range(0, len(rows), 2)}
+    prints = {d: simhash.fingerprint(t.encode(), 2, tables=12) for d, t in rows}
+    assert all(any((x ^ y).bit_count() <= 4 for x, y in zip(prints[a], prints[b], strict=True)) for a, b in alike)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_documents(docs).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
+@pytest.mark.parametrize("most", [8192, 5])
+def test_pairs_between_parts_of_groups_equal_brute_force(spark, most):
+    rng = random.Random(2)
+    texts = families(rng, True, 6) + families(rng, False, 6)
+    rows, tables, seen = [], 3, {}
+    for node, (_, text) in enumerate(texts):
+        seen[node] = text, simhash.fingerprint(text.encode(), 2, tables=tables)
+        rows += [(t, p - 2**64 if p >= 2**63 else p, node) for t, p in enumerate(seen[node][1])]
+    saved = simhash.saved
+    held = saved(spark.createDataFrame(rows, "table int, fp long, node long"))
+    found = simhash.ball_candidates(saved(held.select("table", "fp").distinct())).select("table", "bits", "key", "root", "a")
+    equal = held.groupBy("table", "fp").count().where("count > 1").selectExpr("table", "0 as bits", "fp as key", "fp as root", "fp as a")
+    label = {node: node // 5 * 5 for node in seen}
+    labels = saved(spark.createDataFrame(list(label.items()), "node long, label long"))
+    named = saved(spark.createDataFrame([(n, t) for n, (t, _) in seen.items()], "node long, text string"))
+    got = {tuple(r) for r in simhash._crossings(saved(found.union(equal)), held, labels, named, 4, 0.8, most).collect()}
+    within = {(a, b) for a in seen for b in seen if a < b and any((x ^ y).bit_count() <= 4 for x, y in zip(seen[a][1], seen[b][1], strict=True))}
+    assert got <= {(a, b) for a, b in within if label[a] != label[b]}
+    assert got >= {(a, b) for a, b in within if label[a] != label[b] and simhash.shingle_similarity(seen[a][0], seen[b][0]) >= 0.8}
+    every = simhash._crossings(saved(found.union(equal)), held, labels, named, 4, 0.0, most)
+    assert {tuple(r) for r in every.collect()} == {(a, b) for a, b in within if label[a] != label[b]}
