@@ -300,40 +300,47 @@ def sketch(text: str, words: int = 5) -> tuple[int, bytes]:
     return len(shingles), np.packbits(np.bincount(places, minlength=SKETCH) & 1, bitorder="little").tobytes()
 
 
-def crossing_pairs(group: dict[str, np.ndarray], key: int, bits: int, radius: int, least: float, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (by place) of a group's texts with other labels and prints (fp) within radius, whose similarity can be least or more
-    by their sizes and sketches, which are bounds; if there are blocks, those within the one block or across the two. bits 0:
-    all prints are equal. Else equal prints are left to such a group, and of the patterns that two prints have in common only
-    that of one value between them gives their pair. About `most` pairs are looked at a time."""
+def _within(group: dict[str, np.ndarray], key: int, bits: int, radius: int, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (by place) of a group's rows with prints (fp) within radius that don't have the one same label (low and high, the
+    least and the greatest label of a row); if there are blocks, those within the one block or across the two. bits 0: all
+    prints are equal. Else equal prints are left to such a group, and of the patterns that two prints have in common only that
+    of one value between them gives their pair. About `most` pairs are looked at a time."""
     order = np.argsort(group["fp"], kind="stable")
-    fp, label, block, size = (group[c][order] for c in ("fp", "label", "block", "size"))
-    sketches, across = group["sketch"][order], len(np.unique(block)) > 1
+    fp, low, high, block = (group[c][order] for c in ("fp", "low", "high", "block"))
+    across, several = len(np.unique(block)) > 1, low != high
     step = max(1, most // max(len(fp), 1))
     for k in range(0, len(fp), step):
         x = slice(k, k + step)
-        other = label[x, None] != label[None, k:]
+        other = (low[x, None] != low[None, k:]) | (high[x, None] != high[None, k:]) | several[x, None]
         if across:
             other &= block[x, None] != block[None, k:]
         if bits:
             other &= np.bitwise_count(fp[x, None] ^ fp[None, k:]) <= radius
-        a, b = np.nonzero(np.triu(other, 1))  # row k and column k are the same text
+        a, b = np.nonzero(np.triu(other, 1))  # row k and column k are the same
         a, b = a + k, b + k
         if bits:
-            differing = fp[a] ^ fp[b]
-            value, rest = fp[a].copy(), differing.copy()
+            rest, value = fp[a] ^ fp[b], fp[a].copy()
+            good = rest != 0
             for _ in range(radius // 2):
                 lowest = rest & (~rest + np.uint64(1))
                 value ^= lowest
                 rest ^= lowest
-            good = (differing != 0) & (value >> np.uint64(64 - bits) == np.uint64(key % 2**64))
+            good &= value >> np.uint64(64 - bits) == np.uint64(key % 2**64)
             a, b = a[good], b[good]
+        yield order[a], order[b]
+
+
+def crossing_pairs(group: dict[str, np.ndarray], key: int, bits: int, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those pairs of _within whose similarity can be least or more by the texts' sizes and sketches, which are bounds."""
+    size, sketches = group["size"], group["sketch"]
+    for a, b in _within(group, key, bits, radius):
         good = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-6
         a, b = a[good], b[good]
-        for j in range(0, len(a), 20_000):  # the similarity is (s - d) / (s + d): s shingles in both texts, d in one only
+        for j in range(0, len(a), 20_000):  # the similarity is (s - d) / (s + d): s shingles in both sets' sizes, d in one only
             one, two = a[j : j + 20_000], b[j : j + 20_000]
             apart = np.bitwise_count(sketches[one] ^ sketches[two]).sum(1, dtype=np.int64)
             good = apart * (1 + least) <= (size[one] + size[two]) * (1 - least) + 1e-6
-            yield order[one[good]], order[two[good]]
+            yield one[good], two[good]
 
 
 def _crossings(met: DataFrame, held: DataFrame, labels: DataFrame, texts: DataFrame, radius: int, least: float, most: int = MOST_COMPARED) -> DataFrame | None:
@@ -349,8 +356,29 @@ def _crossings(met: DataFrame, held: DataFrame, labels: DataFrame, texts: DataFr
     if mixed.isEmpty():
         release(tagged, mixed)
         return None
-    prints = saved(met.select(*group, F.col("a").alias("fp")).join(mixed, group))
-    nodes = saved(prints.join(tagged, ["table", "fp"]))
+    by = [*group, "one", "two"]
+
+    def dealt(rows: DataFrame, what: str) -> DataFrame:
+        """rows once for each pair of blocks that theirs is in."""
+        rows = rows.withColumn("block", F.pmod(F.xxhash64(what), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+
+    def of(rows: pa.Table, *columns: str) -> tuple[dict[str, np.ndarray], int, int]:
+        own = {c: rows.column(c).to_numpy() for c in ("block", *columns)} | {"fp": rows.column("fp").to_numpy().view(np.uint64)}
+        return own, rows.column("key")[0].as_py(), rows.column("bits")[0].as_py()
+
+    def partnered(rows: pa.Table) -> pa.Table:
+        own, key, bits = of(rows, "low", "high")
+        good = np.full(len(rows), bits == 0)
+        if bits:
+            for a, b in _within(own, key, bits, radius):
+                good[a] = good[b] = True
+        return rows.select([*group, "fp", "blocks"]).filter(pa.array(good))
+
+    # Most patterns that a print is met under have none of its pairs; only where it has one are its texts fetched.
+    prints = saved(each.select(*group, F.col("a").alias("fp"), F.col("low"), F.col("high")).join(mixed, group))
+    paired = saved(dealt(prints, "fp").select(*by, "fp", "low", "high", "block", "blocks").groupBy(*by).applyInArrow(partnered, "table int, bits int, key long, root long, fp long, blocks int").distinct())
+    nodes = saved(paired.join(tagged, ["table", "fp"]))
     wanted = nodes.select("node").distinct()
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -358,21 +386,18 @@ def _crossings(met: DataFrame, held: DataFrame, labels: DataFrame, texts: DataFr
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "size", "sketch"])
 
     sketches = saved(map_arrow(texts.join(wanted, "node", "left_semi").select("node", "text"), scan, "node long, size long, sketch binary"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = nodes.join(sketches, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*group, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "fp", "node", "label", "block", "size", "sketch")
+    rows = dealt(nodes.join(sketches, "node"), "node").select(*by, "fp", "node", "label", "block", "size", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches)
-        own = {c: rows.column(c).to_numpy() for c in ("node", "label", "block", "size")}
-        own["fp"] = rows.column("fp").to_numpy().view(np.uint64)
-        own["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)
-        for a, b in crossing_pairs(own, rows.column("key")[0].as_py(), rows.column("bits")[0].as_py(), radius, least):
+        own, key, bits = of(rows, "node", "label", "size")
+        own |= {"low": own["label"], "high": own["label"], "sketch": np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1)}
+        for a, b in crossing_pairs(own, key, bits, radius, least):
             one, two = own["node"][a], own["node"][b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
-    out = saved(rows.groupBy(*group, "one", "two").applyInArrow(compare, "a long, b long").distinct())
-    release(tagged, mixed, prints, nodes, sketches)
+    out = saved(rows.groupBy(*by).applyInArrow(compare, "a long, b long").distinct())
+    release(tagged, mixed, prints, paired, nodes, sketches)
     return out
 
 
