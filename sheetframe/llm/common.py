@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -99,12 +100,46 @@ def text_of(df: DataFrame, column: str) -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
+#: Bytes of an Arrow batch that Python takes at a time: Spark sends 10,000 rows, of texts tens of MB and more as Python objects.
+PIECE = 1 << 20
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in batches of about PIECE bytes; a row is never cut."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE // max(batch.nbytes, PIECE))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Returns free memory to the system, where the C library can. A Python worker lives on after its task, and what its
+    allocators keep is the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def by_pieces(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn, a function for mapInArrow, over its batches by pieces; what it has freed is given back at the end."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(pieces(batches))
+        finally:
+            give_back()
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over each Arrow batch."""
+    """fn over each Arrow batch, by pieces."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(by_pieces(run), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, saved, shuffle_partitions, text_of
+from .common import by_pieces, map_arrow, saved, shuffle_partitions, text_of
 
 PREFIX_BYTES = 64
 _NO_ID = -(2**63)
@@ -116,7 +116,7 @@ def content_sort(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id"
             yield from runs.add(batch)
         yield from runs.end()
 
-    found = saved(_placed(docs, keep, id_col, text_col, [], partitions).mapInArrow(walk, _Runs.SCHEMA))
+    found = saved(_placed(docs, keep, id_col, text_col, [], partitions).mapInArrow(by_pieces(walk), _Runs.SCHEMA))
     best = F.max if keep == "largest" else F.min
     edges = (
         found.where("_edge")
@@ -176,7 +176,7 @@ def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
         yield from given(held, True)
 
     kinds = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(carried)), T.StructField("_sha", T.BinaryType()), T.StructField("_part", T.IntegerType())])
-    found = saved(_placed(docs, keep, id_col, text_col, carried, partitions).mapInArrow(heads, kinds))
+    found = saved(_placed(docs, keep, id_col, text_col, carried, partitions).mapInArrow(by_pieces(heads), kinds))
     firsts = found.where("_sha is not null").groupBy(F.col("_sha").alias("_edge_sha")).agg(F.min("_part").alias("_first"))
     joined = found.join(F.broadcast(firsts), F.col("_sha") == F.col("_edge_sha"), "left")
     return joined.where(F.coalesce("_first", "_part") == F.col("_part")).select(*(F.col(f"c{k}").alias(f.name) for k, f in enumerate(carried)))

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_pieces
+
 #: Buckets of either order: word unigrams, then word bigrams.
 BUCKETS = 1 << 13
 SIZE = 2 * BUCKETS
@@ -22,10 +24,10 @@ _REPEAT = 1  # the bigram hash of any word and itself
 
 
 class _Hashes(dict):
-    """Hashes of words that a worker has met; emptied when it has grown to some 40 MB."""
+    """Hashes of words that a worker has met; emptied when it has grown to some 15 MB."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -74,7 +76,7 @@ def presence_counts(docs: DataFrame, classes: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["at", "n"])
 
     out = np.zeros(classes * width)
-    for r in docs.select("text", "class").mapInArrow(scan, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text", "class").mapInArrow(by_pieces(scan), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[r["at"]] = r["n"]
     return out.reshape(classes, width)
 
@@ -109,7 +111,7 @@ def model_counts(docs: DataFrame, classes: int) -> np.ndarray:
         at = np.flatnonzero(counts.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["at", "n"])
 
-    sums = docs.select("text", "class").mapInArrow(scan, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = docs.select("text", "class").mapInArrow(by_pieces(scan), "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     out = np.zeros((classes + 1) * SIZE)
     for r in sums.collect():
         out[r["at"]] = r["n"]

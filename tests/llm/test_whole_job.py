@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sheetframe.llm import mixing, pii, quality, simhash
+from sheetframe.llm import common, mixing, pii, quality, simhash
 
 
 def edited(rng, words, changes):
@@ -138,3 +139,22 @@ def test_pairs_between_parts_of_groups_equal_brute_force(spark, most):
     assert got >= {(a, b) for a, b in within if label[a] != label[b] and simhash.shingle_similarity(seen[a][0], seen[b][0]) >= 0.8}
     every = simhash._crossings(saved(found.union(equal)), held, labels, named, 4, 0.0, most)
     assert {tuple(r) for r in every.collect()} == {(a, b) for a, b in within if label[a] != label[b]}
+
+
+def test_python_takes_long_texts_by_pieces(spark):
+    rows = [(k, f"{k} " * 1000) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+
+    def scan(batch):
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[:8] for t in batch.column(1).to_pylist()]), pa.array([batch.nbytes] * batch.num_rows, pa.int64())], names=["doc_id", "text", "size"])
+
+    found = common.map_arrow(docs, scan, "doc_id long, text string, size long").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == [(k, t[:8]) for k, t in rows]
+    assert max(r["size"] for r in found) <= 2 * 2**20
+
+
+def test_pieces_cut_no_row_and_keep_their_order():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (k * 10**5) for k in range(40)])], names=["doc_id", "text"])
+    cut = list(common.pieces([batch, batch.slice(0, 0), batch.slice(0, 2)]))
+    assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist() + batch.slice(0, 2).to_pylist()
+    assert len(cut) > 2
