@@ -257,15 +257,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
         own = each.select("fp", F.explode("more").alias("other"))
         edges = saved(links.union(own.join(ends, own["other"] == ends["end"]).select("fp", "other").distinct()))
         release(prints, ends)
-    out = _named(each, nodes, edges)
+    out = _named(each, nodes, connected_components(edges))
     release(nodes, links, edges)
     return out.select("doc_id", "fp", "component_id")
 
 
-def _named(each: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """each with component_id. nodes: the first column of each's nodes and least, the least id that a node has."""
+def _named(each: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """each with component_id. nodes: the first column of each's nodes and least, the least id that a node has. labels: node,
+    label, a written table that isn't needed after; a node without one is its own."""
     node = nodes.columns[0]
-    labels = connected_components(edges)
     rooted = saved(nodes.join(labels.withColumnRenamed("node", "_node"), nodes[node] == F.col("_node"), "left").select(node, "least", F.coalesce("label", node).alias("root")))
     roots = saved(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id")))
     named = saved(rooted.join(roots, rooted["root"] == roots["of"]).select(F.col(node).alias("_named"), "component_id"))
@@ -401,6 +401,20 @@ def _crossings(met: DataFrame, held: DataFrame, labels: DataFrame, texts: DataFr
     return out
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label; a node without one is its own) as further links (a, b) change them, both written tables. Components are
+    linked by their labels, so that the links within them aren't gone through again."""
+    of = lambda end: labels.select(F.col("node").alias(f"{end}_node"), F.col("label").alias(f"{end}_label"))
+    one = saved(links.join(of("a"), F.col("a") == F.col("a_node"), "left").select(F.coalesce("a_label", "a").alias("a"), "b"))
+    edges = saved(one.join(of("b"), F.col("b") == F.col("b_node"), "left").select("a", F.coalesce("b_label", "b").alias("b")).distinct())
+    over = connected_components(edges)
+    lifted = labels.join(over.select(F.col("node").alias("over_node"), F.col("label").alias("over")), F.col("label") == F.col("over_node"), "left")
+    alone = over.join(labels.select("node"), "node", "left_anti")
+    out = saved(lifted.select("node", F.coalesce("over", "label").alias("label")).union(alone.select("node", "label")))
+    release(one, edges, over, labels)
+    return out
+
+
 def _alike(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Of links (a, b) between texts (node, text), both written tables, those with a five-word similarity of least or more.
     Both joins read written tables, so that adaptive execution can split the partition of a node with very many links."""
@@ -462,12 +476,12 @@ def alike_documents(docs: DataFrame, words: int = 2, radius: int = 4, tables: in
     if crossings is not None:  # whatever has groups or equal prints has been an end of a link, so its text is in texts
         further = saved(crossings.join(links, ["a", "b"], "left_anti"))
         more = _alike(further, texts, least)
-        first, edges = edges, saved(edges.union(more))
-        release(crossings, further, more, first)
-    release(*met, *held, labels, links, texts)
+        labels = _merged(labels, more)
+        release(crossings, further, more)
+    release(*met, *held, edges, links, texts)
     collect_garbage(docs.sparkSession)
-    out = _named(each, nodes, edges)
-    release(nodes, edges)
+    out = _named(each, nodes, labels)
+    release(nodes)
     return out.select("doc_id", "component_id")
 
 

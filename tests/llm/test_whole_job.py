@@ -158,3 +158,28 @@ def test_pieces_cut_no_row_and_keep_their_order():
     cut = list(common.pieces([batch, batch.slice(0, 0), batch.slice(0, 2)]))
     assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist() + batch.slice(0, 2).to_pylist()
     assert len(cut) > 2
+
+
+def test_further_links_join_components_without_all_links_again(spark, monkeypatch):
+    asked, whole = [], simhash.connected_components
+
+    def counted(edges):
+        asked.append(edges.count())
+        return whole(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    rows = families(random.Random(5), False, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_documents(docs).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+    assert sum(asked) <= len(rows) // 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merged_labels_equal_components_of_all_links(spark, seed):
+    rng = random.Random(seed)
+    some = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(25)) if a < b]
+    more = [(a, b) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(20)) if a < b] + [(200, 201), (201, 202)]
+    links = lambda rows: simhash.saved(spark.createDataFrame(rows, "a long, b long"))
+    got = simhash._merged(simhash.connected_components(links(some)), links(more)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, simhash.connected_components(links(some + more)).collect()))
