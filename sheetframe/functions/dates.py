@@ -12,6 +12,8 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .typing_rules import let
+
 EPOCH_SERIAL = 25569  # 1970-01-01
 DATE_1904_SHIFT = 1462
 
@@ -181,7 +183,7 @@ def text_seconds(text: Column) -> Column:
 
     def seconds(written: Column) -> Column:
         parts = F.transform(F.split(F.regexp_replace(written, _DATE_TIME, "$1,$2,$3,$4,$5,$6"), ","), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
-        return F.transform(F.array(parts), of_parts)[0]
+        return let(parts, of_parts)
 
     def of_parts(p: Column) -> Column:
         year, month, day, hour, minute, second = (F.get(p, k) for k in range(6))
@@ -189,7 +191,7 @@ def text_seconds(text: Column) -> Column:
         start = F.unix_date(F.make_date(year, F.when(good, month).otherwise(1), F.lit(1))) + day - 1
         return F.when(good, start.cast("long") * 86400 + hour * 3600 + minute * 60 + second).otherwise(F.lit(0).cast("long"))
 
-    found = F.transform(F.array(plain), lambda w: F.when(w.rlike(_DATE_TIME), seconds(w)).otherwise(F.lit(0).cast("long")))[0]
+    found = let(plain, lambda w: F.when(w.rlike(_DATE_TIME), seconds(w)).otherwise(F.lit(0).cast("long")))
     return F.when(F.trim(text).rlike(r"^[0-9.\-/:\s]+$"), found).otherwise(F.lit(0).cast("long"))
 
 

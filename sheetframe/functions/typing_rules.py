@@ -7,6 +7,7 @@ or none for null. It is Column arithmetic throughout; _xHHHH_ sequences are deco
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +19,7 @@ RAW_CELL = "struct<col:int,t:string,s:int,raw:string,f:string,text:string,fmt:st
 TYPED_CELL = "struct<col:int,t:string,i:bigint,d:double,b:boolean,x:string,o:string,s:int,f:string>"
 
 _NUMERIC = r"^[ \t\n\r\x0B\f]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\x0B\f]*$"
-_INTEGER = r"^[+-]?(0|[1-9][0-9]*)$"
+_INTEGER = r"^[ \t\n\r\x0B\f]*[+-]?(0|[1-9][0-9]*)[ \t\n\r\x0B\f]*$"
 _SPACES = " \t\n\r\x00\x0b"
 _ESCAPE = re.compile(r"_x005[Ff]_(x[0-9A-Fa-f]{4}_)|_x([0-9A-Fa-f]{4})_")
 
@@ -51,74 +52,74 @@ class DateMode:
         self.kind, self.pattern, self.function, self.codes = kind, pattern, function, codes or {}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once. Within a lambda nothing else holds a part that an expression names twice, so each
+    further mention of it would be worked out again. It is the end of a sum over nothing that begins with the value; an array's
+    only element would do too, but Spark works out the type of such an array anew for each row."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
+
+
 def typed_cell(c: Column, dates: DateMode | None = None) -> Column:
-    """A raw cell struct as a typed one."""
-    from .dates import format_seconds, serial_seconds, text_seconds
+    """A raw cell struct as a typed one. What a branch needs is worked out in that branch and once, see let()."""
+    raw, t, s = F.coalesce(c["raw"], c["f"]), F.coalesce(c["t"], F.lit("")), c["s"]
+    styled = (F.coalesce(s, F.lit(0)) > 0) & (F.coalesce(c["fmt"], F.lit("")) != "") & t.isin("", "n", "s") & F.coalesce(raw != "", F.lit(False))
+    known = F.struct(F.when(styled, c["fmt"]).otherwise(t).alias("kind"), raw.alias("raw"))
+    return let(known, lambda k: _typed(c, k["kind"], k["raw"], dates or DateMode()))
+
+
+def _typed(c: Column, kind: Column, raw: Column, dates: DateMode) -> Column:
+    def typed(tag: Column | str, original: Column = raw, **slots: Column) -> Column:
+        def slot(name: str, kind: str) -> Column:
+            return slots.get(name, F.lit(None)).cast(kind).alias(name)
+
+        tag = F.lit(tag) if isinstance(tag, str) else tag
+        return F.struct(c["col"].alias("col"), tag.alias("t"), slot("i", "bigint"), slot("d", "double"), slot("b", "boolean"), slot("x", "string"), original.alias("o"), c["s"].alias("s"), c["f"].alias("f"))
+
+    inline = F.coalesce(c["text"], F.lit(""))
+    return (
+        F.when(kind.isin("s", "string"), typed("string", x=raw))
+        .when(kind.isin("d", "date"), F.when(raw.isNull() | (trim_expr(raw) == ""), typed("date", x=F.lit(""))).otherwise(_typed_date(c, raw, dates, typed)))
+        .when(kind == "b", typed("bool", b=F.coalesce(~raw.isin("", "0"), F.lit(False))))
+        .when(kind == "e", typed("error", x=F.coalesce(raw, F.lit(""))))
+        .when(kind == "inlineStr", typed("string", F.when(raw.isNull() & (inline != ""), c["text"]).otherwise(raw), x=inline))
+        .otherwise(_typed_number(kind, raw, typed))
+    )
 
-    dates = dates or DateMode()
-    t, raw = F.coalesce(c["t"], F.lit("")), F.coalesce(c["raw"], c["f"])
-    filled = raw.isNotNull() & (raw != "")
-    styled = filled & t.isin("", "n", "s") & (F.coalesce(c["s"], F.lit(0)) > 0) & F.coalesce(c["fmt"] != "", F.lit(False))
-    kind = F.when(styled, c["fmt"]).otherwise(t)
-    is_date, numeric = kind.isin("d", "date"), raw.rlike(_NUMERIC)
-    blank_date = is_date & (raw.isNull() | (trim_expr(raw) == ""))
-    is_bool, is_error, is_inline = kind == "b", kind == "e", kind == "inlineStr"
-    is_text = kind.isin("s", "string")
-    plain = F.btrim(raw, F.lit(" \t\n\r\x0b\f"))
-    as_int = F.when(plain.rlike(_INTEGER), plain.try_cast("bigint"))
+
+def _typed_number(kind: Column, raw: Column, typed: Callable[..., Column]) -> Column:
+    """A whole number, a number, or the text as it is. Casts leave blanks on either side out by themselves."""
     long_enough = (F.length(raw) > 2) & ~((F.substring(raw, 1, 1) == "0") & (F.substring(raw, 2, 1) != "."))
-    as_double = F.when(numeric & long_enough, plain.try_cast("double"))
-    other = ~(is_date | is_bool | is_error | is_inline)
-    number = other & ~is_text & numeric
-    i, d = F.when(number, as_int), F.when(number & as_int.isNull(), as_double)
-    seconds = F.when(is_date & ~blank_date, F.when(numeric, serial_seconds(plain.try_cast("double"), F.coalesce(c["base1904"], F.lit(False)))).otherwise(text_seconds(raw)))
-    date_text: Column = F.lit(None).cast("string")
-    if dates.kind == "original":
-        date_i, date_text = F.lit(None).cast("bigint"), raw
-    elif dates.kind == "plain":
-        keep = (t != "s") & numeric
-        date_i, date_text = F.when(keep, seconds), F.when(~keep, raw)
-    elif dates.kind == "seconds":
-        date_i, date_text = F.when(seconds != 0, seconds), F.when(seconds == 0, raw)
-    else:
+    as_int, as_double = F.when(raw.rlike(_INTEGER), raw.try_cast("bigint")), F.when(long_enough & raw.rlike(_NUMERIC), raw.try_cast("double"))
+    other = typed(F.when(kind == "n", "number").otherwise(kind), x=raw)
+    double = let(as_double, lambda d: F.when(d.isNotNull(), typed("number", d=d)).otherwise(other))
+    return let(as_int, lambda i: F.when(i.isNotNull(), typed("number", i=i)).otherwise(double))
+
+
+def _typed_date(c: Column, raw: Column, dates: DateMode, typed: Callable[..., Column]) -> Column:
+    """A date that isn't blank, as the mode says."""
+    from .dates import format_seconds, serial_seconds, text_seconds
+
+    def shown(seconds: Column) -> Column:
+        if dates.kind == "plain":
+            keep = (F.coalesce(c["t"], F.lit("")) != "s") & raw.rlike(_NUMERIC)
+            return F.when(keep, typed("date", i=seconds)).otherwise(typed("date", x=raw))
+        if dates.kind == "seconds":
+            return F.when(seconds != 0, typed("date", i=seconds)).otherwise(typed("date", x=F.when(seconds == 0, raw)))
         if dates.kind == "function":
-            shown = dates.function(seconds, c["code"], c["s"])
+            text = dates.function(seconds, c["code"], c["s"])
         elif dates.kind == "pattern":
-            shown = format_seconds(seconds, dates.pattern)
+            text = format_seconds(seconds, dates.pattern)
         else:  # own: one branch per code that the book has, so that each formatter is made once
-            shown = F.lit(None).cast("string")
+            text = F.lit(None).cast("string")
             for code, pattern in dates.codes.items():
-                shown = F.when(c["code"] == code, format_seconds(seconds, pattern)).otherwise(shown)
-            fallback = format_seconds(seconds, dates.pattern) if dates.pattern else seconds.cast("string")
-            shown = F.coalesce(shown, fallback)
-        date_i, date_text = F.lit(None).cast("bigint"), F.when(seconds != 0, shown).otherwise(raw)
-    date_text = F.when(blank_date, F.lit("")).otherwise(date_text)
-    x = (
-        F.when(is_error, F.coalesce(raw, F.lit("")))
-        .when(is_inline, F.coalesce(c["text"], F.lit("")))
-        .when(is_date, date_text)
-        .when(other & i.isNull() & d.isNull(), raw)
-    )
-    tag = (
-        F.when(is_bool, "bool")
-        .when(is_inline | is_text, "string")
-        .when(is_error, "error")
-        .when(is_date, "date")
-        .when(i.isNotNull() | d.isNotNull() | kind.isin("n", "number"), "number")
-        .otherwise(kind)
-    )
-    original = F.when(is_inline & raw.isNull() & (F.coalesce(c["text"], F.lit("")) != ""), c["text"]).otherwise(raw)
-    return F.struct(
-        c["col"].alias("col"),
-        tag.alias("t"),
-        F.coalesce(i, F.when(is_date, date_i)).alias("i"),
-        d.alias("d"),
-        F.when(is_bool, F.coalesce(~raw.isin("", "0"), F.lit(False))).alias("b"),
-        x.alias("x"),
-        original.alias("o"),
-        c["s"].alias("s"),
-        c["f"].alias("f"),
-    )
+                text = F.when(c["code"] == code, format_seconds(seconds, pattern)).otherwise(text)
+            text = F.coalesce(text, format_seconds(seconds, dates.pattern) if dates.pattern else seconds.cast("string"))
+        return typed("date", x=F.when(seconds != 0, text).otherwise(raw))
+
+    if dates.kind == "original":
+        return typed("date", x=raw)
+    serial = let(raw.try_cast("double"), lambda n: serial_seconds(n, F.coalesce(c["base1904"], F.lit(False))))
+    return let(F.when(raw.rlike(_NUMERIC), serial).otherwise(text_seconds(raw)), shown)
 
 
 def as_string(v: Column) -> Column:

@@ -121,17 +121,20 @@ class Grid:
 
     # Relations
 
-    def typed_rows(self, mode: int = 0) -> DataFrame:
+    def typed_rows(self, mode: int = 0, filled: bool = False) -> DataFrame:
         """(book, row, first_row, first_col, head, attrs, cells array of typed cells) of the area; rows without cells in row
-        mode only."""
+        mode only, and not if only filled ones are asked for, which are told apart before cells are typed."""
         row_mode = bool(mode & RESULT_MODE_ROW)
         raw = self.scan(self.area, self.row_limit, row_mode)
+        if filled:
+            raw = raw.where(F.size("cells") > 0)
         cells = F.transform("cells", lambda c: typed_cell(c, self.dates))
         if mode & TRIM_STRINGS:
             cells = F.transform(cells, lambda c: c.withField("x", trim_expr(c["x"])))
         if mode & TREAT_EMPTY_STRING_AS_EMPTY_CELL:
             cells = F.filter(cells, lambda c: F.coalesce(c["x"] != "", F.lit(True)))
-        return raw.select("book", "row", "first_row", "first_col", "head", "attrs", cells.alias("cells"))
+        typed = raw.select("book", "row", "first_row", "first_col", "head", "attrs", cells.alias("cells"))
+        return typed.where(F.size("cells") > 0) if filled and mode & TREAT_EMPTY_STRING_AS_EMPTY_CELL else typed
 
     def cell_relation(self, mode: int = 0) -> DataFrame:
         """One row per cell that is there: book, row, col and the typed cell's fields."""
@@ -223,19 +226,20 @@ class Grid:
             while name and name.lower() in taken:
                 name = "_" + name
             out += [value.alias(name)] if name else []
+        held = {at: f"_c{n}" for n, at in enumerate(dict.fromkeys(at for cols in sources.values() for at in cols))}
         for key, cols in sources.items():
             cast = CASTS[casts.get(key, "string")]
-            found = [cast(layout.cell(*at)) for at in reversed(cols)]
+            found = [cast(F.col(held[at])) for at in reversed(cols)]
             out.append((found[0] if len(found) == 1 else F.coalesce(*found)).alias(key))
         if mode & RESULT_MODE_ROW:
             out.append(F.col("attrs").alias("__row"))
-        return self._body(layout, mode).select(*out)
+        # A cell is looked up in a step of its own, as casts name it several times.
+        found_cells = self._body(layout, mode).select("book", "row", "first_row", "attrs", *(layout.cell(*at).alias(n) for at, n in held.items()))
+        return found_cells.select(*out)
 
     def _body(self, layout: Layout, mode: int) -> DataFrame:
-        rows = self.typed_rows(mode)
-        if layout.header:
-            rows = rows.where(F.col("row") != F.col("first_row"))
-        return rows if mode & RESULT_MODE_ROW else rows.where(F.size("cells") > 0)
+        rows = self.typed_rows(mode, not mode & RESULT_MODE_ROW)
+        return rows.where(F.col("row") != F.col("first_row")) if layout.header else rows
 
     def long_rows(self, keys: Keys = (), mode: int = 0) -> DataFrame:
         """(book, row, col, value): the grid's cells by row key and column key, a row each, cells of other columns left out.
@@ -258,7 +262,7 @@ class Grid:
     def cells(self, mode: int = 0, book_name: str | None = None) -> DataFrame:
         """(address, row, col, t, i, d, b, x, o, s, f, value), with book_name the file before them. An area with a right bound
         gives its absent cells too, as nulls, for every row that has a cell."""
-        rows = self.typed_rows(mode).where(F.size("cells") > 0)
+        rows = self.typed_rows(mode, True)
         if self.area.bounded:
             at = F.explode(F.sequence(F.lit(self.area.col_min), F.lit(self.area.col_max))).alias("at")
             rows = rows.select("book", "row", "cells", at)

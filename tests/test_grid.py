@@ -491,3 +491,30 @@ def test_large_sheet_streams(spark):
     assert len(list(book.sheets[0].rows(row_limit=10))) == 10
     assert time.time() - began < 1.0
     assert sum(len(c) for _, _, c in book.sheets[0].rows()) == 60_000
+
+
+def _raw_cells(rows):
+    schema = "array<struct<col:int,t:string,s:int,raw:string,f:string,text:string,fmt:string,code:string,base1904:boolean>>"
+    return rows.select(F.array(F.struct(F.lit(1), F.lit("n"), F.lit(0), F.col("raw"), *[F.lit(None).cast("string")] * 2, F.lit(""), F.lit(""), F.lit(False))).cast(schema).alias("cells"))
+
+
+def test_a_cell_is_typed_once(spark):
+    """Patterns of numbers stand in the plan once for each branch that asks for them, of dates once."""
+    from sheetframe.functions.typing_rules import typed_cell
+
+    raw = _raw_cells(spark.createDataFrame([("12",), (" -3 ",), ("1.5",), ("007",), ("x",), (None,)], "raw string"))
+    typed = raw.select(F.transform("cells", lambda c: typed_cell(c))[0].alias("c"))
+    assert [(r["c"]["i"], r["c"]["d"], r["c"]["x"]) for r in typed.collect()] == [(12, None, None), (-3, None, None), (None, 1.5, None), (None, None, "007"), (None, None, "x"), (None, None, None)]
+    plan = typed._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("RLIKE") <= 6 and plan.lower().count("translate(") == 1
+
+
+def test_a_cell_of_wide_rows_is_looked_up_once(spark):
+    """However often casts name a cell, the plan types the cells of a row in one place."""
+    from sheetframe.operators.grid import Grid
+
+    rows = _raw_cells(spark.createDataFrame([("12",)], "raw string")).select(F.lit("").alias("book"), *(F.lit(1).alias(n) for n in ("row", "first_row", "first_col")), F.lit(0).cast("long").alias("head"), F.create_map().cast("map<string,string>").alias("attrs"), "cells")
+    found = Grid(lambda area, limit, mode: rows).set_read_area("A:B").rows(types={"A": "double", "B": "double"})
+    assert [tuple(r) for r in found.collect()] == [(1, 12.0, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("translate(") == 1
