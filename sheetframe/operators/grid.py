@@ -375,7 +375,8 @@ def numbered(df: DataFrame, order_by: list[str], name: str = "row", parts: int |
 
 
 def table_scan(df: DataFrame, order_by: list[str], columns: list[str] | None = None, header: bool = False) -> Scan:
-    """A table as a sheet: row numbers by order_by (see numbered()), columns from A on, all values as raw text."""
+    """A table as a sheet: row numbers by order_by (see numbered()), columns from A on, all values as raw text. A table may have
+    more rows than a sheet of a file; an area that reaches the last row of one has no lower end here."""
     names = columns or df.columns
     kinds = dict(df.dtypes)
     none = F.lit(None).cast("string")
@@ -400,7 +401,9 @@ def table_scan(df: DataFrame, order_by: list[str], columns: list[str] | None = N
             F.create_map().cast("map<string,string>").alias("attrs"),
             F.array(*(cell(k, n) for k, n in inside)).alias("cells"),
         )
-        rows = rows.where(F.col("row").between(area.row_min, area.row_max))
+        rows = rows.where(F.col("row") >= area.row_min)
+        if area.row_max < MAX_ROW:
+            rows = rows.where(F.col("row") <= area.row_max)
         return rows.where(F.col("row") < first + row_limit) if row_limit else rows
 
     return scan

@@ -518,3 +518,15 @@ def test_a_cell_of_wide_rows_is_looked_up_once(spark):
     assert [tuple(r) for r in found.collect()] == [(1, 12.0, None)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("translate(") == 1
+
+
+@pytest.mark.parametrize("area, first", [("A5", 5), ("A:B", 1)])
+def test_a_table_has_more_rows_than_a_sheet(spark, area, first):
+    from sheetframe.operators.extents import stat
+    from sheetframe.operators.grid import Grid, table_scan
+
+    n = 1_048_576 + 7
+    grid = Grid(table_scan(spark.range(n).select("id", F.lit("x").alias("name")), ["id"])).set_read_area(area)
+    last = grid.rows(None, types={"A": "long"}).agg(F.count("*").alias("n"), F.max("row").alias("row"), F.max("A").alias("a")).first()
+    assert tuple(last) == (n - first + 1, n, n - 1)
+    assert stat(grid.cell_relation()).first()["cells_total"] == 2 * (n - first + 1)
