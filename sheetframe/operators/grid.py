@@ -151,11 +151,16 @@ class Grid:
             return bool(keys)
         return bool(mode & KEYS_FIRST_ROW) or self.first_row_keys
 
+    def _known(self, mode: int) -> list[int]:
+        """The columns that every row of the scan has, of a scan that says so: a table's."""
+        known = getattr(self.scan, "columns", None)
+        return known(self.area) if known and not mode & TREAT_EMPTY_STRING_AS_EMPTY_CELL else []
+
     def _survey(self, mode: int, header: bool, relative: bool, kinds: bool) -> list[Any]:
         """For each kind of first row (head; null without a header) and column that has a cell: the header's cell, and whether
         all values beneath are booleans, dates, whole numbers, numbers. One aggregation over one scan, which gives a row per
         distinct header and column; nothing is read for a bounded area without header, and a row per file with one."""
-        if self.area.bounded and not kinds:
+        if (self.area.bounded or self._known(mode)) and not kinds:
             if not header:
                 return []
             rows = replace(self, row_limit=1).typed_rows(mode)
@@ -181,11 +186,12 @@ class Grid:
             given = {col_number(k): v for k, v in keys.items()}
         numeric = bool(mode & (KEYS_COL_ZERO_BASED | KEYS_COL_ONE_BASED))
         relative = numeric and not self.area.bounded and not header and not given
-        found = self._survey(mode, header, relative, kinds)
+        found, known = self._survey(mode, header, relative, kinds), self._known(mode)
+        known = [c - known[0] + 1 for c in known] if relative else known
         columns: dict[int | None, list[tuple[int, Any]]] = {}
         for head in sorted({r["head"] for r in found}, key=lambda h: (h is not None, h)) or [None]:
             own = {r["col"]: r for r in found if r["head"] == head}
-            cols = self.area.columns or sorted(own)
+            cols = self.area.columns or known or sorted(own)
             names: dict[int, Any] = {}
             if header:
                 names = {k: value_of(r["name"]) for k, r in own.items() if r["name"] is not None}
@@ -193,7 +199,7 @@ class Grid:
                     names |= dict(zip(cols, self.header_names, strict=False))
             names = {c: n for c, n in (names | given).items() if n is not None}
             first_cols = [k for k, r in own.items() if r["name"] is not None]
-            start = 1 if relative else self.area.col_min if self.area.bounded else min(first_cols, default=1)
+            start = 1 if relative else self.area.col_min if self.area.bounded else min(first_cols, default=(known or [1])[0])
             shift = start if mode & KEYS_COL_ZERO_BASED else start - 1
             columns[head] = [(c, names[c] if c in names else c - shift if numeric else col_letter(c)) for c in cols]
         best = {(r["head"], r["col"]): next((k for k in ("boolean", "timestamp", "long", "double") if r[k]), "string") for r in found if r["long"] is not None}
@@ -387,10 +393,13 @@ def table_scan(df: DataFrame, order_by: list[str], columns: list[str] | None = N
         numeric = kinds[name] in ("int", "bigint", "double", "float", "smallint", "tinyint")
         return F.struct(F.lit(k).alias("col"), F.lit("n" if numeric else "s").alias("t"), F.lit(0).alias("s"), F.col(f"`{name}`").cast("string").alias("raw"), none.alias("f"), none.alias("text"), F.lit("").alias("fmt"), F.lit("").alias("code"), F.lit(False).alias("base1904"))
 
+    def inside_of(area: Area) -> list[tuple[int, str]]:
+        return [(k, n) for k, n in enumerate(names, 1) if area.col_min <= k <= area.col_max]
+
     def scan(area: Area, row_limit: int, row_mode: bool) -> DataFrame:
         if not known:
             known.append(numbered(wide, order_by, "#row"))
-        inside = [(k, n) for k, n in enumerate(names, 1) if area.col_min <= k <= area.col_max]
+        inside = inside_of(area)
         first = max(area.row_min, 1 + int(header))
         rows = known[0].select(
             F.lit("").alias("book"),
@@ -406,4 +415,5 @@ def table_scan(df: DataFrame, order_by: list[str], columns: list[str] | None = N
             rows = rows.where(F.col("row") <= area.row_max)
         return rows.where(F.col("row") < first + row_limit) if row_limit else rows
 
+    scan.columns = lambda area: [k for k, _ in inside_of(area)]
     return scan
