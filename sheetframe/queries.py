@@ -51,7 +51,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def as_files(df: DataFrame, key: str, build: Callable[[list[tuple]], bytes], rows: int = BOOK_ROWS) -> DataFrame:
     """(path, content): a workbook for each `rows` values of a whole-number key, bucket-<key // rows>, its rows in order of the
-    key, made once on the executors."""
+    key, made once on the executors. Workbooks are dealt out to a given number of tasks: by the bytes of the table, which are few,
+    Spark would leave a handful of tasks with all the writing and reading."""
     names = df.columns
 
     def make(table: pa.Table) -> pa.Table:
@@ -59,7 +60,8 @@ def as_files(df: DataFrame, key: str, build: Callable[[list[tuple]], bytes], row
         bucket = table.column("_bucket")[0].as_py()
         return pa.table({"path": [f"bucket-{bucket}"], "content": pa.array([build(list(zip(*(table.column(n).to_pylist() for n in names), strict=True)))], pa.binary())})
 
-    return df.withColumn("_bucket", F.floor(F.col(key) / rows)).groupBy("_bucket").applyInArrow(make, "path string, content binary").persist()
+    tasks = 8 * df.sparkSession.sparkContext.defaultParallelism
+    return df.withColumn("_bucket", F.floor(F.col(key) / rows)).repartition(tasks, "_bucket").groupBy("_bucket").applyInArrow(make, "path string, content binary").persist()
 
 
 def _xlsx(header: list[str] | None, start_row: int = 1, start_col: int = 1, **kw: Any) -> Callable[[list[tuple]], bytes]:
@@ -142,8 +144,8 @@ def xlsx_dates(spark, sf_dir):
         return write_xlsx(BookSpec([sheet], styles=style_sheet(["dd\\.mm\\.yyyy"])))
 
     files = as_files(df, "o_orderkey", build)
-    plain = _book(files).first_sheet().grid().rows(types="long").select(F.col("A").alias("o_orderkey"), F.col("B").alias("seconds"))
-    own = _book(files).date_formatter(True).first_sheet().grid().rows(types={"A": "long"}).select(F.col("A").alias("key"), F.col("B").alias("shown"))
+    plain = _book(files).first_sheet().set_read_area("A:B").rows(types="long").select(F.col("A").alias("o_orderkey"), F.col("B").alias("seconds"))
+    own = _book(files).date_formatter(True).first_sheet().set_read_area("A:B").rows(types={"A": "long"}).select(F.col("A").alias("key"), F.col("B").alias("shown"))
     return plain.join(own, plain["o_orderkey"] == own["key"]).drop("key")
 
 
@@ -199,9 +201,9 @@ def formula_shift(spark, sf_dir):
             lines[k] = [key, Cell(formula="A2*2+LOG10($A$1)" if k == 2 else "", formula_attrs=f' t="shared" si="0" ref="B2:B{last}"' if k == 2 else ' t="shared" si="0"', raw="1")]
         return write_xlsx([SheetSpec("Data", lines)])
 
-    cells = _book(as_files(df, "o_orderkey", build)).first_sheet().set_read_area("A2").cells(book_name="book")
-    keys, formulas = cells.where("col = 1").select("book", "row", F.col("i").alias("o_orderkey")), cells.where("col = 2").select("book", "row", F.col("f").alias("formula"))
-    return keys.join(formulas, ["book", "row"]).select("o_orderkey", "formula")
+    rows = _book(as_files(df, "o_orderkey", build)).first_sheet().set_read_area("A2").typed_rows()
+    at = lambda k: F.get(F.filter("cells", lambda c: c["col"] == k), 0)
+    return rows.select(at(1)["i"].alias("o_orderkey"), at(2)["f"].alias("formula"))
 
 
 @query("SELECT p_partkey, p_name, p_retailprice, p_size::BIGINT AS p_size FROM part")
@@ -470,6 +472,7 @@ def date_formatter_fixed(spark, sf_dir):
     df = _table(spark, sf_dir, "orders").select("o_orderkey", _serial(F.col("o_orderdate")).alias("at"))
     scan = table_scan(df, ["o_orderkey"])
     dated = lambda area, limit, mode: scan(area, limit, mode).withColumn("cells", F.transform("cells", lambda c: F.when(c["col"] == 2, c.withField("fmt", F.lit("date")).withField("s", F.lit(1))).otherwise(c)))
+    dated.columns = scan.columns
     rows = Grid(dated).with_dates(DateMode("pattern", "yyyy/MM/dd")).rows(types={"A": "long"})
     return rows.select(F.col("A").alias("o_orderkey"), F.col("B").alias("day"))
 

@@ -413,3 +413,29 @@ def test_dispatch_by_content():
     assert open_content(xls_book()).kind == "xls"
     assert open_content(b"a,b\n1,2\n").kind == "csv"
     assert open_content(b"PK\x03\x04,x\n1,2\n", ScanOptions(kind="csv")).kind == "csv"
+
+
+@pytest.mark.parametrize("prefix", ["", "x:"])
+def test_a_catalogue_leaves_rows_unread(prefix):
+    """What stands before and after the rows of a sheet is the same with the rows left out."""
+    rows = {k: [k, "text"] for k in range(1, 5001)}
+    spec = SheetSpec("S", rows, merges=["A1:B2"], before="" if prefix else '<sheetViews><sheetView tabSelected="1"/></sheetViews>')
+    sheet = XlsxBook(write_xlsx(BookSpec([spec], prefix=prefix)), bool(prefix)).sheets[0]
+    assert len(sheet._without_rows()) < 2000
+    left = (sheet.dimension, sheet.active, sheet.merged_cells())
+    sheet = XlsxBook(write_xlsx(BookSpec([spec], prefix=prefix)), bool(prefix)).sheets[0]
+    sheet._without_rows = lambda: None
+    assert left == (sheet.dimension, sheet.active, sheet.merged_cells()) == ("A1:B5000", not prefix, ["A1:B2"])
+
+
+def test_rows_are_left_out_only_where_bytes_tell_their_end():
+    of = lambda rows, **kw: XlsxBook(write_xlsx([SheetSpec("S", rows, **kw)])).sheets[0]
+    assert of({}, merges=["A1:B2"]).merged_cells() == ["A1:B2"]
+    odd = of({1: [1]}, before="<!-- </sheetData> -->", merges=["A1:B2"])
+    assert odd._without_rows() is None and odd.merged_cells() == ["A1:B2"]
+
+
+def test_strings_of_an_xls_are_read_when_asked_for():
+    book = XlsBook(write_xls([XlsSheetSpec("S", {1: ["a", "b"]})]))
+    assert book.sheets[0].dimension == "A1:B1" and "strings" not in vars(book)
+    assert [c["raw"] for _, _, cells in book.sheets[0].rows() for c in cells] == ["a", "b"]

@@ -530,3 +530,24 @@ def test_a_table_has_more_rows_than_a_sheet(spark, area, first):
     last = grid.rows(None, types={"A": "long"}).agg(F.count("*").alias("n"), F.max("row").alias("row"), F.max("A").alias("a")).first()
     assert tuple(last) == (n - first + 1, n, n - 1)
     assert stat(grid.cell_relation()).first()["cells_total"] == 2 * (n - first + 1)
+
+
+def test_columns_of_a_table_are_known_without_reading(spark):
+    from sheetframe.operators.grid import Grid
+
+    def scan(area, row_limit, row_mode):
+        raise AssertionError("read")
+
+    scan.columns = lambda area: [2, 3]
+    assert Grid(scan).layout().columns == {None: [(2, "B"), (3, "C")]}
+    assert Grid(scan).layout(mode=g.KEYS_COL_ZERO_BASED).columns == {None: [(1, 0), (2, 1)]}
+
+
+def test_workbooks_are_dealt_out_to_many_tasks(spark):
+    """By their bytes, the rows of a table that become files would go to a task or two."""
+    from sheetframe.queries import as_files
+
+    files = as_files(spark.range(640), "id", lambda rows: str(len(rows)).encode(), 10)
+    assert files.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+    assert sorted((r["path"], bytes(r["content"])) for r in files.collect()) == sorted((f"bucket-{k}", b"10") for k in range(64))
+    files.unpersist()
